@@ -40,7 +40,7 @@ def clean_value(c):
     for entity, char in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
     trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.when((trimmed != "") & (trimmed != "-"), trimmed)
+    return F.when(~trimmed.isin("", "-"), trimmed)
 
 
 def entropy(c):
@@ -71,12 +71,14 @@ def extension(c):
 
 def unwrap_command(c):
     """Strip launcher syntax, up to three layers deep, so features see the payload and not the tool that ran it."""
-    for _ in range(LAUNCHER_DEPTH):
-        layer = F.when(c.rlike(LAUNCHERS[0]), F.trim(F.regexp_extract(c, LAUNCHERS[0], 1)))
-        for pattern in LAUNCHERS[1:]:
-            layer = layer.when(c.rlike(pattern), F.trim(F.regexp_extract(c, pattern, 1)))
-        c = layer.otherwise(c)
-    return c
+    def layer(x, _):
+        out = F
+        for pattern in LAUNCHERS:
+            out = out.when(x.rlike(pattern), F.trim(F.regexp_extract(x, pattern, 1)))
+        return out.otherwise(x)
+
+    # The lambda variable stands for each intermediate text, so the expression does not grow with the depth.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LAUNCHER_DEPTH)), c, layer)
 
 
 def external_ip(c):

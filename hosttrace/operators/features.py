@@ -278,8 +278,8 @@ def behaviour_features(events, key=PROCESS_KEY, order=ORDER, whole_only=False):
     siblings = sibling_context(meta, key)
     if whole_only:
         prefix, siblings = prefix.where(F.col("age_ix") == WHOLE), siblings.where(F.col("age_ix") == WHOLE)
-    structure = command_structure(unwrap_command(F.col("CommandLine")), F.col("Image"))
-    described = meta.select(*key, "label", "session", "scenario", "harness", "start", "end", "ParentProcessGuid",
+    structure = command_structure(F.col("payload"), F.col("Image"))
+    described = meta.withColumn("payload", unwrap_command(F.col("CommandLine"))).select(*key, "label", "session", "scenario", "harness", "start", "end", "ParentProcessGuid",
                             *[c.cast("double").alias(n) for n, c in structure.items()])
     joined = prefix.join(described, list(key), "left").join(siblings, [*key, "age_ix"], "left")
     return joined.fillna(-1.0, ["b_sib_period_cv", "b_sib_period_s"]).fillna(
