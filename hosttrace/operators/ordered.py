@@ -71,21 +71,24 @@ def lookup_prefix(points, queries, keys, at, sums=None, maxes=None):
 def quantiles(df, keys, value, probability, out="quantile"):
     """Exact linearly interpolated quantile per group, by rank and without holding a group in one task.
 
-    Equal values collapse to a count first, so heavy ties cost nothing.
+    Equal values collapse to a count first, so heavy ties cost nothing. ``probability`` may be a list; then ``out``
+    becomes an array column in the same order, still from a single pass.
     """
+    many = isinstance(probability, (list, tuple))
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(counts, keys, [value], sums={"_hi": "_n"})
     if keys:
         ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
     else:
         ranked = ranked.withColumn("_total", F.lit(counts.agg(F.sum("_n")).first()[0]))
-    position = (F.col("_total") - 1) * F.lit(float(probability))
-    floor, ceil = F.floor(position), F.ceil(position)
 
     def at(index):  # zero-based rank -> the value whose run of ties covers it
-        return F.max(F.when((F.col("_hi") - F.col("_n") <= index) & (index < F.col("_hi")), F.col(value)))
+        return F.max(F.when((F.col("_hi") - F.col("_n") <= index) & (index < F.col("_hi")), F.col(value))).cast("double")
 
-    picked = ranked.groupBy(*keys).agg(
-        at(floor).cast("double").alias("_low"), at(ceil).cast("double").alias("_high"),
-        F.max(position - floor).alias("_weight"))
-    return picked.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_weight")).alias(out))
+    def interpolated(p):
+        position = (F.col("_total") - 1) * F.lit(float(p))
+        low, high = at(F.floor(position)), at(F.ceil(position))
+        return low + (high - low) * F.max(position - F.floor(position))
+
+    found = F.array(*[interpolated(p) for p in probability]) if many else interpolated(probability)
+    return ranked.groupBy(*keys).agg(found.alias(out)) if keys else ranked.agg(found.alias(out))
