@@ -10,10 +10,13 @@ from hosttrace.schema import PROCESS_FEATURES
 from hosttrace.session import materialize
 
 _rows = {}
-LIGHT = {"Random Forest": models.small_forest(8, 5)}
 FEW = ["n_events", "dur_s", "rate", "n_files", "n_dst_ip", "cmd_len", "pcmd_len", "ev_1", "ev_11"]
 
 
+def _light():
+    return {"Random Forest": models.small_forest(8, 5)}
+
+
 def process_rows(spark, sf):
     """Process table of the telemetry, written once per session; the machine is the host the process ran on."""
     key = (spark.sparkContext.applicationId, sf)
@@ -99,12 +102,12 @@ def m16(spark, sf):
 @check("m24_lineage_cv")
 def m24_p1(spark, sf):
     return protocols.report(materialize(protocols.lineage_cv(
-        process_rows(spark, sf), FEW, k=2, repeats=1, classifiers=LIGHT, trees=10), "cv"))
+        process_rows(spark, sf), FEW, k=2, repeats=1, classifiers=_light(), trees=10), "cv"))
 
 
 @check("m24_leave_one_scenario_out")
 def m24_p3(spark, sf):
-    rows = materialize(protocols.leave_one_out(process_rows(spark, sf), FEW, "scenario", classifiers=LIGHT,
+    rows = materialize(protocols.leave_one_out(process_rows(spark, sf), FEW, "scenario", classifiers=_light(),
                                                anomaly=False), "loso")
     return protocols.report(rows, ["HeldOut", "Model"])
 
@@ -112,12 +115,12 @@ def m24_p3(spark, sf):
 @check("m24_independent_runs")
 def m24_p4(spark, sf):
     return protocols.report(materialize(protocols.independent_runs(
-        process_rows(spark, sf), FEW, ["run_29", "run_30"], classifiers=LIGHT, anomaly=False), "new"), ["HeldOut", "Model"])
+        process_rows(spark, sf), FEW, ["run_29", "run_30"], classifiers=_light(), anomaly=False), "new"), ["HeldOut", "Model"])
 
 
 @check("m24_random_process_split")
 def m24_random(spark, sf):
-    return protocols.report(protocols.random_process_split(process_rows(spark, sf), FEW, 1, classifiers=LIGHT,
+    return protocols.report(protocols.random_process_split(process_rows(spark, sf), FEW, 1, classifiers=_light(),
                                                            anomaly=False))
 
 
@@ -134,7 +137,7 @@ def m25(spark, sf):
 @check("m27_cross_platform")
 def m27(spark, sf):
     pairs = [("linux", "windows"), ("windows", "linux")]
-    rows = protocols.cross_group(process_rows(spark, sf), FEW, "platform", pairs, classifiers=LIGHT, anomaly=False)
+    rows = protocols.cross_group(process_rows(spark, sf), FEW, "platform", pairs, classifiers=_light(), anomaly=False)
     return protocols.report(materialize(rows, "cross"), ["train", "test", "Model"])
 
 
@@ -149,13 +152,13 @@ def m27_zero(spark, sf):
 @check("m28_label_flip")
 def m28(spark, sf):
     rows = process_rows(spark, sf)
-    found = protocols.label_flip(rows, FEW, rows.where("label = 0 AND n_events >= 6"), k=2, classifiers=LIGHT)
+    found = protocols.label_flip(rows, FEW, rows.where("label = 0 AND n_events >= 6"), k=2, classifiers=_light())
     return protocols.report(materialize(found, "flip"), ["Labels", "Model"])
 
 
 @check("m29_ablation")
 def m29(spark, sf):
-    found = protocols.ablation(process_rows(spark, sf), {"all": FEW, "no_cmd": FEW[:5] + FEW[7:]}, k=2, classifiers=LIGHT)
+    found = protocols.ablation(process_rows(spark, sf), {"all": FEW, "no_cmd": FEW[:5] + FEW[7:]}, k=2, classifiers=_light())
     return protocols.report(materialize(found, "ablation"), ["Subset", "Model"])
 
 

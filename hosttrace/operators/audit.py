@@ -12,8 +12,6 @@ from hosttrace.operators.features import ORDER, first_value
 from hosttrace.operators.graph import chain_text, parent_status
 from hosttrace.schema import PROCESS_KEY
 
-ONE = F.lit(1)
-
 
 def _count(name="n"):
     return F.count(F.lit(1)).alias(name)

@@ -14,7 +14,8 @@ from hosttrace.operators.features import AGES
 from hosttrace.session import materialize
 
 ID = ["platform", "run_id", "ProcessGuid", "label"]
-ATTACK_RUN = ~F.col("session").startswith("benign")
+ATTACK_RUN = "NOT startswith(session, 'benign')"
+BENIGN_RUN = "startswith(session, 'benign')"
 
 
 def _union(frames):
@@ -271,12 +272,12 @@ def early_detection(scores, events, threshold=0.5, k=1):
 
 def benign_curve(rows, events, columns, classifier=None, threshold=0.9, window_s=60, least=2):
     """False alarms on one held-out benign run against the number of other benign runs in training."""
-    benign = splits.held_out_values(rows, "run_id", ~ATTACK_RUN)
+    benign = splits.held_out_values(rows, "run_id", BENIGN_RUN)
     out = []
     for held in benign:
         others = [r for r in benign if r != held]
         for n in range(len(others) + 1):
-            train = rows.where(ATTACK_RUN | F.col("run_id").isin(others[:n]))
+            train = rows.where(F.expr(ATTACK_RUN) | F.col("run_id").isin(others[:n]))
             scores = age_scores(train, rows.where(F.col("run_id") == held), columns, classifier, "prefix")
             found = alerts.first_detection(materialize(scores, "scores"), AGES, threshold)
             summary = alerts.host_alert_summary(found, window_s, least).join(

@@ -62,10 +62,11 @@ def write_safe_csv(df, path):
 
 def manifest(spark, inputs, tables):
     """Provenance rows (kind, name, value): SHA-256 and size per input file, row counts per table."""
-    files = spark.read.format("binaryFile").load(inputs).select(
-        F.explode(F.array(
-            F.struct(F.lit("sha256").alias("kind"), F.col("path").alias("name"), F.sha2("content", 256).alias("value")),
-            F.struct(F.lit("bytes"), F.col("path"), F.col("length").cast("string")))).alias("m")).select("m.*")
+    def fact(kind, value):
+        return F.struct(F.lit(kind).alias("kind"), F.col("path").alias("name"), value.alias("value"))
+
+    files = spark.read.format("binaryFile").load(inputs).select(F.explode(F.array(
+        fact("sha256", F.sha2("content", 256)), fact("bytes", F.col("length").cast("string")))).alias("m")).select("m.*")
     counts = [df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(
         F.lit("rows").alias("kind"), F.lit(name).alias("name"), "value") for name, df in tables.items()]
     return reduce(lambda a, b: a.unionByName(b), [files, *counts])
