@@ -49,7 +49,6 @@ def _whole_life(order):
     return [
         F.count(F.lit(1)).alias("n_events"),
         *[F.count_if(F.col("EventID") == e).alias(f"ev_{e}") for e in FEATURE_EVENT_IDS],
-        *[F.count_distinct(c).alias(n) for n, c in DISTINCT.items()],
         _seconds(F.max("UtcTime"), F.min("UtcTime")).alias("dur_s"),
         first_value(F.length("CommandLine"), order).alias("cmd_len"),
         first_value(F.length("ParentCommandLine"), order).alias("pcmd_len"),
@@ -57,13 +56,26 @@ def _whole_life(order):
     ]
 
 
+def distinct_counts(events, key):
+    """Distinct values per key and column: non-NULL values in long form, deduplicated before they meet their key.
+
+    The two steps shuffle on (key, column, value) first, so neither a hot process nor its values gather in one task,
+    and an event costs one row per value it has rather than one per counted column.
+    """
+    items = [F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("tag"), F.col(c).cast("string").alias("value")))
+             for i, c in enumerate(DISTINCT.values())]
+    values = events.select(*key, F.explode(F.array_compact(F.array(*items))).alias("i")).select(
+        *key, "i.tag", "i.value").distinct()
+    return values.groupBy(*key).agg(*[F.count_if(F.col("tag") == i).alias(n) for i, n in enumerate(DISTINCT)])
+
+
 def process_features(events, key=PROCESS_KEY, order=ORDER):
-    """32 features and the label per process: one aggregation, one shuffle on the process key.
+    """32 features and the label per process.
 
-    Distinct counts go through Spark's two-level distinct aggregation, so one process holding a large share of all
-    events is pre-aggregated in every task before it meets itself.
+    One hash aggregation on the process key, joined to the distinct counts, which arrive partitioned by the same key.
     """
-    grouped = drop_unkeyed(events).groupBy(*key).agg(*_whole_life(order))
+    e = drop_unkeyed(events)
+    grouped = e.groupBy(*key).agg(*_whole_life(order)).join(distinct_counts(e, key), list(key), "left")
     return _finish(grouped, [*key, "label"])
 
 
@@ -98,7 +110,8 @@ def guid_only_features(events, order=ORDER):
     e = events.where(F.col("ProcessGuid").isNotNull())
     extra = [first_value(F.length("Image"), order).alias("img_len"), F.max("ancestor_depth").alias("depth"),
              F.max("enriched").alias("enriched"), F.count_distinct("run_id").alias("n_runs")]
-    grouped = e.groupBy("ProcessGuid").agg(*_whole_life(order), *extra)
+    grouped = e.groupBy("ProcessGuid").agg(*_whole_life(order), *extra).join(
+        distinct_counts(e, ["ProcessGuid"]), "ProcessGuid", "left")
     return _finish(grouped.fillna(0, ["img_len", "depth", "enriched"]),
                    ["ProcessGuid", "label", "n_runs", "img_len", "depth", "enriched"])
 
