@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hosttrace.operators.ordered import quantiles
+from hosttrace.operators.ordered import quantiles, row_numbers
 
 SLOT_GROUPS = 100_000
 
@@ -68,9 +68,8 @@ def overlapping_groups(df, group, fold="fold"):
 
 def run_index_folds(df, k, scenario=("platform", "session"), run="run_id"):
     """Fold = position of the run among the runs of its scenario, modulo k: one recording of every scenario each."""
-    runs = df.select(*scenario, run).distinct()
-    w = Window.partitionBy(*scenario).orderBy(run)
-    return df.join(runs.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int")), [*scenario, run])
+    runs = row_numbers(df.select(*scenario, run).distinct(), list(scenario), [run])
+    return df.join(runs.select(*scenario, run, ((F.col("rn") - 1) % k).cast("int").alias("fold")), [*scenario, run])
 
 
 def held_out_values(df, column, where=None):
@@ -88,8 +87,7 @@ def leave_one_out(df, column, where=None):
 
 def repetition_numbers(runs, keys=("platform", "session"), start="start"):
     """Number the runs of a scenario in order of their start. One row per run goes in."""
-    w = Window.partitionBy(*keys).orderBy(start, "run_id")
-    return runs.withColumn("rep", F.row_number().over(w))
+    return row_numbers(runs, list(keys), [start, "run_id"], "rep")
 
 
 def stratified_sample(df, cell, per_cell, row_id, seed=0):
