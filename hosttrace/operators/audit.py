@@ -74,7 +74,7 @@ def run_sizes(events, by=("run_id",)):
 
 
 def sensor_gaps(events, run="run_id"):
-    """Event ids that some runs have and others lack, with the runs that lack them.
+    """Event ids that some runs have and others lack, one row per (event id, run that lacks it).
 
     Works on the distinct (run, id) pairs: an id missing from a run shows as a run count below the total, and the
     missing runs follow from the small grid of partial ids.
@@ -85,10 +85,13 @@ def sensor_gaps(events, run="run_id"):
     partial = pairs.groupBy("EventID").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") < total)
     ids = [r["EventID"] for r in partial.collect()]  # at most the sensor's vocabulary of event ids
     if not ids:
-        return events.sparkSession.createDataFrame([], "EventID int, n_missing long, missing_runs array<string>")
+        return events.sparkSession.createDataFrame([], f"{run} string, EventID int")
     grid = runs.withColumn("EventID", F.explode(F.array(*[F.lit(i) for i in ids])))
-    missing = grid.join(pairs, [run, "EventID"], "left_anti")
-    return missing.groupBy("EventID").agg(_count("n_missing"), F.sort_array(F.collect_list(run)).alias("missing_runs"))
+    return grid.join(pairs, [run, "EventID"], "left_anti")
+
+
+def sensor_gap_counts(events, run="run_id"):
+    return sensor_gaps(events, run).groupBy("EventID").agg(_count("n_missing"))
 
 
 def host_purity(events, host="computer"):
