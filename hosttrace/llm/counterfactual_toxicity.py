@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from hosttrace.llm.common import materialize, texts
 
 FEATURES = 4096
-TRAIN_ROWS = 40_000
+TRAIN_ROWS = 20_000
 LEAST_DOCS = 5
 PENALTY = 1.0
 RIDGE = 1e-3
@@ -124,6 +124,14 @@ def vector(words, index, memory=None):
     return np.fromiter(found, np.int64, len(found)), 1 + np.log(np.fromiter(found.values(), np.float64, len(found)))
 
 
+def _packed(pair):
+    return pair[0].astype("<i4").tobytes(), pair[1].astype("<f4").tobytes()
+
+
+def _unpacked(c, v):
+    return np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64)
+
+
 class Rows:
     """Sparse rows with the two products a gradient needs."""
 
@@ -193,28 +201,25 @@ def fit(docs, labels, doc_id="doc_id", text="text", toxic="toxic", penalty=PENAL
     def run(batches):
         memory = {}
         for batch in batches:
-            cols = ([], [], [], [], [])
+            if not batch.num_rows:
+                continue
+            rows = []
             for t, y in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
                 words = words_of(t)
-                c, v = vector(words, index, memory)
                 other = swapped(words)
-                c2, v2 = vector(other, index, memory) if other else (np.zeros(0, np.int64), np.zeros(0))
-                for a, value in zip(cols, (y, c.tolist(), v.tolist(), c2.tolist() if other else None, v2.tolist() if other else None)):
-                    a.append(value)
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["y", "c", "v", "c2", "v2"])
+                rows.append((y, *_packed(vector(words, index, memory)), *(_packed(vector(other, index, memory)) if other else (None, None))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["y", "c", "v", "c2", "v2"])
 
     # The sample is a threshold on a hash of the id, chosen for the size; the limit only guards against an unlucky draw.
     share = min(1.0, rows / (n_other + n_toxic))
     chosen = train.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else train
-    sample = chosen.select("text", "toxic").mapInArrow(run, "y long, c array<long>, v array<double>, c2 array<long>, v2 array<double>").limit(rows).collect()
-    pair = lambda r, c, v: (np.array(r[c], np.int64), np.array(r[v], np.float64))
-    x = Rows([pair(r, "c", "v") for r in sample], len(names))
+    sample = chosen.select("text", "toxic").mapInArrow(run, "y long, c binary, v binary, c2 binary, v2 binary").limit(rows).collect()
+    x = Rows([_unpacked(r["c"], r["v"]) for r in sample], len(names))
     y = np.array([r["y"] for r in sample], np.float64)
     differ = []
     for r in sample:
         if r["c2"] is not None:
-            (c, v), (c2, v2) = pair(r, "c", "v"), pair(r, "c2", "v2")
+            (c, v), (c2, v2) = _unpacked(r["c"], r["v"]), _unpacked(r["c2"], r["v2"])
             differ.append((np.concatenate([c, c2]), np.concatenate([v, -v2])))
     weights, intercept = fit_weights(x, y, Rows(differ, len(names)), penalty)
     return {"index": index, "weights": weights, "intercept": intercept}

@@ -1,19 +1,21 @@
 """Quality rules whose cutoffs carry a guarantee on false rejection.
 
-Each rule is a statistic of the text that is larger for worse texts. On labelled documents, for each stratum (language)
-and rule, a cutoff rejects what lies above it. A cutoff is allowed if the exact (Clopper-Pearson) upper bound on the
-share of good documents it rejects is at most ``risk``; the bounds of all strata, rules and tried cutoffs hold together
-with probability 1 - ``delta``: delta is divided among strata and rules (Bonferroni), and within one rule cutoffs are
-tried from the mildest on until the first failure (fixed-sequence testing), which needs no further correction. The
-lowest allowed cutoff is taken, if it rejects any labelled bad document. A stratum without enough labels gets no cutoff.
-
-``risk`` is for a stratum as a whole: each rule may use its part, so the sum over rules stays below it.
-
-Cutoffs are tried on a fixed grid, so labels are counted by (stratum, rule, grid step, label) in Spark; the driver sees
-these counts, bounded by strata x rules x grid (strata are language codes), and no document.
+Each rule is a statistic of the text that is larger for worse texts. For each stratum (language) the labelled documents
+are dealt into two halves by a hash of their id. The first half lays a path of ever stricter cutoffs for all rules
+together: from "nothing is rejected" over steps towards the largest value of a good document to upper quantiles of the
+good ones. The second half, the holdout, selects a point of the path: one is allowed if the exact (Clopper-Pearson)
+upper bound on the share of good documents it rejects is at most ``risk``. Points are tried from the mildest on until
+the first failure (fixed-sequence testing), so a stratum needs no correction of its own; delta is divided among the
+strata (Bonferroni), so all bounds hold together with probability 1 - ``delta``. Among the allowed points the mildest
+that rejects nearly as many bad documents as the strictest one is taken: what is not needed is not rejected. A stratum
+with too few labels gets no cutoff.
+
+Values are counted on a fixed grid of ``GRID`` steps in Spark; the driver sees counts, bounded by strata x rules x grid
+(strata are language codes), and no document.
 
 Defined cases: a null text is empty and fails the base rules; a null stratum is a stratum of its own (""); a null label
-or doc_id takes no part in the fit; a doc_id with several labels counts once for each; an empty table gives no rows.
+or doc_id takes no part in the fit; a doc_id with several labels counts once for each; an empty table gives no rows;
+other columns are not read.
 """
 
 import math
@@ -28,6 +30,8 @@ RULES = ("symbols", "exclaimed", "capitals", "separators", "repeated", "dup_line
 GRID = 200
 RISK = 0.05
 DELTA = 0.05
+TOWARDS = (1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1, 0.0)
+QUANTILES = (0.0005, 0.001, 0.002, 0.005)
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _SMALL, _LARGE = bytes(range(97, 123)), bytes(range(65, 91))
@@ -154,45 +158,77 @@ def within(k, n, risk, delta):
     return n > 0 and k < n * risk and _log_tail(k, n, risk) <= math.log(delta)
 
 
-def select_cutoffs(counts, risk=RISK, delta=DELTA):
-    """{(stratum, rule): grid step}: values at a higher step are rejected.
-
-    ``counts``: (stratum, rule, step, quality, n) rows.
-    """
+def lay_paths(counts):
+    """{stratum: {rule: cutoff steps, from mild to strict}} from (stratum, rule, step, n) rows of good documents."""
     hist = {}
-    for s, r, step, quality, n in counts:
-        hist.setdefault((s, r), np.zeros((2, GRID + 1), np.int64))[int(quality), step] += n
-    tests = len({s for s, _ in hist}) * len(RULES)
+    for s, r, step, n in counts:
+        hist.setdefault(s, {}).setdefault(r, np.zeros(GRID + 1, np.int64))[step] += n
+    out = {}
+    for s, rules in hist.items():
+        out[s] = {}
+        for r in RULES:
+            h = rules[r]
+            most = int(np.flatnonzero(h)[-1])
+            upto = np.cumsum(h) / h.sum()
+            path = [most + round(share * (GRID - most)) for share in TOWARDS]
+            out[s][r] = path + [int(np.searchsorted(upto, 1 - q - 1e-12)) for q in QUANTILES]
+    return out
+
+
+def levels(path):
+    """For each grid step the first point of a path that rejects it; the path's length if none does."""
+    return [next((k for k, cut in enumerate(path) if step > cut), len(path)) for step in range(GRID + 1)]
+
+
+def select(paths, counts, risk=RISK, delta=DELTA):
+    """{stratum: point of its path} from (stratum, quality, level, n) rows of the holdout."""
+    size = len(TOWARDS) + len(QUANTILES)
+    rejected = {s: np.zeros((2, size + 1), np.int64) for s in paths}
+    for s, quality, level, n in counts:
+        if s in rejected:
+            rejected[s][int(quality), level] += n
     out = {}
-    for (s, r), h in sorted(hist.items()):
-        good_above = h[1].sum() - np.cumsum(h[1])
-        bad_above = h[0].sum() - np.cumsum(h[0])
-        n, best = int(h[1].sum()), None
-        for step in range(GRID - 1, -1, -1):
-            if not within(int(good_above[step]), n, risk / len(RULES), delta / max(1, tests)):
+    for s, h in rejected.items():
+        bad, good = np.cumsum(h[0]), np.cumsum(h[1])
+        allowed = []
+        for k in range(size):
+            if not within(int(good[k]), int(h[1].sum()), risk, delta / len(paths)):
                 break
-            best = step
-        if best is not None:
-            # The mildest cutoff that still rejects as many bad documents: what is not needed is not rejected.
-            best = max(t for t in range(best, GRID) if bad_above[t] >= 0.995 * bad_above[best])
-            if bad_above[best] > 0:
-                out[s, r] = best
+            allowed.append(k)
+        if allowed and bad[allowed[-1]]:
+            out[s] = next(k for k in allowed if bad[k] >= 0.995 * bad[allowed[-1]])
     return out
 
 
 def step_of(value):
-    """The grid step of a rule value: ceil, so that a value of exactly a cutoff's step is kept."""
+    """The grid step of a rule value."""
     return F.ceil(value * GRID).cast("int")
 
 
 def fit(stats, labels, risk=RISK, delta=DELTA, doc_id="doc_id", quality="quality"):
-    """Cutoffs from all labelled rows of ``stats``. Documents that fail the base rules take no part."""
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
-    rows = (stats.where(~base_failed()).select("doc_id", "stratum", *RULES).join(known, "doc_id")
-            .groupBy("stratum", "quality", *[step_of(F.col(r)).alias(r) for r in RULES]).agg(F.count(F.lit(1)).alias("n"))
-            .select("stratum", "quality", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES])).alias("x"))
-            .groupBy("stratum", "x.rule", "x.step", "quality").agg(F.sum("n").alias("n")))
-    return select_cutoffs([(r["stratum"], r["rule"], r["step"], r["quality"], r["n"]) for r in rows.collect()], risk, delta)
+    """{(stratum, rule): cutoff step} from all labelled rows of ``stats``; values at a higher step are rejected.
+
+    Documents that fail the base rules are rejected anyway and take no part.
+    """
+    spark = stats.sparkSession
+    known = (labels.select(F.col(doc_id).alias("id"), F.col(quality).cast("int").alias("quality"))
+             .where("id IS NOT NULL AND quality IN (0, 1)"))
+    rows = materialize(stats.where(~base_failed()).join(known, F.col("doc_id") == F.col("id"))
+                       .select("stratum", "quality", F.pmod(F.xxhash64("id"), F.lit(2)).alias("half"), *[step_of(F.col(r)).alias(r) for r in RULES]),
+                       "quality-labels")
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES]))
+    good = (rows.where("half = 0 AND quality = 1").select("stratum", each.alias("x")).groupBy("stratum", "x.rule", "x.step")
+            .agg(F.count(F.lit(1)).alias("n")))
+    paths = lay_paths([(r["stratum"], r["rule"], r["step"], r["n"]) for r in good.collect()])
+    if not paths:
+        return {}
+    table = spark.createDataFrame([(s, *[levels(p[r]) for r in RULES]) for s, p in paths.items()],
+                                  "s string, " + ", ".join(f"level_{r} array<int>" for r in RULES))
+    first = F.least(*[F.element_at(f"level_{r}", F.col(r) + 1) for r in RULES])
+    held = (rows.where("half = 1").join(F.broadcast(table), F.col("stratum") == F.col("s"))  # a row for each language
+            .groupBy("stratum", "quality", first.alias("level")).agg(F.count(F.lit(1)).alias("n")))
+    points = select(paths, [(r["stratum"], r["quality"], r["level"], r["n"]) for r in held.collect()], risk, delta)
+    return {(s, r): paths[s][r][k] for s, k in points.items() for r in RULES}
 
 
 def base_failed():
