@@ -221,15 +221,19 @@ def hex_digits(fp):
 def one_of_each(docs, doc_id="doc_id", text="text"):
     """``docs`` with the document of the smallest id of each component alone; of rows that repeat that id, one.
 
-    Rows without an id are kept as one for each set of equal texts, as nothing else tells them apart.
+    Rows without an id go if their component has one; else one stays for each set of equal texts, as nothing else tells
+    them apart.
     """
     found = near_duplicates(docs, doc_id, text)
-    copies, kept = free_name(docs, "copies"), free_name(docs, "kept_id")
-    keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id")
+    copies, kept, same = (free_name(docs, name) for name in ("copies", "kept_id", "kept_text"))
+    keep = (found.where("doc_id = component_id").groupBy("doc_id")
             .agg(F.count(F.lit(1)).alias(copies)).withColumnRenamed("doc_id", kept))
-    rows = docs.join(keep, F.col(doc_id).eqNullSafe(F.col(kept)))
+    rows = docs.join(keep, F.col(doc_id) == F.col(kept))
     single = rows.where(F.col(copies) == 1).select(*docs.columns)
-    repeated = rows.where(F.col(copies) > 1).select(*docs.columns)
-    named = repeated.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    nameless = repeated.where(F.col(doc_id).isNull()).dropDuplicates([text])
-    return single.unionByName(named).unionByName(nameless)
+    repeated = rows.where(F.col(copies) > 1).select(*docs.columns).dropDuplicates([doc_id])
+    nameless = docs.where(F.col(doc_id).isNull())
+    alone = found.where("component_id IS NULL").select("fp").distinct()
+    texts = (fingerprints(nameless.select(F.coalesce(text, F.lit("")).alias("t")), "t", "t").join(alone, "fp", "left_semi")
+             .select(F.col("doc_id").alias(same)).distinct())
+    nameless = nameless.join(texts, F.coalesce(text, F.lit("")) == F.col(same), "left_semi").dropDuplicates([text])
+    return single.unionByName(repeated).unionByName(nameless)

@@ -57,10 +57,10 @@ _OP6 = f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS sha FROM p),
 bits AS (SELECT page_id, payload_bytes, sha, array_to_string(list_transform(range(1, 41),
-    k -> substr('{_BITS}', CAST((instr('0123456789abcdef', substr(sha, CAST(k AS INT), 1)) - 1) * 4 + 1 AS INT), 4)), '') AS b FROM d),
+    lambda k: substr('{_BITS}', CAST((instr('0123456789abcdef', substr(sha, CAST(k AS INT), 1)) - 1) * 4 + 1 AS INT), 4)), '') AS b FROM d),
 last AS (SELECT sha, max(page_id) AS last FROM d GROUP BY sha)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-    array_to_string(list_transform(range(0, 32), g -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    array_to_string(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
         16 * CAST(substr(b, CAST(5 * g + 1 AS INT), 1) AS INT) + 8 * CAST(substr(b, CAST(5 * g + 2 AS INT), 1) AS INT)
         + 4 * CAST(substr(b, CAST(5 * g + 3 AS INT), 1) AS INT) + 2 * CAST(substr(b, CAST(5 * g + 4 AS INT), 1) AS INT)
         + CAST(substr(b, CAST(5 * g + 5 AS INT), 1) AS INT) + 1, 1)), '') AS payload_digest,
