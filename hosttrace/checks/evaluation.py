@@ -78,9 +78,9 @@ def j6(spark, sf):
     return rounded(network.match_summary(ev, fl, network.match_flows(ev, fl)))
 
 
-def _set(c, where="true"):
-    return (f"coalesce(substr(string_agg(DISTINCT {c}, '|' ORDER BY {c}) FILTER (WHERE {c} IS NOT NULL AND {where}), "
-            "1, 200), '')")
+def _set(c, where="true", chars=None):
+    text = f"string_agg(DISTINCT {c}, '|' ORDER BY {c}) FILTER (WHERE {c} IS NOT NULL AND {where})"
+    return f"coalesce({f'substr({text}, 1, {chars})' if chars else text}, '')"
 
 
 _ENT = _entropy_sql("split_part(dns_query, '.', 1)")
@@ -96,7 +96,8 @@ SELECT session_ AS session, ProcessGuid, arg_min(Image, record_id) AS Image, arg
        AS ext_dst_n, count(dns_query) AS dns_n, CAST(coalesce(max(length(dns_query)), 0) AS INT) AS dns_qlen_max,
        round(coalesce(max({_ENT}), 0), 3) AS dns_ent_max, count(http_host) AS http_n,
        count(ssl_server_name) AS ssl_n, {_set('service')} AS svc_set, {_set('conn_state')} AS conn_state_set,
-       {_set('http_user_agent', 'http_host IS NOT NULL')} AS http_ua_set, {_set('ssl_server_name')} AS ssl_sni_set
+       {_set('http_user_agent', 'http_host IS NOT NULL', 200)} AS http_ua_set,
+       {_set('ssl_server_name', chars=200)} AS ssl_sni_set
 FROM e3 LEFT JOIN (SELECT * EXCLUDE (ts, fkey, session) FROM fk) f ON f.uid = 'C' || record_id
 GROUP BY session_, ProcessGuid""", FLOWS, _KEYED))
 def a8(spark, sf):
@@ -384,7 +385,13 @@ def m8(spark, sf):
     return splits.run_index_folds(telemetry(spark, sf), 3).select("record_id", "fold")
 
 
-@check("m7_stratified_group_folds")
+@check("m7_stratified_group_folds", with_ev("""
+SELECT fold, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM ev JOIN (
+    SELECT ProcessGuid, CAST((row_number() OVER (PARTITION BY class ORDER BY pos DESC, n DESC, md5(ProcessGuid || '|0'), ProcessGuid) - 1
+        + CAST('0x' || substr(md5(class || '|0'), 1, 8) AS BIGINT) % 5) % 5 AS INT) AS fold
+    FROM (SELECT ProcessGuid, sum(label) AS pos, count(*) AS n,
+                 length(bin(CAST(sum(label) + 1 AS BIGINT))) || '/' || length(bin(count(*))) AS class FROM ev GROUP BY 1)) USING (ProcessGuid)
+GROUP BY fold"""))
 def m7(spark, sf):
     p = telemetry(spark, sf).select("ProcessGuid", "label", "record_id")
     return splits.stratified_group_folds(p, "ProcessGuid").groupBy("fold").agg(

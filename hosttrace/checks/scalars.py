@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hosttrace.checks.features import _entropy_sql, quoted
+from hosttrace.checks.features import EVIDENCE, RULES, _entropy_sql, quoted
 from hosttrace.checks.registry import check, r6, rounded, with_ev
 from hosttrace.checks.telemetry import table, telemetry, telemetry_table
 from hosttrace.functions import numeric, rules, text
@@ -119,11 +119,18 @@ def f7(spark, sf):
         "record_id", rules.harness_mask(c("Image"), c("CommandLine"), c("ParentCommandLine")).alias("harness"))
 
 
-@check("f10_alert_severity", """
-SELECT lang, CASE WHEN count(DISTINCT source) >= 3 THEN 'high' ELSE 'low' END AS severity FROM documents GROUP BY lang""")
+_LEVEL = """CASE WHEN substr(technique, 1, 5) IN ('T1007', 'T1012', 'T1016', 'T1033', 'T1049', 'T1057', 'T1069', 'T1082', 'T1083',
+    'T1087', 'T1518') THEN 0 WHEN technique NOT LIKE 'T%' OR technique LIKE 'T1059%' THEN 1 ELSE 2 END"""
+
+
+@check("f10_alert_severity", with_ev(f"""
+SELECT platform, run_id, computer, CASE WHEN count(DISTINCT split_part(technique, ' ', 1)) FILTER (WHERE technique <> '') >= 3 THEN 'high'
+    WHEN max({_LEVEL}) = 2 THEN 'high' WHEN max({_LEVEL}) = 1 THEN 'medium' ELSE 'low' END AS severity,
+    count(*) AS n_flagged FROM evidence WHERE tier IN ('DIRECT', 'PARENT') GROUP BY ALL""", RULES, EVIDENCE))
 def f10(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang").agg(
-        F.when(F.count_distinct("source") >= 3, "high").otherwise("low").alias("severity"))
+    from hosttrace.operators.alerts import alert_severity
+    hits = rules.with_evidence(telemetry_table(spark, sf)).where("tier IN ('DIRECT', 'PARENT')")
+    return alert_severity(hits, ["platform", "run_id", "computer"])
 
 
 @check("f11_text_lengths", """
@@ -188,7 +195,13 @@ SELECT event_id AS record_id, CAST(CASE event_type WHEN 'view' THEN 1 WHEN 'clic
        '10.0.0.1' AS host_ip, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS parent_known
 FROM events WHERE event_type <> 'error'""")
 def s3(spark, sf):
-    """Log lines spelled from the rows and read back by the parser; `error` rows become the sensor's own messages."""
+    return parse_events(linux_lines(event_lines(spark, sf)), "linux").select(
+        "record_id", "EventID", "event_name", "ProcessGuid", "ProcessId", "computer", "CommandLine", "host_ip",
+        "parent_known")
+
+
+def event_lines(spark, sf):
+    """Log lines spelled from the rows of `events`; `error` rows become the sensor's own messages."""
     c = F.col
     event = (F.when(c("event_type") == "view", "1").when(c("event_type") == "click", "3")
              .when(c("event_type") == "purchase", "11").when(c("event_type") == "error", "255").otherwise("77"))
@@ -205,10 +218,7 @@ def s3(spark, sf):
         data("ProcessGuid", F.concat(F.lit("{"), c("user_id").cast("string"), F.lit("}"))),
         data("ProcessId", c("user_id")), data("User", F.lit("-")), F.lit('<Data Name="Image"/>'),
         data("CommandLine", quoted_props), data("ParentProcessGuid", parent), F.lit("</EventData></Event>"))
-    lines = table(spark, sf, "events").select(line.alias("value"), F.lit("s").alias("session"))
-    return parse_events(linux_lines(lines), "linux").select(
-        "record_id", "EventID", "event_name", "ProcessGuid", "ProcessId", "computer", "CommandLine", "host_ip",
-        "parent_known")
+    return table(spark, sf, "events").select(line.alias("value"), F.lit("s").alias("session"))
 
 
 @check("j3_side_logs", """

@@ -69,6 +69,7 @@ OSBOOK = [
 # Strength of evidence across the events of one process (inside one event the order is DIRECT, OSBOOK, PARENT).
 TIER_RANK = {"DIRECT": 3, "PARENT": 2, "OSBOOK": 1, "none": 0}
 
+# Tactic of each technique, and the techniques of discovery.
 TACTICS = {
     "T1005": "collection", "T1074": "collection", "T1016": "discovery", "T1033": "discovery", "T1057": "discovery",
     "T1082": "discovery", "T1083": "discovery", "T1087": "discovery", "T1027": "defense_evasion",

@@ -4,11 +4,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from hosttrace.functions.rules import severity, severity_rank
 from hosttrace.operators.ordered import lag_of, lookup_prefix, row_numbers, running
 from hosttrace.session import materialize
 
-MAX_ROUNDS = 64
-
 
 def _candidates(flags, keys, window_us, least):
     """Distinct flag times with at least ``least`` flags in (t - W, t], and whether a true one is among them."""
@@ -41,7 +40,7 @@ def window_alerts(flags, window_s, least, keys=("platform", "run_id")):
     starts = lagged.where(F.col("prev").isNull() | (F.col("at") - F.col("prev") >= w)).select(*keys, "at")
     reached = materialize(starts, "alerts")
     size = reached.count()
-    for _ in range(MAX_ROUNDS):
+    while True:  # ends once a round of doubled jumps reaches nothing new
         step = reached.join(jump, [*keys, "at"]).select(*keys, F.col("next").alias("at"))
         reached = materialize(reached.unionByName(step).distinct(), "alerts")
         grown = reached.count()
@@ -74,6 +73,20 @@ def host_alert_summary(processes, window_s, least, keys=("platform", "run_id")):
         F.when(attack, (F.col("_first") - F.col("_attack_start")) / 1e6).alias("ttd_s"))
 
 
+def alert_severity(flags, keys, technique="technique"):
+    """Severity of an alert over flagged rows: high for three or more distinct techniques, else the highest of its flags.
+
+    Sub-techniques count by their own number; rows without a technique count for the level alone.
+    """
+    level = severity_rank(severity(F.col(technique)))
+    number = F.when(F.coalesce(technique, F.lit("")) != "", F.split(technique, " ")[0])
+    out = flags.groupBy(*keys).agg(F.count_distinct(number).alias("_techniques"), F.max(level).alias("_rank"),
+                                   F.count(F.lit(1)).alias("n_flagged"))
+    high = (F.col("_techniques") >= 3) | (F.col("_rank") == 2)
+    return out.select(*keys, F.when(high, "high").when(F.col("_rank") == 1, "medium").otherwise("low").alias("severity"),
+                      "n_flagged")
+
+
 def first_detection(scores, ages, threshold, keys=("platform", "run_id", "ProcessGuid"), strict=False):
     """First age at which a process is flagged -> wall-clock detection time; the last age means its last event.
 

@@ -28,7 +28,7 @@ class EventEncoder:
     codes: dict = field(default_factory=dict)
 
     def fit(self, df, first_seen_by=None):
-        """One pass for the counts, one small query for the values of the categorical columns.
+        """One pass for the counts, one for exact distinct counts, one small query for the categorical columns' values.
 
         ``first_seen_by``: number the values by first appearance in that order instead of alphabetically.
         """
@@ -36,11 +36,13 @@ class EventEncoder:
         fields = [f for f in df.schema.fields if f.name not in DROP and not f.name.startswith("_")
                   and not isinstance(f.dataType, (T.TimestampType, T.DateType))]
         texts = [f.name for f in fields if not _numeric(f)]
-        counts = df.agg(*[F.count(f.name).alias("n_" + f.name) for f in fields],
-                        *[F.hll_sketch_estimate(F.hll_sketch_agg(c)).alias("d_" + c) for c in texts]).first()
+        counts = df.agg(*[F.count(f.name).alias("n_" + f.name) for f in fields]).first()
         kept = [f for f in fields if counts["n_" + f.name] > 0]
-        # The estimate only rules out columns far above the limit; near it the exact values below decide.
-        few = [f.name for f in kept if not _numeric(f) and counts["d_" + f.name] < 2 * self.limit]
+        distinct = {}
+        if texts:
+            long = df.select(*texts).unpivot([], texts, "column", "value").where("value IS NOT NULL").distinct()
+            distinct = {r["column"]: r["count"] for r in long.groupBy("column").count().collect()}
+        few = [f.name for f in kept if not _numeric(f) and distinct[f.name] < self.limit]
         values = {}
         if few:
             order = F.col(first_seen_by) if first_seen_by else F.lit(0)
@@ -50,7 +52,7 @@ class EventEncoder:
         for f in kept:
             if _numeric(f):
                 self.kinds[f.name] = "numeric"
-            elif f.name in few and len(values[f.name]) < self.limit:
+            elif f.name in few:
                 self.kinds[f.name] = "cat"
                 self.codes[f.name] = {v: i for i, (_, v) in enumerate(sorted(values[f.name]))}
             else:

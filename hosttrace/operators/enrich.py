@@ -8,6 +8,7 @@ from hosttrace.operators.graph import depth_and_root_image
 from hosttrace.schema import INHERIT_COLS, RUN_KEY
 
 _ENTRY = "_entry"
+_SPREAD = 1 << 20
 
 
 def _filled(c):
@@ -38,8 +39,10 @@ def enrich(events, order=("record_id",), pid_fallback=True):
     entry, method = F.col(_ENTRY), F.when(F.col(_ENTRY).isNotNull(), "guid")
     if pid_fallback:
         by_pid = creation_records(events, "ProcessId", order).withColumnRenamed(_ENTRY, "_by_pid")
-        # Only events without a match look up their PID; the others carry a NULL key and stay put.
-        joined = joined.withColumn("_pid", F.when(F.col(_ENTRY).isNull(), F.col("ProcessId"))).join(
+        # Only events without a match look up their PID. The others get one of many negative numbers, which no process
+        # has, so that they spread over the tasks instead of meeting under one NULL.
+        nobody = (-1 - F.pmod(F.xxhash64(*order), F.lit(_SPREAD))).cast(events.schema["ProcessId"].dataType)
+        joined = joined.withColumn("_pid", F.coalesce(F.when(F.col(_ENTRY).isNull(), F.col("ProcessId")), nobody)).join(
             by_pid.withColumnRenamed("ProcessId", "_pid"), [*RUN_KEY, "_pid"], "left")
         entry = F.coalesce(F.col(_ENTRY), F.col("_by_pid"))
         method = method.when(F.col("_by_pid").isNotNull(), "pid")

@@ -17,11 +17,18 @@ DISTINCT = {"n_files": "TargetFilename", "n_dst_ip": "DestinationIp", "n_dst_por
 AGES = [0.0, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 300.0, float("inf")]  # seconds after the first event (fixed values)
 WHOLE = len(AGES) - 1
 _UNDATED = len(AGES)  # bin of events without a readable time: counted at no age
-_LONGEST_S = 10_000_000
+_LONGEST_S = 10_000_000  # how far "infinite" age looks back for siblings (fixed value): 116 days
+SHARES = 64  # into which the events of one process are dealt
 
 
 def _ordering(order):
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    """What "first" means: the sequence number, and the time where a row has none; last come rows with neither.
+
+    One number of fixed width, so that aggregates on it stay hash aggregates.
+    """
+    if tuple(order) == ORDER:
+        return F.coalesce(F.col("record_id").cast("long"), F.unix_micros("UtcTime"), F.lit(2**63 - 1))
+    return F.struct(*order)
 
 
 def first_value(value, order=ORDER):
@@ -138,10 +145,15 @@ def age_bin(age):
 
 
 def _aged(events, key):
-    """Events with their process start and age bin. Start comes from an aggregate plus an equi-join, which adaptive
-    execution can split for a hot process; a window over the process could not be split."""
+    """Events with their process start and age bin.
+
+    Start comes from an aggregate plus an equi-join. The rows are then dealt by process and a share of its events: with
+    that exchange in place adaptive execution may split a hot process in the join, and what follows adds up each share
+    before the shares of a process meet.
+    """
     starts = events.groupBy(*key).agg(F.min("UtcTime").alias("start"))
-    joined = events.join(starts, list(key))
+    share = F.pmod(F.xxhash64("record_id", "UtcTime", "EventID"), F.lit(SHARES))
+    joined = events.join(starts, list(key)).repartition(*[F.col(c) for c in key], share)
     return joined.withColumn("bin", age_bin(_seconds(F.col("UtcTime"), F.col("start")))), starts
 
 

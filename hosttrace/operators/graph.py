@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from hosttrace.functions.text import last_part
 from hosttrace.session import materialize
 
-MAX_ROUNDS = 1000
-
 
 def descendants(edges, seeds, child="child", parent="parent"):
     """Seeds and everything below them. ``edges`` may give a child several parents; cycles end the walk.
@@ -25,7 +23,7 @@ def descendants(edges, seeds, child="child", parent="parent"):
     frontier = materialize(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node IS NOT NULL").distinct(),
                            "frontier")
     reached = [frontier]
-    for _ in range(MAX_ROUNDS):
+    while True:  # ends, as every round adds nodes or is the last
         step = edges.join(frontier.withColumnRenamed("node", "_p"), "_p", "left_semi").select(
             F.col("_c").alias("node")).distinct()
         for known in reached:
@@ -34,7 +32,6 @@ def descendants(edges, seeds, child="child", parent="parent"):
         if frontier.isEmpty():
             return reduce(lambda a, b: a.unionAll(b), reached)
         reached = _folded(reached + [frontier])
-    raise RuntimeError(f"closure did not end after {MAX_ROUNDS} rounds")
 
 
 def _folded(tables, limit=6):
@@ -44,9 +41,15 @@ def _folded(tables, limit=6):
     return [materialize(reduce(lambda a, b: a.unionAll(b), tables), "reached")]
 
 
-def _jump(nodes):
-    """Pointer doubling over (node, up, dist): where ``up`` is NULL the walk has ended at the node itself."""
-    above = nodes.select(F.col("node").alias("up"), F.col("up").alias("_up2"), F.col("root").alias("_root2"),
+def left_join_on(df, other, key):
+    """Left join on one key in which rows without it pass by: they would all meet in one task of the shuffle."""
+    found = df.where(F.col(key).isNotNull()).join(other, key, "left")
+    return found.unionByName(df.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
+def _jump(nodes, every):
+    """One doubling of open (node, up, root, dist) rows; where ``up`` becomes NULL the walk has ended."""
+    above = every.select(F.col("node").alias("up"), F.col("up").alias("_up2"), F.col("root").alias("_root2"),
                          F.col("dist").alias("_dist2"))
     joined = nodes.join(above, "up", "left")
     return joined.select("node", F.col("_up2").alias("up"), F.coalesce("_root2", "root").alias("root"),
@@ -55,13 +58,16 @@ def _jump(nodes):
 
 def _climb(nodes):
     """Double until every open node lies on, or leads into, a cycle. Returns (table, any open left)."""
-    open_before = None
+    done, live, before = [nodes.where("up IS NULL")], nodes.where("up IS NOT NULL"), None
     while True:
-        still_open = nodes.where("up IS NOT NULL").count()
-        if still_open == 0 or still_open == open_before:
-            return nodes, still_open > 0
-        open_before = still_open
-        nodes = materialize(_jump(nodes), "climb")
+        every = reduce(lambda a, b: a.unionByName(b), [*done, live])
+        n = live.count()
+        if n == 0 or n == before:
+            return every, n > 0
+        # Only open nodes are joined and written again; a round adds the table of those it ends.
+        before, step = n, materialize(_jump(live, every), "climb")
+        done.append(step.where("up IS NULL"))
+        live = step.where("up IS NOT NULL")
 
 
 def topmost(processes, node="node", parent="parent"):
@@ -72,19 +78,19 @@ def topmost(processes, node="node", parent="parent"):
     p = processes.select(F.col(node).alias("node"), F.col(parent).alias("up")).where("node IS NOT NULL")
     known = p.select(F.col("node").alias("up"), F.lit(True).alias("_known"))
     start = materialize(
-        p.join(known, "up", "left").select("node", F.when(F.col("_known"), F.col("up")).alias("up"))
+        left_join_on(p, known, "up").select("node", F.when(F.col("_known"), F.col("up")).alias("up"))
         .withColumns({"root": F.coalesce("up", "node"), "dist": F.when(F.col("up").isNotNull(), 1).otherwise(0)}),
         "forest")
     climbed, cyclic = _climb(start)
     if cyclic:
         # A jump maps the open nodes onto fewer and fewer nodes until exactly the cycle members remain.
-        rest, size = climbed, None
+        rest, size = climbed.where("up IS NOT NULL"), None
         while True:
-            members = rest.where("up IS NOT NULL").select("up").distinct()
+            members = rest.select("up").distinct()
             n = members.count()
             if n == size:
                 break
-            size, rest = n, materialize(_jump(rest), "climb")
+            size, rest = n, materialize(_jump(rest, rest), "climb")
         on_cycle = members.select(F.col("up").alias("node"), F.lit(True).alias("_cycle"))
         cut = start.join(on_cycle, "node", "left").select(
             "node", F.when(F.col("_cycle").isNull(), F.col("up")).alias("up"),
@@ -106,7 +112,7 @@ def ancestor_paths(processes, length, node="node", parent="parent", value="value
     have = 1
     while have < length:
         above = paths.select(F.col("node").alias("up"), F.col("up").alias("_up2"), F.col("path").alias("_path2"))
-        paths = materialize(paths.join(above, "up", "left").select(
+        paths = materialize(left_join_on(paths, above, "up").select(
             "node", F.col("_up2").alias("up"),
             F.slice(F.concat("path", F.coalesce("_path2", F.array().cast(paths.schema["path"].dataType))), 1,
                     length).alias("path")), "paths")
@@ -151,7 +157,7 @@ def depth_and_root_image(processes, cap=20, node="node", parent="parent", image=
 def parent_status(processes, node="node", parent="parent"):
     """observed / parent_not_logged / no_parent_info per process."""
     known = processes.select(F.col(node).alias(parent), F.lit(True).alias("_known")).distinct()
-    return processes.join(known, parent, "left").withColumn(
+    return left_join_on(processes, known, parent).withColumn(
         "parent_status", F.when(F.col(parent).isNull(), "no_parent_info")
         .when(F.col("_known"), "observed").otherwise("parent_not_logged")).drop("_known")
 

@@ -110,16 +110,12 @@ def label_by_agent(events, pattern=AGENT_IMAGE, shells=SCRIPT_HOSTS, cap=60, ord
 def perfect_predictors(events, most_values=200, exclude=("label", "label_method", "is_seed")):
     """Columns whose every non-empty value goes with a single label, if they have at most ``most_values`` values.
 
-    A first pass estimates distinct counts and rules out columns far above the limit, so only the others are turned
-    into (column, value) rows; these are pre-aggregated before the shuffle.
+    Counts are exact: (column, value) rows are pre-aggregated before the shuffle, which deals them by both, so a column
+    of many values spreads like any other.
     """
     columns = [c for c in events.columns if c not in exclude]
-    estimate = events.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"))).alias(c) for c in columns]).first()
-    small = [c for c in columns if 0 < estimate[c] <= 2 * most_values]
-    if not small:
-        return events.sparkSession.createDataFrame([], "column string, n_values long, leaky boolean")
-    values = events.select("label", *[F.col(c).cast("string").alias(c) for c in small]).unpivot(
-        "label", small, "column", "value").where("value <> ''")
+    values = events.select("label", *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
+        "label", columns, "column", "value").where("value <> ''")
     per_value = values.groupBy("column", "value").agg(
         (F.min(F.coalesce(F.col("label"), F.lit(-1))) == F.max(F.coalesce(F.col("label"), F.lit(-1)))).alias("pure"))
     return (per_value.groupBy("column").agg(F.count(F.lit(1)).alias("n_values"), F.bool_and("pure").alias("pure"))

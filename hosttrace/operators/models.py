@@ -28,18 +28,22 @@ def with_balanced_weight(df, label="label", weight="weight"):
     return df.withColumn(weight, out)
 
 
-def _forest(trees, leaf, **extra):
+MAX_DEPTH = 30  # as deep as Spark's trees go
+MAX_BINS = 32   # candidate split points of a feature; more follow the data closer and cost more per node
+
+
+def _forest(trees, leaf, bins=MAX_BINS, **extra):
     return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees,
-                                  minInstancesPerNode=leaf, seed=SEED, **extra)
+                                  minInstancesPerNode=leaf, maxBins=bins, seed=SEED, **extra)
 
 
-def supervised():
+def supervised(bins=MAX_BINS):
     """The compared classifiers with their published settings. Spark trees stop at depth 30."""
     return {
         "Naive Bayes": NaiveBayes(modelType="gaussian", labelCol="label"),
-        "Decision Tree": _forest(1, 5, bootstrap=False, impurity="entropy", maxDepth=17,
+        "Decision Tree": _forest(1, 5, bins, bootstrap=False, impurity="entropy", maxDepth=17,
                                  featureSubsetStrategy="log2"),
-        "Random Forest": _forest(70, 9, bootstrap=False, maxDepth=20, featureSubsetStrategy="sqrt"),
+        "Random Forest": _forest(70, 9, bins, bootstrap=False, maxDepth=MAX_DEPTH, featureSubsetStrategy="sqrt"),
         "Linear SVM": LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", maxIter=50),
     }
 
@@ -82,7 +86,7 @@ def fit_typer(attacks, columns, target="scenario", trees=200):
     weighted = with_balanced_weight(attacks, target)
     indexer = StringIndexer(inputCol=target, outputCol="type_index", handleInvalid="skip").fit(weighted)
     forest = RandomForestClassifier(featuresCol="features", labelCol="type_index", weightCol="weight",
-                                    numTrees=trees, minInstancesPerNode=3, maxDepth=15, seed=SEED)
+                                    numTrees=trees, minInstancesPerNode=3, maxDepth=MAX_DEPTH, seed=SEED)
     names = IndexToString(inputCol="prediction", outputCol="attack_type", labels=indexer.labels)
     stages = [*preparation(columns, scale=False), forest]
     fitted = Pipeline(stages=stages).fit(indexer.transform(weighted))

@@ -15,7 +15,7 @@ from hosttrace.session import materialize
 WINDOW_S = 3.0
 MIN_HITS = 4          # per destination
 MIN_HITS_OVERALL = 3  # all destinations of the process together
-SET_CHARS = 200
+SET_CHARS = 200       # of the joined user agents and server names (fixed value)
 
 # Side-log columns attached to a connection, by log (fixed values).
 SIDE_COLUMNS = {
@@ -62,15 +62,20 @@ def keyed_flows(flows):
 
 
 def clock_offset(events, flows):
-    """Per session: median of flow time minus event time over keys with exactly one flow and one event."""
+    """Per session: median of flow time minus event time over keys with exactly one flow and one event.
+
+    A session without such a key has offset 0 from 0 pairs.
+    """
     one = F.count(F.lit(1))
     ev = events.where("ts IS NOT NULL").groupBy("session", "fkey").agg(one.alias("n"), F.min("ts").alias("ev_ts"))
     fl = flows.groupBy("session", "fkey").agg(one.alias("m"), F.min("ts").alias("fl_ts"))
     pairs = ev.where("n = 1").join(fl.where("m = 1"), ["session", "fkey"]).select(
         "session", (F.col("fl_ts") - F.col("ev_ts")).alias("delta"))
     pairs = materialize(pairs, "offsets")
-    return quantiles(pairs, ["session"], "delta", 0.5, "offset").join(
+    found = quantiles(pairs, ["session"], "delta", 0.5, "offset").join(
         pairs.groupBy("session").agg(one.alias("offset_n")), "session")
+    sessions = events.select("session").unionByName(flows.select("session")).where("session IS NOT NULL").distinct()
+    return sessions.join(found, "session", "left").fillna({"offset": 0.0, "offset_n": 0})
 
 
 _CLUSTER = ["session", "fkey", "cluster"]
@@ -255,13 +260,18 @@ def match_summary(events, flows, pairs):
         .alias("match_rate"))
 
 
-def _joined_set(fused, keys, column, out):
-    """Sorted distinct values as `a|b`, cut to SET_CHARS. Only the first values can show, so only they are kept."""
+def _joined_set(fused, keys, column, out, chars=None):
+    """Sorted distinct values as `a|b`, cut to ``chars`` characters if given.
+
+    In a cut text only the first ``chars`` values can show, so only they are kept. Uncut sets are of services and
+    connection states, whose values are few by nature.
+    """
     values = fused.where(F.coalesce(column, F.lit("")) != "").select(*keys, column.alias("_v")).distinct()
-    first = values.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))).where(
-        F.col("_r") <= SET_CHARS)
-    return first.groupBy(*keys).agg(F.substring(F.array_join(F.sort_array(F.collect_list("_v")), "|"), 1, SET_CHARS)
-                                    .alias(out))
+    if chars is not None:
+        values = values.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))).where(
+            F.col("_r") <= chars)
+    text = F.array_join(F.sort_array(F.collect_list("_v")), "|")
+    return values.groupBy(*keys).agg((text if chars is None else F.substring(text, 1, chars)).alias(out))
 
 
 def beacon_regularity(events, keys=("session", "ProcessGuid")):
@@ -337,6 +347,7 @@ def process_network(fused, keys=("session", "ProcessGuid")):
             "http_ua_set": F.when(http, F.substring(flow("http_user_agent"), 1, 60)),
             "ssl_sni_set": flow("ssl_server_name")}
     for name, column in sets.items():
-        out = out.join(_joined_set(fused, keys, column, name), keys, "left")
+        chars = SET_CHARS if name in ("http_ua_set", "ssl_sni_set") else None
+        out = out.join(_joined_set(fused, keys, column, name, chars), keys, "left")
     out = out.fillna("", list(sets))
     return out.join(beacon_regularity(fused, keys), keys, "left")

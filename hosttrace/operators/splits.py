@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 
 from hosttrace.operators.ordered import quantiles, row_numbers
 
-SLOT_GROUPS = 100_000
-
 
 def hash_bucket(group, seed, buckets):
     """Stable bucket of a group: eight hex digits of its salted MD5, modulo."""
@@ -36,21 +34,16 @@ def stratified_group_folds(df, group, label="label", k=5, seed=0, out="fold"):
     """Group folds with balanced class counts and no group on both sides.
 
     Groups of equal make-up are dealt round-robin in hash order: first all groups of a (positives, size) class, then
-    the next. Dealing happens per class of groups, pre-aggregated, never over single rows.
+    the next. Dealing happens per class of groups, pre-aggregated, never over single rows; the rank within a class
+    comes from chunked running counts, so a class of any size is dealt alike.
     """
     sizes = df.groupBy(group).agg(F.sum(F.col(label).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n"))
     dealt = sizes.withColumns({
-        "_class": F.concat_ws("/", F.floor(F.log2(F.col("_pos") + 1)).cast("string"),
-                              F.floor(F.log2(F.col("_n"))).cast("string")),
+        "_class": F.concat_ws("/", *[F.length(F.bin(c)).cast("string") for c in (F.col("_pos") + 1, F.col("_n"))]),
         "_h": F.md5(F.concat(F.col(group).cast("string"), F.lit("|"), F.lit(str(seed))))})
-    # Classes are powers of two, so there are at most 64 x 64 of them. A class of many groups splits into slots that
-    # deal on their own.
-    per_class = dealt.groupBy("_class").agg(F.ceil(F.count(F.lit(1)) / SLOT_GROUPS).alias("_slots"))
-    dealt = dealt.join(F.broadcast(per_class), "_class").withColumn(
-        "_slot", F.pmod(F.xxhash64(group), F.col("_slots")))
-    w = Window.partitionBy("_class", "_slot").orderBy(F.desc("_pos"), F.desc("_n"), "_h")
-    offset = F.pmod(F.xxhash64("_class", "_slot", F.lit(seed)), F.lit(k))
-    folds = dealt.select(group, ((F.row_number().over(w) - 1 + offset) % k).cast("int").alias(out))
+    ordered = dealt.where(F.col(group).isNotNull()).withColumns({"_less": -F.col("_pos"), "_fewer": -F.col("_n")})
+    ranked = row_numbers(ordered, ["_class"], ["_less", "_fewer", "_h", group])
+    folds = ranked.select(group, ((F.col("rn") - 1 + hash_bucket(F.col("_class"), seed, k)) % k).cast("int").alias(out))
     return df.join(folds, group)
 
 

@@ -27,6 +27,7 @@ LABEL_COLS = ["label_method", "is_seed"]
 PARSED_COLS = META_COLS + COMMON_COLS + PROCESS_COLS + NETWORK_COLS + FILE_COLS + WINDOWS_COLS + DERIVED_COLS
 EVENT_COLS = PARSED_COLS + ENRICH_COLS + LABEL_COLS + ["run_id"]
 
+# Names and kinds of events, inherited and trace columns.
 EVENT_NAMES = {
     1: "ProcessCreate", 2: "FileCreateTime", 3: "NetworkConnect", 5: "ProcessTerminate", 6: "DriverLoad",
     7: "ImageLoad", 8: "CreateRemoteThread", 9: "RawAccessRead", 10: "ProcessAccess", 11: "FileCreate",

@@ -1,18 +1,19 @@
 """Where loops cut their lineage: tables written to the shared checkpoint folder."""
 
+import re
 import tempfile
 import uuid
 
 
 def scratch_dir(spark):
-    """The cluster's checkpoint folder; a private temporary one only for local-mode sessions without a setting."""
+    """The cluster's checkpoint folder; a private temporary one only where driver and tasks are one process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hosttrace-"))
     return spark.sparkContext.getCheckpointDir()

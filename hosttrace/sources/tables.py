@@ -52,17 +52,25 @@ def _typed(df):
     return df.select(*out)
 
 
+def numbered(events):
+    """``record_id`` in reading order for tables that came without the log's own sequence number."""
+    return events if "record_id" in events.columns else events.withColumn("record_id", F.monotonically_increasing_id())
+
+
 def run_of_file(path, suffix="_labeled"):
     name = F.regexp_extract(path, r"([^/]+)$", 1)
     return F.regexp_replace(F.regexp_replace(name, r"\.(csv|csv\.gz|json|zip|log|xml)$", ""), suffix + "$", "")
 
 
-def read_event_csv(spark, paths, columns=None):
-    """Event CSV files with header, plain or gzipped, any column order; run_id is the file name unless present."""
+def read_event_csv(spark, paths, columns=None, multiline=True):
+    """Event CSV files with header, plain or gzipped, any column order; run_id is the file name unless present.
+
+    ``multiline=False`` says that no quoted value holds a line end; then a large file is split over many tasks.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     frames = []
     for p in paths:  # one header per path or glob; files under one glob share it
-        raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(p)
+        raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(p)
         if "run_id" not in raw.columns:
             raw = raw.select("*", run_of_file(F.col("_metadata.file_path")).alias("run_id"))
         frames.append(_typed(raw))
@@ -74,7 +82,7 @@ def _export(df, fields):
     known = [f for f in fields if f in df.columns]
     event = F.col("EventID").cast("string").try_cast("double")
     kept = df.where(event.isNotNull() & (event != INTERNAL_EVENT_ID)).select(*known)
-    return conform(_typed(kept), fields)
+    return numbered(conform(_typed(kept), fields))
 
 
 def _json_schema(fields):
@@ -116,9 +124,12 @@ def read_event_zip(spark, paths):
     return _export(kept, [*ARCHIVE_FIELDS, "run_id"]).withColumn("platform", F.lit("windows"))
 
 
-def read_event_flatcsv(spark, paths, provider="Microsoft-Windows-Sysmon"):
-    """Flattened-JSON CSV export: one provider, plain column names, single backslashes, no repeated rows."""
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(paths)
+def read_event_flatcsv(spark, paths, provider="Microsoft-Windows-Sysmon", multiline=True):
+    """Flattened-JSON CSV export: one provider, plain column names, single backslashes, no repeated rows.
+
+    ``record_id`` is the place of a row's first copy.
+    """
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(paths)
 
     def column(name):
         return F.col(f"`{name}`") if name in raw.columns else F.lit(None).cast("string")
@@ -129,7 +140,9 @@ def read_event_flatcsv(spark, paths, provider="Microsoft-Windows-Sysmon"):
     kept = raw.where(column(FLAT_PROVIDER) == provider).select(
         *[single(column(FLAT_PREFIX + k)).alias(v) for k, v in FLAT_FIELDS.items()],
         column(FLAT_EVENT_ID).try_cast("int").alias("EventID"), single(column(FLAT_HOST)).alias("host_name"))
-    return _typed(kept.where(F.coalesce("EventID", F.lit(0)) != INTERNAL_EVENT_ID)).dropDuplicates()
+    rows = numbered(_typed(kept.where(F.coalesce("EventID", F.lit(0)) != INTERNAL_EVENT_ID)))
+    values = [c for c in rows.columns if c != "record_id"]
+    return rows.groupBy(*values).agg(F.min("record_id").alias("record_id"))
 
 
 def read_event_folder(spark, paths):
@@ -137,41 +150,47 @@ def read_event_folder(spark, paths):
     return parse_events(read_linux_log(spark, paths), "linux").withColumn("run_id", F.col("session"))
 
 
-def read_public_csv(spark, paths, columns=PUBLIC_COLUMNS):
-    """Column subset of a labelled CSV; columns it lacks are NULL."""
-    return read_event_csv(spark, paths, [*columns, "run_id"])
+def read_public_csv(spark, paths, columns=PUBLIC_COLUMNS, platform="windows", multiline=True):
+    """Column subset of a labelled CSV, ready for feature building; columns it lacks are NULL."""
+    rows = read_event_csv(spark, paths, [*columns, "run_id"], multiline)
+    return numbered(rows).withColumn("platform", F.lit(platform))
 
 
 def read_connection_log(spark, path):
-    """Tab-separated connection log with `#` header lines; unset and empty markers become NULL.
+    """Tab-separated connection logs with `#` header lines; unset and empty markers become NULL.
 
-    Only the header lines reach the driver. ``line_no`` keeps the order of lines.
+    Every file is read by its own header: the separator, markers and field order may differ between files, and columns
+    are those of all layouts together. Headers stay in the cluster, one row a file; only the distinct layouts reach the
+    driver. ``line_no`` keeps the order of lines.
     """
-    text = spark.read.text(path)
-    headers = [r[0] for r in text.where(F.col("value").rlike(
-        r"^#(separator|unset_field|empty_field|fields)")).limit(100).collect()]
-    sep, unset, empty, fields = "\t", "-", "(empty)", []
-    for line in headers:
-        if line.startswith("#separator"):
-            raw = line.split(" ", 1)[1].strip()
-            sep = bytes.fromhex(raw[2:]).decode() if raw.startswith("\\x") else raw
-    for line in headers:
-        name, _, rest = line.partition(sep)
-        if name == "#unset_field":
-            unset = rest
-        elif name == "#empty_field":
-            empty = rest
-        elif name == "#fields" and not fields:
-            fields = rest.split(sep)
-    parts = F.split("value", "\\Q" + sep + "\\E", -1)
-
-    def value(i):
-        v = F.try_element_at(parts, F.lit(i + 1))
-        return F.when(~v.isin("", unset, empty), v)
-
-    body = text.where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    return body.select(*[value(i).alias(f.replace(".", "_")) for i, f in enumerate(fields)],
-                       F.monotonically_increasing_id().alias("line_no"))
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
+                                        F.monotonically_increasing_id().alias("line_no"))
+    line = F.col("value")
+    heads = text.where(line.startswith("#")).groupBy("_file").agg(*[
+        F.min_by("value", F.when(line.startswith("#" + k), F.col("line_no"))).alias(k)
+        for k in ("separator", "unset_field", "empty_field", "fields")])
+    named = F.trim(F.split("separator", " ", 2)[1])
+    heads = heads.withColumn("_sep", F.coalesce(
+        F.when(named.startswith("\\x"), F.decode(F.unhex(F.substring(named, 3, 2)), "UTF-8")), named, F.lit("\t")))
+    quoted = F.concat(F.lit("\\Q"), F.col("_sep"), F.lit("\\E"))
+
+    def rest(name):
+        return F.split(name, quoted, 2)[1]
+
+    heads = heads.select("_file", "_sep", F.coalesce(rest("unset_field"), F.lit("-")).alias("_unset"),
+                         F.coalesce(rest("empty_field"), F.lit("(empty)")).alias("_empty"),
+                         F.split(rest("fields"), quoted, -1).alias("_fields"))
+    layouts = heads.select("_fields").distinct().collect()
+    names = list(dict.fromkeys(f for r in layouts for f in r["_fields"] or []))
+    body = text.where(~line.startswith("#") & (line != "")).join(heads, "_file").withColumn(
+        "_parts", F.split("value", quoted, -1))
+
+    def value(name):
+        at = F.nullif(F.array_position("_fields", name).cast("int"), F.lit(0))
+        v = F.try_element_at("_parts", at)
+        return F.when((v != "") & (v != F.col("_unset")) & (v != F.col("_empty")), v)
+
+    return body.select(*[value(f).alias(f.replace(".", "_")) for f in names], "line_no")
 
 
 def connections(conn, session):

@@ -21,8 +21,8 @@ from hosttrace.sources.logs import file_stem, linux_lines, parse_events, windows
 
 THRESHOLDS = {"windows": 0.99, "linux": 0.90}  # per platform (fixed values)
 WINDOW_S, MIN_PROCESSES, TOP_PROCESSES = 300, 1, 10
-LATENESS = "60 seconds"
-TTL_MS = 6 * 3600 * 1000
+LATENESS = "60 seconds"       # default watermark delay
+TTL_MS = 6 * 3600 * 1000      # default life of untouched state; None keeps it for good
 # State and its expiry only advance with data here, so empty batches are left out.
 SETTINGS = {"spark.sql.streaming.noDataMicroBatches.enabled": "false",
             "spark.sql.streaming.stateStore.providerClass":
@@ -39,7 +39,7 @@ _FEATURE_ROW = (_KEYS + ", at timestamp, " + ", ".join(f"{c} double" for c in [*
                 + ", " + ", ".join(f"{c} string" for c in [*_TEXTS, "tier", "technique", "evidence"]))
 
 
-def stream_log(spark, folder, platform, run_id="live", max_files=None):
+def stream_log(spark, folder, platform, run_id="live", max_files=None, lateness=LATENESS):
     """Parsed events from a folder that log files are moved into; events without a process id or time are dropped."""
     reader = spark.readStream.format("text")
     if platform == "windows":
@@ -49,7 +49,7 @@ def stream_log(spark, folder, platform, run_id="live", max_files=None):
     lines = reader.load(folder).select("value", file_stem(F.col("_metadata.file_path")).alias("session"))
     records = windows_records(lines) if platform == "windows" else linux_lines(lines)
     events = usable(parse_events(records, platform).withColumn("run_id", F.lit(run_id)))
-    return events.withWatermark("UtcTime", LATENESS)
+    return events.withWatermark("UtcTime", lateness)
 
 
 def usable(events):
@@ -81,9 +81,12 @@ def prepared(events):
 class ProcessState(StatefulProcessor):
     """Running features of one process: counters in one value, distinct values as map keys on disk."""
 
+    def __init__(self, ttl_ms=TTL_MS):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle):
-        self.summary = handle.getValueState("summary", "payload string", TTL_MS)
-        self.seen = handle.getMapState("seen", "item string", "mark int", TTL_MS)
+        self.summary = handle.getValueState("summary", "payload string", self.ttl_ms)
+        self.seen = handle.getMapState("seen", "item string", "mark int", self.ttl_ms)
 
     def _new(self, tag, value):
         """1 if the value is new for the tag."""
@@ -157,10 +160,10 @@ class ProcessState(StatefulProcessor):
         pass
 
 
-def live_features(events):
+def live_features(events, ttl_ms=TTL_MS):
     """Features so far of every process touched in the micro-batch, harness processes left out."""
     rows = prepared(events).groupBy("platform", "run_id", "ProcessGuid").transformWithStateInPandas(
-        ProcessState(), _FEATURE_ROW, "Append", "ProcessingTime")
+        ProcessState(ttl_ms), _FEATURE_ROW, "Append", "ProcessingTime")
     structure = command_structure(F.col("payload"), F.col("Image"))
     described = rows.withColumn("payload", unwrap_command(F.col("CommandLine"))).withColumns(
         {n: c.cast("double") for n, c in structure.items()})
@@ -184,12 +187,12 @@ def flagged(scored, thresholds=None):
 class HostAlerts(StatefulProcessor):
     """Window rule per host: alert at N first flags within W seconds, then stay quiet for W seconds."""
 
-    def __init__(self, window_s=WINDOW_S, least=MIN_PROCESSES):
-        self.window_us, self.window_s, self.least = int(window_s * 1e6), window_s, least
+    def __init__(self, window_s=WINDOW_S, least=MIN_PROCESSES, ttl_ms=TTL_MS):
+        self.window_us, self.window_s, self.least, self.ttl_ms = int(window_s * 1e6), window_s, least, ttl_ms
 
     def init(self, handle):
-        self.known = handle.getMapState("known", "guid string", "at long", TTL_MS)
-        self.recent = handle.getValueState("recent", "payload string", TTL_MS)
+        self.known = handle.getMapState("known", "guid string", "at long", self.ttl_ms)
+        self.recent = handle.getValueState("recent", "payload string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         s = json.loads(self.recent.get()[0]) if self.recent.exists() else {"flags": [], "last": None, "alerts": 0}
@@ -230,13 +233,16 @@ _ALERT = ("platform string, run_id string, alert int, time timestamp, rule strin
           "techniques array<string>, n_flagged int, processes array<string>")
 
 
-def host_alerts(flags, window_s=WINDOW_S, least=MIN_PROCESSES):
+def host_alerts(flags, window_s=WINDOW_S, least=MIN_PROCESSES, ttl_ms=TTL_MS):
     return flags.groupBy("platform", "run_id").transformWithStateInPandas(
-        HostAlerts(window_s, least), _ALERT, "Append", "ProcessingTime")
+        HostAlerts(window_s, least, ttl_ms), _ALERT, "Append", "ProcessingTime")
+
 
+def detect(events, model, window_s=WINDOW_S, least=MIN_PROCESSES, thresholds=None, ttl_ms=TTL_MS):
+    """Events to alerts: process state, model, host state, in one streaming plan.
 
-def detect(events, model, window_s=WINDOW_S, least=MIN_PROCESSES, thresholds=None):
-    """Events to alerts: process state, model, host state, in one streaming plan."""
+    A process or host untouched for ``ttl_ms`` starts anew; choose it longer than processes are silent.
+    """
     for name, value in SETTINGS.items():
         events.sparkSession.conf.set(name, value)
-    return host_alerts(flagged(score_classifier(model, live_features(events)), thresholds), window_s, least)
+    return host_alerts(flagged(score_classifier(model, live_features(events, ttl_ms)), thresholds), window_s, least, ttl_ms)
