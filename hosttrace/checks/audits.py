@@ -11,7 +11,10 @@ from hosttrace.operators import audit, clean, encode, label, metrics, splits
 from hosttrace.operators.features import process_features
 from hosttrace.schema import PROCESS_KEY
 
-_REPORTED = ["CommandLine", "ParentProcessGuid", "DestinationIp", "TargetFilename", "TargetObject", "Device", "Image"]
+_REPORTED = ["record_id", "UtcTime", "EventID", "platform", "run_id", "session", "computer", "ProcessGuid", "ProcessId", "Image", "User",
+             "CommandLine", "CurrentDirectory", "ParentProcessGuid", "ParentProcessId", "ParentImage", "ParentCommandLine", "Protocol",
+             "SourceIp", "SourcePort", "DestinationIp", "DestinationPort", "TargetFilename", "TargetObject", "Device", "label", "size"]
+_LOGGED = [c for c in _REPORTED if c not in ("record_id", "UtcTime", "size")]
 
 
 def _per_column(template, columns=_REPORTED):
@@ -27,11 +30,12 @@ def a10(spark, sf):
 
 @check("a11_field_inventory", with_ev(_per_column(
     "SELECT EventID, '{c}' AS name, count(*) AS present, count(*) FILTER (WHERE trim({c}) NOT IN ('', '-')) AS useful, "
-    "count(*) FILTER (WHERE trim({c}) NOT IN ('', '-')) = 0 AS always_empty FROM ev GROUP BY EventID")))
+    "count(*) FILTER (WHERE trim({c}) NOT IN ('', '-')) = 0 AS always_empty FROM ev GROUP BY EventID", _LOGGED)
+    .replace("trim(", "trim(CAST(").replace(") NOT IN", " AS VARCHAR)) NOT IN")))
 def a11(spark, sf):
-    e = telemetry(spark, sf).select("EventID", *_REPORTED)
+    e = telemetry(spark, sf)
     return audit.field_inventory(e.select("EventID", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in _REPORTED])).alias("f"))
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in _LOGGED])).alias("f"))
         .select("EventID", "f.*"))
 
 
@@ -82,14 +86,14 @@ def a14_empty(spark, sf):
 _GAPS = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", 100.0 * count({c}) FILTER (WHERE platform = 'linux') / count(*) FILTER "
     f"(WHERE platform = 'linux') AS linux, 100.0 * count({c}) FILTER (WHERE platform = 'windows') / count(*) FILTER "
-    f"(WHERE platform = 'windows') AS windows FROM ev" for c in _REPORTED)
+    f"(WHERE platform = 'windows') AS windows FROM ev" for c in _REPORTED if c != "platform")
 
 
 @check("a16_fill_gap", with_ev(f"""
 SELECT "column", round(linux, 6) AS linux, round(windows, 6) AS windows, round(abs(linux - windows), 6) AS gap
-FROM ({_GAPS}) WHERE abs(linux - windows) >= 5"""))
+FROM ({_GAPS}) WHERE abs(linux - windows) >= 20"""))
 def a16(spark, sf):
-    return rounded(audit.fill_gap(telemetry(spark, sf), "linux", "windows", _REPORTED, least=5.0))
+    return rounded(audit.fill_gap(telemetry(spark, sf), "linux", "windows", [c for c in _REPORTED if c != "platform"]))
 
 
 @check("a17_label_share_gap", with_ev("""
@@ -100,6 +104,16 @@ def a17(spark, sf):
     return rounded(audit.label_share_gap(telemetry(spark, sf), "linux", "windows"))
 
 
+@check("a17_merge_verdict", with_ev("""
+SELECT 'label_share_gap' AS reason, round(abs(linux - windows), 6) AS value FROM (
+    SELECT 100 * avg(label) FILTER (WHERE platform = 'linux') AS linux, 100 * avg(label) FILTER (WHERE platform = 'windows') AS windows
+    FROM ev) WHERE abs(linux - windows) >= 15
+UNION ALL SELECT 'one_sided_event_ids', CAST(count(*) AS DOUBLE) FROM (SELECT EventID FROM ev GROUP BY EventID
+    HAVING count(DISTINCT platform) = 1) HAVING count(*) > 0"""))
+def a17_verdict(spark, sf):
+    return rounded(audit.merge_verdict(telemetry(spark, sf), "linux", "windows"))
+
+
 _SHARES = """shares AS (SELECT computer, EventID, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY computer) AS pct
     FROM ev GROUP BY computer, EventID), pooled AS (SELECT EventID, 100.0 * count(*) / sum(count(*)) OVER () AS pooled FROM ev
     GROUP BY EventID), grid AS (SELECT computer, EventID, pooled, coalesce(pct, 0) AS pct

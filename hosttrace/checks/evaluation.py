@@ -86,8 +86,41 @@ def _set(c, where="true", chars=None):
 _ENT = _entropy_sql("split_part(dns_query, '.', 1)")
 
 
+def _spacing(keys, name):
+    return f"""{name}_gap AS (SELECT *, epoch_us(UtcTime) - lag(epoch_us(UtcTime)) OVER (PARTITION BY {keys} ORDER BY
+    UtcTime, record_id) AS gap FROM dsts), {name} AS (SELECT {keys}, count(*) AS n, avg(gap) / 1e6 AS mean_s,
+    stddev_pop(gap) / 1e6 AS sd_s, stddev_pop(gap) / avg(gap) AS cv FROM {name}_gap GROUP BY {keys}
+    HAVING count(*) >= 3 AND sum(gap) > 0)"""
+
+
+def _beacon_sql(keys, source):
+    """(select, CTEs) of the most regular destination for each value of ``keys`` (two columns)."""
+    one, two = keys
+    on = lambda t: f"{t}.{one} = a.{one} AND {t}.{two} = a.{two}"
+    select = f"""
+SELECT a.{one}, a.{two}, coalesce(b.n, a.n) AS beacon_n,
+       round(CASE WHEN b.n IS NULL THEN o.mean_s ELSE b.mean_s END, 3) AS beacon_mean_s,
+       round(CASE WHEN b.n IS NULL THEN o.sd_s ELSE b.sd_s END, 3) AS beacon_sd_s,
+       round(CASE WHEN b.n IS NULL THEN o.cv ELSE b.cv END, 4) AS beacon_cv, coalesce(b.dst, '') AS beacon_dst
+FROM (SELECT {one}, {two}, count(*) AS n FROM dsts GROUP BY ALL) a
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY {one}, {two} ORDER BY cv, dst) AS rn FROM per_dst WHERE n >= 4) b
+ON {on('b')} AND b.rn = 1 LEFT JOIN overall o ON {on('o')}"""
+    dsts = f"""dsts AS (SELECT *, coalesce(DestinationIp, '') || ':' || coalesce(CAST(DestinationPort AS VARCHAR), '') AS dst FROM {source})"""
+    return select, [dsts, _spacing(f"{one}, {two}, dst", "per_dst"), _spacing(f"{one}, {two}", "overall")]
+
+
+_BY_DAY, _DAY_PARTS = _beacon_sql(("computer", "day"), "(SELECT *, run_id AS day FROM ev WHERE EventID = 3)")
+_BY_PROCESS, _PROCESS_PARTS = _beacon_sql(("session_", "ProcessGuid"), "e3")
+
+
+@check("a9_beacon_regularity", with_ev(_BY_DAY, *_DAY_PARTS))
+def a9(spark, sf):
+    e = telemetry_table(spark, sf).where("EventID = 3").withColumn("day", F.col("run_id"))
+    return network.beacon_regularity(e, ("computer", "day"))
+
+
 @check("a8_process_network", with_ev(f"""
-SELECT session_ AS session, ProcessGuid, arg_min(Image, record_id) AS Image, arg_min("User", record_id) AS "User",
+SELECT n.* EXCLUDE (session_), session_ AS session, beacon_n, beacon_mean_s, beacon_sd_s, beacon_cv, beacon_dst FROM (SELECT session_, ProcessGuid, arg_min(Image, record_id) AS Image, arg_min("User", record_id) AS "User",
        arg_min(label, record_id) AS label, count(*) AS flow_n, count(uid) AS flow_matched,
        count(DISTINCT DestinationIp) AS dst_ip_n, count(DISTINCT DestinationPort) AS dst_port_n,
        CAST(sum(orig_bytes) AS BIGINT) AS bytes_sent, CAST(sum(resp_bytes) AS BIGINT) AS bytes_recv,
@@ -99,35 +132,11 @@ SELECT session_ AS session, ProcessGuid, arg_min(Image, record_id) AS Image, arg
        {_set('http_user_agent', 'http_host IS NOT NULL', 200)} AS http_ua_set,
        {_set('ssl_server_name', chars=200)} AS ssl_sni_set
 FROM e3 LEFT JOIN (SELECT * EXCLUDE (ts, fkey, session) FROM fk) f ON f.uid = 'C' || record_id
-GROUP BY session_, ProcessGuid""", FLOWS, _KEYED))
+GROUP BY session_, ProcessGuid) n LEFT JOIN ({_BY_PROCESS}) b USING (session_, ProcessGuid)""", FLOWS, _KEYED, *_PROCESS_PARTS))
 def a8(spark, sf):
     ev, fl = _sides(spark, sf)
     fused = materialize(network.fuse(ev, fl, network.match_flows(ev, fl)), "fused")
-    beacons = ["beacon_n", "beacon_mean_s", "beacon_sd_s", "beacon_cv", "beacon_dst"]
-    return network.process_network(fused).drop(*beacons)
-
-
-def _spacing(keys, name):
-    return f"""{name}_gap AS (SELECT *, epoch_us(UtcTime) - lag(epoch_us(UtcTime)) OVER (PARTITION BY {keys} ORDER BY
-    UtcTime, record_id) AS gap FROM dsts), {name} AS (SELECT {keys}, count(*) AS n, avg(gap) / 1e6 AS mean_s,
-    stddev_pop(gap) / 1e6 AS sd_s, stddev_pop(gap) / avg(gap) AS cv FROM {name}_gap GROUP BY {keys}
-    HAVING count(*) >= 3 AND sum(gap) > 0)"""
-
-
-@check("a9_beacon_regularity", with_ev("""
-SELECT a.computer, a.day, coalesce(b.n, a.n) AS beacon_n,
-       round(CASE WHEN b.n IS NULL THEN o.mean_s ELSE b.mean_s END, 3) AS beacon_mean_s,
-       round(CASE WHEN b.n IS NULL THEN o.sd_s ELSE b.sd_s END, 3) AS beacon_sd_s,
-       round(CASE WHEN b.n IS NULL THEN o.cv ELSE b.cv END, 4) AS beacon_cv, coalesce(b.dst, '') AS beacon_dst
-FROM (SELECT computer, day, count(*) AS n FROM dsts GROUP BY ALL) a
-LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY computer, day ORDER BY cv, dst) AS rn FROM per_dst WHERE n >= 4) b
-ON b.computer = a.computer AND b.day = a.day AND b.rn = 1
-LEFT JOIN overall o ON o.computer = a.computer AND o.day = a.day""", """dsts AS (SELECT *, run_id AS day,
-    coalesce(DestinationIp, '') || ':' || coalesce(CAST(DestinationPort AS VARCHAR), '') AS dst
-    FROM ev WHERE EventID = 3)""", _spacing("computer, day, dst", "per_dst"), _spacing("computer, day", "overall")))
-def a9(spark, sf):
-    e = telemetry_table(spark, sf).where("EventID = 3").withColumn("day", F.col("run_id"))
-    return network.beacon_regularity(e, ("computer", "day"))
+    return network.process_network(fused)
 
 
 # --- alerts -------------------------------------------------------------------------------------------------------
@@ -212,22 +221,27 @@ def w11(spark, sf):
     return rounded(alerts.false_alarms(found, alerts.run_hours(telemetry_table(spark, sf))))
 
 
-@check("m25_host_alert_summary", _alert_sql(3600, 2).replace(_HOT, _DET + """, hot AS (SELECT platform, run_id, d AS t,
-    label FROM det WHERE d IS NOT NULL)""").split("\nSELECT platform, run_id, t AS")[0] + """
+def _summary_sql(window, least):
+    flagged = _DET + """, hot AS (SELECT platform, run_id, d AS t, label FROM det WHERE d IS NOT NULL)"""
+    return _alert_sql(window, least).replace(_HOT, flagged).split("\nSELECT platform, run_id, t AS")[0] + """
 SELECT platform, run_id, CAST(attacks > 0 AS INT) AS attack_run, coalesce(alerts, 0) AS alerts,
        coalesce(hits, 0) AS true_alerts, coalesce(alerts - hits, 0) AS false_alarms,
        CASE WHEN attacks > 0 THEN CAST(coalesce(hits, 0) > 0 AS INT) END AS detected,
        round(CASE WHEN attacks > 0 THEN (hit_at - attack_at) / 1e6 END, 6) AS ttd_s
 FROM (SELECT platform, run_id, count(*) FILTER (WHERE label = 1) AS attacks, min(s) FILTER (WHERE label = 1) AS attack_at
       FROM det GROUP BY ALL) LEFT JOIN (SELECT platform, run_id, count(*) AS alerts, count(*) FILTER (WHERE bad > 0)
-      AS hits, min(t) FILTER (WHERE bad > 0) AS hit_at FROM walk GROUP BY ALL) USING (platform, run_id)""")
+      AS hits, min(t) FILTER (WHERE bad > 0) AS hit_at FROM walk GROUP BY ALL) USING (platform, run_id)"""
+
+
+@check("m25_host_alert_summary", _summary_sql(3600, 2))
 def m25(spark, sf):
     return rounded(alerts.host_alert_summary(materialize(_detections(spark, sf), "detections"), 3600, 2))
 
 
-@check("m25_alert_grid")
+@check("m25_alert_grid", " UNION ALL ".join(
+    f'SELECT *, {w} AS "W", {n} AS "N" FROM ({_summary_sql(w, n)})' for w in (60, 300) for n in (1, 2, 3)))
 def m25_grid(spark, sf):
-    return alerts.alert_grid(materialize(_detections(spark, sf), "detections"))
+    return rounded(alerts.alert_grid(materialize(_detections(spark, sf), "detections")))
 
 
 @check("w3_gaps", with_ev("""

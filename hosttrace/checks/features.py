@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hosttrace.checks.registry import EV, KEY, NODE, PARENT, check, r6, rounded, with_ev
-from hosttrace.checks.telemetry import telemetry, telemetry_table
+from hosttrace.checks.telemetry import payload_sql, telemetry, telemetry_table
 from hosttrace.functions.rules import EVIDENCE_TESTS, TACTICS, TACTIC_NAMES, severity, technique_of, with_evidence
 from hosttrace.functions.text import PRIVATE_IP, SENSITIVE
 from hosttrace.operators import features
@@ -49,14 +49,13 @@ _AGES = "ages AS (SELECT * FROM (VALUES " + ", ".join(
 _AGED = f"""aged AS (SELECT ev.*, s.start, (epoch_us(UtcTime) - epoch_us(start)) / 1e6 AS since
     FROM ev JOIN (SELECT {KEY}, min(UtcTime) AS start FROM ev GROUP BY {KEY}) s USING ({KEY}))"""
 _PREFIX = "prefix AS (SELECT aged.*, age_ix, age FROM aged JOIN ages ON since <= age)"
-_PREFIX_COLS = [c for c in features.PROCESS_FEATURES if c not in ("cmd_len", "pcmd_len")]
+_UNWRAPPED = f"""unwrapped AS (SELECT * REPLACE ({payload_sql('CommandLine')} AS CommandLine,
+    {payload_sql('ParentCommandLine')} AS ParentCommandLine) FROM prefix)"""
 
 
-@check("a4_prefix_features", with_ev(
-    f"SELECT * EXCLUDE (cmd_len, pcmd_len) FROM ({_features_sql(KEY + ', age_ix', 'prefix')})", _AGES, _AGED, _PREFIX))
+@check("a4_prefix_features", with_ev(_features_sql(KEY + ", age_ix", "unwrapped"), _AGES, _AGED, _PREFIX, _UNWRAPPED))
 def a4(spark, sf):
-    rows = features.prefix_features(telemetry_table(spark, sf), behaviour=False)
-    return rounded(rows.select(*PROCESS_KEY, "age_ix", *_PREFIX_COLS))
+    return rounded(features.prefix_features(telemetry_table(spark, sf), behaviour=False))
 
 
 def _entropy_sql(c):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from hosttrace.checks.features import EVIDENCE, RULES, _entropy_sql, quoted
 from hosttrace.checks.registry import check, r6, rounded, with_ev
-from hosttrace.checks.telemetry import table, telemetry, telemetry_table
+from hosttrace.checks.telemetry import payload_sql, table, telemetry, telemetry_table
 from hosttrace.functions import numeric, rules, text
 from hosttrace.sources.logs import linux_lines, parse_events
 
@@ -64,7 +64,8 @@ def f2(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.basename(u).alias("base"), text.extension(u).alias("ext"))
 
 
-@check("f3_launcher_unwrap")
+@check("f3_launcher_unwrap", with_ev(
+    f"SELECT record_id, {payload_sql('CommandLine')} AS payload FROM ev WHERE CommandLine IS NOT NULL"))
 def f3(spark, sf):
     cmd = F.col("CommandLine")
     return telemetry_table(spark, sf).where(cmd.isNotNull()).select("record_id", text.unwrap_command(cmd).alias("payload"))

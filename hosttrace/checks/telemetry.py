@@ -30,6 +30,17 @@ _OBJECTS = [r"HKLM\Software\Microsoft\Windows\CurrentVersion\Run\upd", r"HKLM\Sy
 _SCENARIOS = ["benign", "ransomware", "miner", "exploit", "botnet", "trojan"]
 
 
+# What is left of each command without its launcher, worked out by hand.
+PAYLOADS = {"sh -c 'uname -a'": "uname -a", '"cmd.exe" /c tasklist | findstr lsass': "tasklist | findstr lsass",
+            '"powershell.exe" & {Get-Process}': "Get-Process"}
+
+
+def payload_sql(column):
+    """A CASE for the payload of a telemetry command."""
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    return f"CASE {column} " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in PAYLOADS.items()) + f" ELSE {column} END"
+
+
 def _pick(index, values):
     arms = " ".join(f"WHEN {i} THEN '{v.replace(chr(39), chr(39) * 2)}'" for i, v in enumerate(values))
     return f"CASE CAST({index} % {len(values)} AS INT) {arms} END"

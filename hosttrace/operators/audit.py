@@ -127,18 +127,19 @@ def one_sided_events(events, first, second, group="platform"):
 
 
 def merge_verdict(events, first, second, group="platform", platform_accuracy=None):
-    """Reasons against a plain union of two groups, one row each."""
-    spark = events.sparkSession
-    share = label_share_gap(events, first, second, group).first()
-    sided = [r["EventID"] for r in one_sided_events(events, first, second, group).select("EventID").collect()]
-    reasons = []
+    """Reasons against a plain union of two groups, one row each.
+
+    ``platform_accuracy``: how often a model tells the groups apart, if one was fitted.
+    """
+    share = label_share_gap(events, first, second, group).where("leaks").select(
+        F.lit("label_share_gap").alias("reason"), F.col("gap").alias("value"))
+    sided = one_sided_events(events, first, second, group).agg(F.count(F.lit(1)).cast("double").alias("value")).where(
+        "value > 0").select(F.lit("one_sided_event_ids").alias("reason"), "value")
+    out = share.unionByName(sided)
     if platform_accuracy is not None and platform_accuracy > 0.95:
-        reasons.append(("platform_predictable", float(platform_accuracy)))
-    if share["leaks"]:
-        reasons.append(("label_share_gap", float(share["gap"])))
-    if sided:
-        reasons.append(("one_sided_event_ids", float(len(sided))))
-    return spark.createDataFrame(reasons, "reason string, value double")
+        out = out.unionByName(events.sparkSession.range(1).select(
+            F.lit("platform_predictable").alias("reason"), F.lit(float(platform_accuracy)).alias("value")))
+    return out
 
 
 def event_shares(events, by=()):
