@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from hosttrace.checks.features import EVIDENCE, RULES
+from hosttrace.checks.features import EVIDENCE, RULES, _features_sql
 from hosttrace.checks.registry import KEY, NODE, check, r6, rounded, with_ev
 from hosttrace.checks.relations import _PROCS
 from hosttrace.checks.telemetry import table, telemetry, telemetry_table
 from hosttrace.functions import numeric, text
 from hosttrace.operators import audit, clean, encode, label, metrics, splits
 from hosttrace.operators.features import process_features
-from hosttrace.schema import PROCESS_KEY
+from hosttrace.schema import PROCESS_FEATURES, PROCESS_KEY
 
 _REPORTED = ["record_id", "UtcTime", "EventID", "platform", "run_id", "session", "computer", "ProcessGuid", "ProcessId", "Image", "User",
              "CommandLine", "CurrentDirectory", "ParentProcessGuid", "ParentProcessId", "ParentImage", "ParentCommandLine", "Protocol",
@@ -478,12 +478,11 @@ def m2(spark, sf):
     return enc.transform(e, keep=["record_id"])
 
 
-@check("m3_constant_columns", with_ev("""
-SELECT 'constant' AS kind, CAST(min(n_2) = max(n_2) AS BIGINT) + CAST(min(n) = max(n) AS BIGINT) AS n FROM (
-    SELECT count(*) FILTER (WHERE EventID = 2) AS n_2, count(*) AS n FROM ev GROUP BY ProcessGuid)"""))
+@check("m3_constant_columns", with_ev(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", min({c}) = max({c}) AS constant FROM feats" for c in PROCESS_FEATURES),
+    f"feats AS ({_features_sql(KEY, 'ev', ', label')})"))
 def m3(spark, sf):
-    found = encode.constant_columns(process_features(telemetry(spark, sf)), ["ev_2", "n_events"])
-    return spark.createDataFrame([("constant", len(found))], "kind string, n long")
+    return encode.column_spread(process_features(telemetry(spark, sf)), PROCESS_FEATURES)
 
 
 @check("m4_standardise", f"""

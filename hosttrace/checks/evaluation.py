@@ -417,10 +417,7 @@ SELECT s.session AS held_out, count(*) FILTER (WHERE e.session = s.session) AS n
        count(*) FILTER (WHERE e.session <> s.session) AS n_train
 FROM ev e CROSS JOIN (SELECT DISTINCT session FROM ev WHERE session NOT LIKE 'benign%') s GROUP BY 1"""))
 def m9(spark, sf):
-    e = telemetry(spark, sf).select("session")
-    sizes = [(v, te.count(), tr.count()) for v, tr, te in
-             splits.leave_one_out(e, "session", ~F.col("session").startswith("benign"))]
-    return spark.createDataFrame(sizes, "held_out string, n_test long, n_train long")
+    return splits.held_out_sizes(telemetry(spark, sf), "session", ~F.col("session").startswith("benign"))
 
 
 @check("m17_balanced_weight", f"""SELECT DISTINCT toxic AS label, {r6('n / (2 * c)', 'weight')} FROM (

@@ -86,10 +86,16 @@ def audit_encoding(df, features):
     return values
 
 
+def column_spread(df, columns):
+    """(column, constant): whether a column has a single value, one row each."""
+    one = df.agg(*[(F.min(c).eqNullSafe(F.max(c))).alias(c) for c in columns])
+    return one.unpivot([], list(columns), "column", "constant")
+
+
 def constant_columns(df, columns):
     """Columns with a single value."""
-    row = df.agg(*[(F.min(c).eqNullSafe(F.max(c))).alias(c) for c in columns]).first()
-    return [c for c in columns if row[c]]
+    found = {r["column"] for r in column_spread(df, columns).where("constant").collect()}
+    return [c for c in columns if c in found]
 
 
 def require_varied(df, columns, most=0.30):

@@ -71,6 +71,15 @@ def held_out_values(df, column, where=None):
     return sorted(r[0] for r in rows.select(column).distinct().collect() if r[0] is not None)
 
 
+def held_out_sizes(df, column, where=None):
+    """(held_out, n_test, n_train) for each value to hold out: one grouped count, and what is left of the total."""
+    hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("held_out")).agg(
+        F.count_if(hit).alias("n_test"), F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))  # one row
+    return counts.where("n_test > 0").join(F.broadcast(total)).select("held_out", "n_test", (F.col("_total") - F.col("_n")).alias("n_train"))
+
+
 def leave_one_out(df, column, where=None):
     """(value, train, test) for every held-out value."""
     for value in held_out_values(df, column, where):
