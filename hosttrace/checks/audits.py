@@ -7,7 +7,7 @@ from hosttrace.checks.registry import KEY, NODE, check, r6, rounded, with_ev
 from hosttrace.checks.relations import _PROCS
 from hosttrace.checks.telemetry import table, telemetry, telemetry_table
 from hosttrace.functions import numeric, text
-from hosttrace.operators import audit, clean, encode, label, metrics, splits
+from hosttrace.operators import audit, clean, encode, label, metrics, relations, splits
 from hosttrace.operators.features import process_features
 from hosttrace.schema import PROCESS_FEATURES, PROCESS_KEY
 
@@ -454,9 +454,7 @@ def p12(spark, sf):
 
 @check("p18_replay_order", with_ev("SELECT record_id, row_number() OVER (ORDER BY UtcTime, record_id) AS position FROM ev"))
 def p18(spark, sf):
-    from hosttrace.operators.ordered import row_numbers
-    rows = telemetry(spark, sf).select("record_id", "UtcTime")
-    return row_numbers(rows, [], ["UtcTime", "record_id"], "position").select("record_id", "position")
+    return relations.positions(telemetry(spark, sf), [F.col(c) for c in clean.REPLAY]).select("record_id", "position")
 
 
 @check("m1_encoder", with_ev("""

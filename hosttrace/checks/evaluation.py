@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from hosttrace.checks.features import _entropy_sql
 from hosttrace.checks.registry import FLOWS, KEY, check, r6, rounded, with_ev
 from hosttrace.checks.telemetry import flows, table, telemetry, telemetry_table
-from hosttrace.operators import alerts, metrics, network, splits
+from hosttrace.operators import alerts, metrics, network, relations, splits
 from hosttrace.operators.ordered import quantiles
 from hosttrace.session import materialize
 
@@ -447,18 +447,16 @@ def w10(spark, sf):
 @check("o1_scores_descending", """SELECT o_orderkey, row_number() OVER (ORDER BY s DESC NULLS LAST, o_orderkey) AS position
 FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS s FROM orders)""")
 def o1(spark, sf):
-    from hosttrace.operators.ordered import row_numbers
-    s = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))
-    o = table(spark, sf, "orders").select("o_orderkey", s.isNull().alias("_void"),
-                                          F.coalesce(-s, F.lit(0.0)).alias("_down"))
-    return row_numbers(o, [], ["_void", "_down", "o_orderkey"], "position").select("o_orderkey", "position")
+    o = table(spark, sf, "orders")
+    score = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))
+    return relations.positions(o, [*relations.descending_nulls_last(score), F.col("o_orderkey")]).select("o_orderkey", "position")
 
 
 @check("o2_busiest_processes", with_ev(f"""
 SELECT {KEY}, n FROM (SELECT {KEY}, count(*) AS n FROM ev GROUP BY {KEY}) ORDER BY n DESC, run_id, ProcessGuid LIMIT 15"""))
 def o2(spark, sf):
     n = telemetry(spark, sf).groupBy("platform", "run_id", "ProcessGuid").agg(F.count(F.lit(1)).alias("n"))
-    return n.orderBy(F.desc("n"), "run_id", "ProcessGuid").limit(15)
+    return relations.top(n, [F.desc("n"), "run_id", "ProcessGuid"], 15)
 
 
 @check("o3_top_inside_alert", with_ev("""
@@ -466,14 +464,12 @@ SELECT run_id, string_agg(CAST(record_id AS VARCHAR), '|' ORDER BY r) AS top FRO
     SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY label DESC, size DESC, record_id) AS r FROM ev)
 WHERE r <= 10 GROUP BY run_id"""))
 def o3(spark, sf):
-    top = splits.top_per_group(telemetry(spark, sf), ["run_id"], [F.desc("label"), F.desc("size"), F.col("record_id")], 10)
-    packed = F.array_sort(F.collect_list(F.struct("rank", F.col("record_id").cast("string").alias("id"))))
-    return top.groupBy("run_id").agg(F.array_join(F.transform(packed, lambda s: s["id"]), "|").alias("top"))
+    order = [F.desc("label"), F.desc("size"), F.col("record_id")]
+    return relations.packed_top(telemetry(spark, sf), ["run_id"], order, "record_id", 10)
 
 
 @check("o4_stable_order", with_ev("""
 SELECT record_id, row_number() OVER (ORDER BY platform, run_id, UtcTime, record_id) AS position FROM ev"""))
 def o4(spark, sf):
-    from hosttrace.operators.ordered import row_numbers
-    e = telemetry(spark, sf).select("record_id", "platform", "run_id", "UtcTime")
-    return row_numbers(e, [], ["platform", "run_id", "UtcTime", "record_id"], "position").select("record_id", "position")
+    order = [F.col(c) for c in ("platform", "run_id", "UtcTime", "record_id")]
+    return relations.positions(telemetry(spark, sf), order).select("record_id", "position")

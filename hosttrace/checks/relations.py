@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from hosttrace.checks.registry import KEY, NODE, PARENT, check, rounded, with_ev
 from hosttrace.checks.telemetry import table, telemetry, telemetry_table
 from hosttrace.functions.rules import AGENT_IMAGE, PLAN_COMMAND, PLAN_IMAGE, SCRIPT_HOSTS
-from hosttrace.operators import audit, clean, enrich, features, graph, label, splits
+from hosttrace.operators import audit, clean, enrich, features, graph, label, relations, splits
 from hosttrace.schema import INHERIT_COLS, PROCESS_KEY
 
 _INHERIT = [c for c in INHERIT_COLS if c in ("CommandLine", "CurrentDirectory", "ParentProcessGuid",
@@ -213,8 +213,7 @@ def a15(spark, sf):
 SELECT record_id, {NODE} IN (SELECT {NODE} FROM ev WHERE label = 1) AS seen FROM ev"""))
 def j10(spark, sf):
     e = telemetry_table(spark, sf).withColumn("node", clean.process_key())
-    known = e.where("label = 1").select("node", F.lit(True).alias("seen")).distinct()
-    return e.join(known, "node", "left").select("record_id", F.coalesce("seen", F.lit(False)).alias("seen"))
+    return relations.membership(e, e.where("label = 1"), "node").select("record_id", "seen")
 
 
 @check("j11_run_repetition", with_ev("""
@@ -244,16 +243,14 @@ def j12(spark, sf):
     e, n = telemetry(spark, sf), F.count(F.lit(1))
     created = e.where("EventID = 1 AND platform = 'linux'").groupBy("ProcessId").agg(n.alias("created"))
     connected = e.where("EventID = 3 AND platform = 'windows'").groupBy("ProcessId").agg(n.alias("connected"))
-    return created.join(connected, "ProcessId", "full_outer")
+    return relations.side_by_side([created, connected], "ProcessId")
 
 
 @check("j13_first_event_per_process", with_ev(f"""
 SELECT {KEY}, arg_min(Image, record_id) AS Image, arg_min(EventID, record_id) AS EventID, min(record_id) AS record_id
 FROM ev GROUP BY {KEY}"""))
 def j13(spark, sf):
-    first = telemetry_table(spark, sf).groupBy(*PROCESS_KEY).agg(
-        F.min(F.struct("record_id", "Image", "EventID")).alias("f"))
-    return first.select(*PROCESS_KEY, "f.*")
+    return relations.first_rows(telemetry_table(spark, sf), PROCESS_KEY, ["Image", "EventID"])
 
 
 _FIXED = "SELECT * REPLACE (1 AS label) FROM ev WHERE platform = 'windows'"
@@ -285,15 +282,14 @@ _SIDE = "SELECT DISTINCT ProcessGuid FROM ev WHERE %s"
 @check("u2_except", with_ev(f"{_SIDE % 'EventID = 1'} EXCEPT {_SIDE % 'label = 1'}"))
 def u2(spark, sf):
     e = telemetry(spark, sf)
-    return e.where("EventID = 1").select("ProcessGuid").subtract(e.where("label = 1").select("ProcessGuid"))
+    return relations.only_in_first(e.where("EventID = 1"), e.where("label = 1"), ["ProcessGuid"])
 
 
 @check("u3_intersect", with_ev("SELECT DISTINCT DestinationIp FROM ev WHERE platform = 'linux' INTERSECT "
                                "SELECT DISTINCT DestinationIp FROM ev WHERE platform = 'windows'"))
 def u3(spark, sf):
     e = telemetry(spark, sf)
-    return e.where("platform = 'linux'").select("DestinationIp").intersect(
-        e.where("platform = 'windows'").select("DestinationIp"))
+    return relations.in_both(e.where("platform = 'linux'"), e.where("platform = 'windows'"), ["DestinationIp"])
 
 
 @check("u4_one_sided_event_ids", with_ev("""

@@ -167,13 +167,20 @@ def truth_known(events, key):
         F.max("label").alias("label"))
 
 
+REPLAY = ["UtcTime", "record_id"]
+
+
 def replay_order(events):
-    return events.orderBy("UtcTime", "record_id")
+    return events.orderBy(*REPLAY)
 
 
 def union_runs(frames, columns=None):
-    """UNION ALL by name over the columns of the first frame."""
-    columns = columns or frames[0].columns
+    """UNION ALL by name. Without ``columns`` the frames must have the same ones; with it each is conformed to them."""
+    if columns is None:
+        different = schema_differences({str(i): f for i, f in enumerate(frames)})
+        if different:
+            raise ValueError(f"inputs have other columns than the first: {different}")
+        columns = frames[0].columns
     return reduce(lambda a, b: a.unionByName(b), [conform(f, columns) for f in frames])
 
 
