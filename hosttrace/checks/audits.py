@@ -9,7 +9,7 @@ from hosttrace.checks.telemetry import table, telemetry, telemetry_table
 from hosttrace.functions import numeric, text
 from hosttrace.operators import audit, clean, encode, label, metrics, relations, splits
 from hosttrace.operators.features import process_features
-from hosttrace.schema import PROCESS_FEATURES, PROCESS_KEY
+from hosttrace.schema import DERIVED_DROP, DROP_BEFORE_FIT, LEAKY_COLS, PROCESS_FEATURES, PROCESS_KEY
 
 _REPORTED = ["record_id", "UtcTime", "EventID", "platform", "run_id", "session", "computer", "ProcessGuid", "ProcessId", "Image", "User",
              "CommandLine", "CurrentDirectory", "ParentProcessGuid", "ParentProcessId", "ParentImage", "ParentCommandLine", "Protocol",
@@ -452,6 +452,15 @@ def p12(spark, sf):
     return clean.dead_features(lost)
 
 
+_FIT = [c for c in _REPORTED if c not in {*DROP_BEFORE_FIT, *DERIVED_DROP, *LEAKY_COLS}]
+
+
+@check("p5_leak_free_columns", with_ev(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS filled, count(*) AS total FROM ev" for c in _FIT)))
+def p5(spark, sf):
+    return clean.column_fill(clean.leak_free(telemetry(spark, sf), DROP_BEFORE_FIT, DERIVED_DROP, LEAKY_COLS))
+
+
 @check("p18_replay_order", with_ev("SELECT record_id, row_number() OVER (ORDER BY UtcTime, record_id) AS position FROM ev"))
 def p18(spark, sf):
     return relations.positions(telemetry(spark, sf), [F.col(c) for c in clean.REPLAY]).select("record_id", "position")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from hosttrace.checks.features import _features_sql
 from hosttrace.checks.registry import KEY, NODE, PARENT, check, rounded, with_ev
 from hosttrace.checks.telemetry import table, telemetry, telemetry_table
 from hosttrace.functions.rules import AGENT_IMAGE, PLAN_COMMAND, PLAN_IMAGE, SCRIPT_HOSTS
@@ -300,17 +301,16 @@ def u4(spark, sf):
     return audit.one_sided_events(telemetry(spark, sf), "linux", "windows")
 
 
-@check("a2_guid_only_features", with_ev("""
-SELECT ProcessGuid, max(label) AS label, count(DISTINCT run_id) AS n_runs, CAST(count(*) AS DOUBLE) AS n_events,
-       arg_min(length(Image), record_id) AS img_len,
-       coalesce(max(depth), 0) AS depth, max(enriched) AS enriched,
-       CAST(coalesce(arg_min(length(CommandLine), record_id) FILTER (WHERE CommandLine IS NOT NULL), 0) AS DOUBLE)
-       AS cmd_len
-FROM (SELECT e.*, CASE WHEN t.dist IS NOT NULL THEN
+_WITH_DEPTH = """deep AS (SELECT e.*, CASE WHEN t.dist IS NOT NULL THEN
           CAST(least(t.dist + CASE WHEN r.parent IS NOT NULL THEN 1 ELSE 0 END, 20) AS INT) END AS depth
       FROM enriched e LEFT JOIN tops t ON t.node = e.platform || '|' || e.run_id || '|' || e.ProcessGuid
-      LEFT JOIN created r ON r.node = t.root) GROUP BY ProcessGuid""", _entries("ProcessGuid", "by_guid"),
-    _entries("ProcessId", "by_pid"), _enriched(True), _CREATED, _UP, _TOP))
+      LEFT JOIN created r ON r.node = t.root)"""
+
+
+@check("a2_guid_only_features", with_ev(_features_sql(
+    "ProcessGuid", "deep", ", label, n_runs, coalesce(img_len, 0) AS img_len, coalesce(depth, 0) AS depth, enriched",
+    "max(label) AS label, count(DISTINCT run_id) AS n_runs, arg_min(length(Image), record_id) AS img_len, max(depth) AS depth, "
+    "max(enriched) AS enriched"), _entries("ProcessGuid", "by_guid"), _entries("ProcessId", "by_pid"), _enriched(True), _CREATED,
+    _UP, _TOP, _WITH_DEPTH))
 def a2(spark, sf):
-    rows = features.guid_only_features(enrich.add_lineage(enrich.enrich(telemetry_table(spark, sf))))
-    return rounded(rows.select("ProcessGuid", "label", "n_runs", "n_events", "img_len", "depth", "enriched", "cmd_len"))
+    return rounded(features.guid_only_features(enrich.add_lineage(enrich.enrich(telemetry_table(spark, sf)))))

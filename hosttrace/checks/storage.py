@@ -1,6 +1,8 @@
 """Readers and sinks: rows spelled from the given tables, written to the scratch folder, read back."""
 
+import io
 import uuid
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -101,6 +103,27 @@ def s7(spark, sf):
     return tables.read_event_jsonl(spark, path).select("EventID", "ProcessGuid", "Image", "CommandLine", "DestinationPort")
 
 
+@check("s8_event_zip", with_ev("""
+SELECT EventID, ProcessGuid, Image, CommandLine, platform FROM (SELECT * REPLACE ('windows' AS platform) FROM ev) WHERE label = 1"""))
+def s8(spark, sf):
+    """One archive per partition, each with two members of JSON lines and a broken line."""
+    path = folder(spark, "archives")
+    row = F.struct("EventID", "ProcessGuid", "Image", "CommandLine",
+                   F.when(F.col("label") == 1, tables.EXPORT_CHANNEL).otherwise("Security").alias("Channel"))
+    lines = telemetry(spark, sf).repartition(4, "record_id").select(F.to_json(row).alias("line"))
+
+    def pack(batches):
+        rows = [r for b in batches for r in b.column(0).to_pylist()]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for k in (0, 1):
+                z.writestr(f"part{k}.json", "\n".join([*rows[k::2], "{broken"]))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["data"])
+
+    lines.mapInArrow(pack, "data binary").select(F.col("data").cast("string")).write.text(path)
+    return tables.read_event_zip(spark, path).select("EventID", "ProcessGuid", "Image", "CommandLine", "platform")
+
+
 @check("s9_event_flatcsv", with_ev("""
 SELECT DISTINCT EventID, computer AS host_name, ProcessGuid, Image, CommandLine FROM ev WHERE platform = 'windows'"""))
 def s9(spark, sf):

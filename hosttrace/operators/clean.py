@@ -37,6 +37,11 @@ def drop_empty_columns(df):
     return df.select([c for c in df.columns if counts[c] > 0])
 
 
+def leak_free(df, *lists):
+    """``df`` without the columns of the given lists (see ``schema``): what a model may be fitted on."""
+    return df.drop(*{c for names in lists for c in names})
+
+
 def drop_repeats(df, order=("record_id",), trace=TRACE_COLS):
     """Keep the first row of each group that is equal on all columns but the trace columns.
 
