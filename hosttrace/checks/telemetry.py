@@ -128,6 +128,11 @@ def telemetry(spark, sf_dir):
     return rows.withColumn("UtcTime", rows.UtcTime.cast("timestamp"))
 
 
+def forget():
+    """Let the next query write its own telemetry table."""
+    _written.clear()
+
+
 def telemetry_table(spark, sf_dir):
     """The same rows as a written table, as an earlier parse would have left them; written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)

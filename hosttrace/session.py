@@ -19,6 +19,16 @@ def scratch_dir(spark):
     return spark.sparkContext.getCheckpointDir()
 
 
+_tables = {}
+
+
+def release(spark):
+    """Delete the tables that ``materialize`` has written in this application. Call it once results are written."""
+    for path in _tables.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df, name):
     """Write ``df`` once and continue from the written table.
 
@@ -27,5 +37,6 @@ def materialize(df, name):
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hosttrace.operators import alerts, encode, graph, metrics, models, network, ordered, splits
-from hosttrace.operators.features import sibling_context
+from hosttrace.operators import alerts, audit, encode, graph, metrics, models, network, ordered, splits
+from hosttrace.operators.clean import union_runs
+from hosttrace.operators.features import prefix_features, process_features, sibling_context
 from hosttrace.operators.label import sample_lineage
 
 T0 = 1_767_225_600
@@ -250,3 +251,57 @@ def test_isolation_forest_finds_outlier(spark):
     probe = spark.createDataFrame([(5.0, 3.0), (60.0, -40.0)], "a double, b double")
     inner, outer = [r.score for r in models.score_isolation_forest(forest, probe).collect()]
     assert outer > inner + 0.1
+
+
+def test_deep_chain(spark):
+    """Far deeper than any round limit: doubling needs a dozen rounds."""
+    rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(1500)] + [("a", "b"), ("b", "a")]
+    got = {r["node"]: (r["root"], r["dist"]) for r in graph.topmost(spark.createDataFrame(rows, "node string, parent string")).collect()}
+    assert all(got[f"n{i}"] == ("n0", i) for i in range(1500)) and got["a"] == ("a", 0)
+
+
+def hot_events(spark, n=3000):
+    """One process holds nine tenths of the events; some rows lack the sequence number, some the time."""
+    rows = [(None if i % 50 == 7 else i, "linux", "r", "{hot}" if i % 10 else "{%d}" % (i // 10), 1 if i % 97 == 0 else 11,
+             None if i % 201 == 5 else T0 + i, f"/tmp/f{i % 700}.txt", "c" * (i % 13 + 1)) for i in range(n)]
+    return spark.createDataFrame(rows, "record_id long, platform string, run_id string, ProcessGuid string, EventID int, s long, "
+                                 "TargetFilename string, CommandLine string").select(
+        "*", F.timestamp_seconds("s").alias("UtcTime"), *[F.lit(None).cast("string").alias(c) for c in (
+            "ParentProcessGuid", "ParentCommandLine", "DestinationIp", "DestinationPort", "TargetObject", "Device", "Image")], F.lit(0).alias("label"))
+
+
+def test_hot_process_is_dealt_before_it_is_aggregated(spark):
+    rows = prefix_features(hot_events(spark))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") >= 1
+    got = rows.where("ProcessGuid = '{hot}'").orderBy("age_ix").collect()
+    dated = [i for i in range(3000) if i % 10 and i % 201 != 5]
+    start = min(dated)
+    for r, age in zip(got, [0, 1, 2, 5, 10, 30, 60, 300, 10 ** 9]):
+        seen = [i for i in dated if i - start <= age]
+        assert r["n_events"] == len(seen) and r["n_files"] == len({i % 700 for i in seen})
+
+
+def test_features_without_sequence_numbers(spark):
+    """Without any sequence number the first value is the earliest one."""
+    e = hot_events(spark).where("s IS NOT NULL")
+    with_numbers = {r["ProcessGuid"]: r["cmd_len"] for r in process_features(e.withColumn("record_id", F.col("s"))).collect()}
+    without = {r["ProcessGuid"]: r["cmd_len"] for r in process_features(e.withColumn("record_id", F.lit(None).cast("long"))).collect()}
+    assert without == with_numbers and all(v > 0 for v in without.values())
+
+
+def test_union_checks_schemas(spark):
+    a = spark.createDataFrame([(1, 2)], "x int, y int")
+    with pytest.raises(ValueError, match="other columns"):
+        union_runs([a, a.drop("y")])
+    assert union_runs([a, a.drop("y")], ["x"]).count() == 2
+
+
+def test_merge_verdict_and_severity(spark):
+    e = spark.createDataFrame([("a", 1, 1), ("a", 3, 1), ("b", 1, 0)], "platform string, EventID int, label int")
+    got = {r["reason"]: r["value"] for r in audit.merge_verdict(e, "a", "b", platform_accuracy=0.99).collect()}
+    assert got == {"label_share_gap": 100.0, "one_sided_event_ids": 1.0, "platform_predictable": 0.99}
+    flags = spark.createDataFrame([("h1", "T1082 x"), ("h1", "T1083 y"), ("h2", ""), ("h3", "T1105 z"), ("h4", "T1082 x"), ("h4", "T1083 y"), ("h4", "T1087 z")],
+                                  "host string, technique string")
+    got = {r["host"]: (r["severity"], r["n_flagged"]) for r in alerts.alert_severity(flags, ["host"]).collect()}
+    assert got == {"h1": ("low", 2), "h2": ("medium", 1), "h3": ("high", 1), "h4": ("high", 3)}
