@@ -133,9 +133,8 @@ class ProcessState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         s = json.loads(self.summary.get()[0]) if self.summary.exists() else {}
-        for pdf in rows:
-            for r in pdf.sort_values("record_id").itertuples(index=False):
-                self._event(s, r)
+        for r in pd.concat(list(rows)).sort_values("record_id").itertuples(index=False):
+            self._event(s, r)
         self.summary.update((json.dumps(s),))
         if s.get("own"):
             yield pd.DataFrame([self._row(key, s)])
@@ -197,18 +196,20 @@ class HostAlerts(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         s = json.loads(self.recent.get()[0]) if self.recent.exists() else {"flags": [], "last": None, "alerts": 0}
         out = []
-        for pdf in rows:
-            for r in pdf.sort_values(["at_us", "ProcessGuid"]).to_dict("records"):
-                if self.known.containsKey((r["ProcessGuid"],)):
-                    continue
-                self.known.updateValue((r["ProcessGuid"],), (int(r["at_us"]),))
-                now = int(r["at_us"])
-                s["flags"] = [f for f in s["flags"] if f["at_us"] > now - self.window_us] + [
-                    {k: (v if not pd.isna(v) else None) for k, v in r.items()}]
-                quiet = s["last"] is not None and now - s["last"] < self.window_us
-                if len(s["flags"]) >= self.least and not quiet:
-                    s["last"], s["alerts"] = now, s["alerts"] + 1
-                    out.append(self._alert(key, now, s))
+        # A host's flags of a micro-batch come in several frames; only together can they be put in order. Each process
+        # counts with its first flag, so what is looped over is one row for each newly flagged process.
+        batch = pd.concat(list(rows)).sort_values(["at_us", "ProcessGuid"]).drop_duplicates("ProcessGuid")
+        for r in batch.to_dict("records"):
+            if self.known.containsKey((r["ProcessGuid"],)):
+                continue
+            now = int(r["at_us"])
+            self.known.updateValue((r["ProcessGuid"],), (now,))
+            s["flags"] = [f for f in s["flags"] if f["at_us"] > now - self.window_us] + [
+                {k: (v if not pd.isna(v) else None) for k, v in r.items()}]
+            quiet = s["last"] is not None and now - s["last"] < self.window_us
+            if len(s["flags"]) >= self.least and not quiet:
+                s["last"], s["alerts"] = now, s["alerts"] + 1
+                out.append(self._alert(key, now, s))
         self.recent.update((json.dumps(s),))
         if out:
             yield pd.DataFrame(out)
