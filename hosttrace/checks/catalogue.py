@@ -2,7 +2,7 @@
 
 from functools import wraps
 
-from hosttrace.checks import audits, evaluation, features, learning, relations, scalars, storage, streams  # noqa: F401
+from hosttrace.checks import audits, behaviour, evaluation, features, learning, relations, scalars, storage, streams  # noqa: F401
 from hosttrace.checks.registry import QUERIES, SQL
 
 

@@ -128,11 +128,6 @@ def a6_periods(spark, sf):
     return rounded(features.sibling_context(meta).select(*PROCESS_KEY, "age_ix", "b_sib_period_cv", "b_sib_period_s"))
 
 
-@check("a6_behaviour_features")
-def a6_all(spark, sf):
-    return features.behaviour_features(telemetry_table(spark, sf))
-
-
 def _rule_case(tiers):
     arms = " ".join(f"WHEN regexp_matches({c}, {quoted(p)}) THEN {i}"
                     for i, (tier, _, c, p, _) in enumerate(EVIDENCE_TESTS) if tier in tiers)
