@@ -8,7 +8,8 @@ The vocabulary comes from document frequencies of each feature among toxic and o
 over all of them; the ``FEATURES`` with the largest chi-squared go into the model. Weights are fitted on the driver on a
 sample of at most ``TRAIN_ROWS`` labelled texts, the ones with the smallest hash of their id (all, if there are fewer); a
 row is at most ``FEATURES`` numbers there, so the fit's memory is bounded. Scoring runs in the tasks that read the
-documents, on whole texts.
+documents, on whole texts. Labels go to the texts: they are counted, and broadcast up to ``BROADCAST_LABELS`` rows; more
+are joined by a shuffle, and the labelled texts are then written once.
 
 Inputs of a score are words alone: never labels, language, source or id.
 
@@ -28,6 +29,7 @@ from hosttrace.llm.common import materialize, texts
 
 FEATURES = 4096
 TRAIN_ROWS = 20_000
+BROADCAST_LABELS = 2_000_000  # rows of an id and a label, some 25 bytes each
 LEAST_DOCS = 5
 PENALTY = 1.0
 RIDGE = 1e-3
@@ -189,8 +191,11 @@ def fit(docs, labels, doc_id="doc_id", text="text", toxic="toxic", penalty=PENAL
     """{"index", "weights", "intercept"} from all labelled rows that are not held out."""
     known = (labels.select(F.col(doc_id).alias("id"), F.col(toxic).cast("int").alias("toxic"))
              .where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("id")))
-    train = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(known, F.col("doc_id") == F.col("id")).select("id", "text", "toxic"),
-                        "toxicity-training")
+    few = known.count() <= BROADCAST_LABELS
+    train = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
+        F.broadcast(known) if few else known, F.col("doc_id") == F.col("id")).select("id", "text", "toxic")
+    if not few:
+        train = materialize(train, "toxicity-training")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_other, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_other or not n_toxic:

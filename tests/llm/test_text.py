@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -97,7 +98,10 @@ def test_cutoffs_keep_their_promise():
 
 # ---------------------------------------------------------------- toxicity
 
-def test_toxicity(spark):
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_toxicity(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(counterfactual_toxicity, "BROADCAST_LABELS", broadcast)
+
     def text(k):
         t = prose(k, 50)
         if k % 4 == 0:
