@@ -26,7 +26,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from hosttrace.llm.common import free_name, materialize, texts
+from hosttrace.llm.common import free_name, materialize
+from hosttrace.llm.tokens import WordTable, parts, word_bounds
 
 WINDOW = 8
 SHARE = 0.5
@@ -38,93 +39,200 @@ UNITS = frozenset("""mm cm m km mi ft in inch inches foot feet yard yards mile m
     year years mph kmh percent dollar dollars euro euros cent cents usd eur gbp degree degrees celsius fahrenheit w kw v kv a hz khz mhz ghz j kj n pa kpa mol""".split())
 NUMBER_WORDS = frozenset("""zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
     twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion""".split())
-_TOKEN = re.compile(r"[$€£]?\d+(?:[.,:/]\d+)*%?|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n]")
+_TOKEN = re.compile(r"[$€£]?\d+(?:[.,:/]\d+)*%?|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?]")
 
 
 def canonical(text):
-    """(template words, values): values are the words replaced, None where the word stands for itself.
+    """(template words, values) of one text: values are the words replaced, None where the word stands for itself.
 
     A number is <num>; a unit right after a number is <unit>; a capitalised word within a sentence is <name>. The first
-    word of a sentence is written small.
+    word of a sentence is written small. This is the rule that ``TemplateWords`` follows for batches.
     """
     words, values = [], []
     first, after_number = True, False
-    for m in _TOKEN.finditer(text):
-        w = m[0]
-        c = w[0]
-        if c in ".!?\n":
+    for low, kind in tokens_of(text.replace("\n", " . ")):
+        if kind == "end":
             first = True
             continue
+        place = ("<num>" if kind == "number" else "<unit>" if kind == "unit" and after_number else
+                 "<name>" if kind == "name" and not first else None)
+        words.append(place or low)
+        values.append(low if place else None)
+        first, after_number = False, kind == "number"
+    return words, values
+
+
+def tokens_of(chunk):
+    """(lower-case word, kind) of the tokens of a text without blanks; kinds as in ``_KINDS``, "" is a sentence end."""
+    out = []
+    for m in _TOKEN.finditer(chunk):
+        w, c = m[0], m[0][0]
         low = w.lower()
-        if not c.isalpha() or low in NUMBER_WORDS:
-            words.append("<num>")
-            values.append(low)
-            after_number, first = True, False
-            continue
-        if after_number and low in UNITS:
-            words.append("<unit>")
-            values.append(low)
-        elif not first and c.isupper() and len(w) > 1 and not w.isupper():
-            words.append("<name>")
-            values.append(low)
+        if c in ".!?":
+            out.append(("", "end"))
+        elif not c.isalpha() or low in NUMBER_WORDS:
+            out.append((low, "number"))
+        elif low in UNITS:
+            out.append((low, "unit"))
         else:
-            words.append(low)
-            values.append(None)
-        after_number = first = False
-    return words, values
+            out.append((low, "name" if c.isupper() and len(w) > 1 and not w.isupper() else "word"))
+    return out
+
+
+_KINDS = ("word", "name", "unit", "number", "end")
+_LINE_END = b"\x02"  # stands for a line end, which is a blank otherwise
+
+
+class TemplateWords(WordTable):
+    """Canonical words of batches of texts. Each distinct (word, kind) has a code, with its hash and kind in arrays."""
+
+    kind = np.int32
+    most = 400_000
+
+    def forget(self):
+        super().forget()
+        self.codes, self.names = {}, []
+        self.hash, self.kinds = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int8)
+
+    def word(self, chunk):
+        tokens = [("", "end")] if chunk == _LINE_END else tokens_of(chunk.decode("utf-8", "replace"))
+        out = []
+        for token in tokens:
+            code = self.codes.get(token)
+            if code is None:
+                code = self.codes[token] = len(self.names)
+                if code == len(self.kinds):
+                    self.hash, self.kinds = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hash, self.kinds))
+                self.names.append(token[0])
+                self.hash[code], self.kinds[code] = xxhash.xxh3_64_intdigest(token[0]), _KINDS.index(token[1])
+            out.append(code)
+        return out
+
+    def templates(self, texts):
+        """(codes, hashes, placeholders, ends): all texts' template words in a row; ``ends`` is where each text's end."""
+        texts = [t.replace(b"\n", b" \x02 ") for t in texts]
+        data = b"\n".join(texts) + b"\n"
+        raw = np.frombuffer(data, np.uint8)
+        starts, stops = word_bounds(raw)
+        codes, upto = self.numbers(self.places(data, raw, starts, stops))
+        n_chunks = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))
+        text_ends = np.concatenate([[0], upto])[n_chunks]
+        kinds = self.kinds[codes]
+        is_word = kinds != 4
+        opening = np.zeros(len(codes) + 1, bool)
+        opening[0] = True
+        opening[text_ends] = True
+        opening[1:] |= ~is_word
+        first = opening[:-1][is_word]
+        before = np.concatenate([[0], np.cumsum(is_word)])
+        ends = before[text_ends]
+        codes, kinds = codes[is_word], kinds[is_word]
+        number = kinds == 3
+        after_number = np.concatenate([[False], number[:-1]]) if len(number) else number
+        after_number[ends[ends < len(number)]] = False
+        unit = (kinds == 2) & after_number
+        name = (kinds == 1) & ~first
+        hashes = self.hash[codes]
+        for mask, label in ((number, "<num>"), (unit, "<unit>"), (name, "<name>")):
+            hashes[mask] = xxhash.xxh3_64_intdigest(label)
+        return codes, hashes, number | unit | name, ends
 
 
-def window_hashes(words, window=WINDOW):
-    """Signed 64-bit hashes of all windows; a shorter text is one window."""
-    if not words:
-        return np.zeros(0, np.int64)
-    n = max(1, len(words) - window + 1)
-    lines = [w.encode() for w in words]
-    line = b" ".join(lines)
-    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    last = ends[min(window, len(lines)) - 1:]
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(line[a:b]) for a, b in zip(starts[:n].tolist(), last.tolist())], np.uint64).view(np.int64)
+_words = None
+
+
+def template_words():
+    """The table of this Python worker."""
+    global _words
+    _words = _words or TemplateWords()
+    return _words
+
+
+def window_hashes(hashes, ends, window=WINDOW):
+    """(places, hashes) of all windows that lie within a text; a shorter text is one window. Hashes are signed."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    n = len(hashes)
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    lengths = ends - starts
+    out, places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if n >= window:
+        out = np.zeros(n - window + 1, np.uint64)
+        for k in range(window):
+            out = out * base + hashes[k:n - window + 1 + k]
+        fits = np.zeros(n + 1, np.int64)
+        long = lengths >= window
+        np.add.at(fits, starts[long], 1)
+        np.add.at(fits, ends[long] - window + 1, -1)
+        places = np.flatnonzero(np.cumsum(fits[:n - window + 1]) > 0)
+        out = out[places]
+    short = np.flatnonzero((lengths > 0) & (lengths < window))
+    if len(short):
+        extra = np.zeros(len(short), np.uint64)
+        for k, t in enumerate(short.tolist()):
+            h = int(lengths[t])
+            for x in hashes[starts[t]:ends[t]].tolist():
+                h = (h * int(base) + x) & (1 << 64) - 1
+            extra[k] = h
+        places, out = np.concatenate([places, starts[short]]), np.concatenate([out, extra])
+        order = np.argsort(places, kind="stable")
+        places, out = places[order], out[order]
+    return places, out.view(np.int64)
+
+
+class Wanted:
+    """Membership in a set of hashes: a bit map first, then a search."""
+
+    def __init__(self, hashes):
+        self.sorted = np.sort(hashes)
+        self.map = np.zeros(1 << 22, bool)
+        self.map[self._slot(self.sorted)] = True
+
+    @staticmethod
+    def _slot(h):
+        return (h.view(np.uint64) >> np.uint64(42)).astype(np.int64)
+
+    def hits(self, h):
+        """Indexes of ``h`` that are members."""
+        maybe = np.flatnonzero(self.map[self._slot(h)])
+        if not len(maybe):
+            return maybe
+        k = np.minimum(np.searchsorted(self.sorted, h[maybe]), len(self.sorted) - 1)
+        return maybe[self.sorted[k] == h[maybe]]
 
 
 def windows_of(rows, row_id, text, wanted=None, window=WINDOW):
-    """(id, place, hash, values, n_windows) of each row's windows, of those in ``wanted`` (sorted hashes) if given."""
+    """(id, place, hash, slots, n_windows) of each row's windows, of those in ``wanted`` (hashes) if given."""
     kind = rows.schema[row_id].dataType.simpleString()
 
     def run(batches):
+        tool = template_words()
+        member = Wanted(wanted) if wanted is not None and len(wanted) else None
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out = ([], [], [], [], [])
-            for i, t in zip(ids, texts(batch.column(1))):
-                words, values = canonical(t)
-                h = window_hashes(words, window)
-                if not len(h):
-                    continue
+            for at, part in parts(batch.column(1)):
+                codes, hashes, slot, ends = tool.templates(part)
+                places, h = window_hashes(hashes, ends, window)
                 if wanted is None:
-                    at = np.arange(len(h))
-                elif len(wanted):
-                    k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    at = np.flatnonzero(wanted[k] == h)
+                    found = np.arange(len(h))
+                elif member is None:
+                    continue
                 else:
+                    found = member.hits(h)
+                if not len(found):
                     continue
-                for p in at.tolist():
-                    for c, v in zip(out, (i, p, int(h[p]), values[p:p + window], len(h))):
-                        c.append(v)
-                if len(out[0]) > 20_000:
-                    yield _batch(out, batch.column(0).type)
-                    out = ([], [], [], [], [])
-            if out[0]:
-                yield _batch(out, batch.column(0).type)
+                starts = np.concatenate([[0], ends[:-1]])
+                owner = np.searchsorted(ends, places[found], side="right")
+                counts = np.maximum(1, ends - starts - window + 1)
+                values = [[tool.names[codes[q]] if slot[q] else None for q in range(p, min(p + window, e))]
+                          for p, e in zip(places[found].tolist(), ends[owner].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[at + k] for k in owner.tolist()], batch.column(0).type), pa.array(places[found] - starts[owner]),
+                     pa.array(h[found]), pa.array(values, pa.list_(pa.string())), pa.array(counts[owner])],
+                    ["id", "place", "hash", "slots", "n_windows"])
 
     return rows.select(F.col(row_id), F.col(text)).mapInArrow(run, f"id {kind}, place long, hash long, slots array<string>, n_windows long")
 
 
-def _batch(cols, kind):
-    kinds = (kind, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "place", "hash", "slots", "n_windows"])
-
-
 def matches(docs, benchmark, doc_id="doc_id", item_id="item_id", text="text"):
     """(doc_id, item_id, doc_place, item_place, doc_slots, item_slots, item_windows) for each window in common."""
     items = materialize(windows_of(benchmark, item_id, text), "benchmark-windows")
@@ -135,7 +243,7 @@ def matches(docs, benchmark, doc_id="doc_id", item_id="item_id", text="text"):
     found = None
     for b in range(max(1, blocks)):
         rows = hashes.where(F.pmod(F.xxhash64("hash"), F.lit(max(1, blocks))) == b).toArrow()
-        wanted = np.sort(rows.column(0).to_numpy().astype(np.int64)) if rows.num_rows else np.zeros(0, np.int64)
+        wanted = rows.column(0).to_numpy().astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
         part = windows_of(docs, doc_id, text, wanted)
         found = part if found is None else found.unionByName(part)
     return found.join(side, F.col("hash") == F.col("item_hash")).select(

@@ -2,8 +2,8 @@
 
 The tokenizer (BPE with word ends) drops white space before it splits, so ids of a text are the ids of its
 blank-separated words in a row. A worker remembers the ids of words it has seen in a hash table of fixed size, found
-by numpy for a whole batch of texts at once; words are told apart by two 64-bit polynomial hashes. The table is
-emptied when it is half full, which changes time, never ids.
+by numpy for a whole batch of texts at once; words are told apart by two 64-bit polynomial hashes. A full table is
+emptied, which changes time, never ids.
 """
 
 import json
@@ -64,49 +64,27 @@ class _Powers:
         return np.multiply.accumulate(out)
 
 
-class WordEncoder:
-    """Encodes batches of texts; ids are unsigned 16-bit (the vocabulary has under 65,536 entries)."""
+class WordTable:
+    """A hash table from blank-separated words to lists of small numbers, looked up for whole batches by numpy.
 
-    def __init__(self, path):
-        from tokenizers import Tokenizer
-        from tokenizers.models import BPE
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0,
-                         end_of_word_suffix=model["end_of_word_suffix"])
-        self.letters = byte_letters()
-        self.vocabulary = self.tokenizer.get_vocab_size()
-        if self.vocabulary > 1 << 16:
-            raise ValueError("ids of this tokenizer need more than 16 bits")
+    A subclass says in ``word`` which numbers a word has. The table is emptied when it holds ``most`` words.
+    """
+
+    kind = np.uint16
+    most = 1 << (TABLE_BITS - 1)
+
+    def __init__(self):
         self.hashes = [_Powers(b) for b in _BASES]
         self.forget()
 
     def forget(self):
         size = 1 << TABLE_BITS
         self.key, self.check, self.place = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.full(size, -1, np.int32)
-        self.pool, self.used = np.zeros(1 << 20, np.uint16), 0
+        self.pool, self.used = np.zeros(1 << 20, self.kind), 0
         self.first, self.size, self.words = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
-        self._keep([[END_ID], self._piece("."), self._piece(",")])  # places 0, 1 and 2
-
-    def _piece(self, text):
-        return [t.id for t in self.model.tokenize(text)]
-
-    def word(self, word):
-        """Ids of one word. Letters and the marks after them are pieces of the tokenizer, so its model can be asked."""
-        m = _LETTERS.fullmatch(word)
-        if m:
-            return self._piece(m[1].decode()) + (self._piece(m[2].decode()) if m[2] else [])
-        text = word.decode("utf-8", "replace")
-        m = _OTHER_LETTERS.fullmatch(text)
-        if m and "\u0130" not in text:
-            return (self._piece("".join(map(self.letters.__getitem__, m[1].lower().encode())))
-                    + (self._piece(m[2]) if m[2] else []))
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _keep(self, lists):
-        """Adds the ids of new words; returns their places."""
+        """Adds the numbers of new words; returns their places."""
         k, n = self.words, len(lists)
         while k + n > len(self.first):
             self.first, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.size))
@@ -114,7 +92,7 @@ class WordEncoder:
         total = int(sizes.sum())
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used:self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint16, total)
+        self.pool[self.used:self.used + total] = np.fromiter(chain.from_iterable(lists), self.kind, total)
         self.first[k:k + n], self.size[k:k + n] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += total
         self.words += n
@@ -147,27 +125,14 @@ class WordEncoder:
             todo = np.setdiff1d(todo, won, assume_unique=True)
             slot[todo] = (slot[todo] + 1) & mask
 
-    def encode(self, texts):
-        """Ids of all texts in a row, each with the end id, and each text's number of ids."""
-        if not texts:
-            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        # Case is folded by the tokenizer itself, except in the spelling of its special tokens.
-        texts = [t if _SPECIAL in t else t.lower() for t in texts]
-        data = b"\n".join(texts) + b"\n"
-        raw = np.frombuffer(data, np.uint8)
-        blank = _SPACE[raw]
-        starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-        ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
-        # A full stop or comma after a letter is a piece of its own; without it fewer words differ.
-        last, before = raw[ends - 1], raw[np.maximum(ends - 2, 0)]
-        point = ((last == 46) | (last == 44)) & (ends - starts > 1) & (before >= 97) & (before <= 122)
-        stops = ends - point
+    def places(self, data, raw, starts, stops):
+        """Places of the words ``data[start:stop]``; unknown ones are learned."""
         values = raw.astype(np.uint64) + np.uint64(1)
         h, g = (p.of(values, starts, stops) for p in self.hashes)
         at = self._find(h, g)
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            if self.words > 1 << (TABLE_BITS - 2):
+            if self.words > self.most:  # a batch of PART_BYTES adds fewer words than the table has room for
                 self.forget()
                 at = self._find(h, g)
                 missing = np.flatnonzero(at < 0)
@@ -177,6 +142,73 @@ class WordEncoder:
             at[missing] = self._find(h[missing], g[missing])
             if (at < 0).any():
                 raise RuntimeError("two words of a batch share a hash")
+        return at
+
+    def numbers(self, at):
+        """(numbers of the words in a row, where each word's end)."""
+        sizes = self.size[at]
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.pool[np.repeat(self.first[at] - upto + sizes, sizes) + np.arange(total)], upto
+
+
+def word_bounds(raw):
+    """Starts and ends of the words of a byte array that ends in a blank."""
+    blank = _SPACE[raw]
+    return (np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])),
+            np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]])))
+
+
+class WordEncoder(WordTable):
+    """Encodes batches of texts; ids are unsigned 16-bit (the vocabulary has under 65,536 entries)."""
+
+    def __init__(self, path):
+        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0,
+                         end_of_word_suffix=model["end_of_word_suffix"])
+        self.letters = byte_letters()
+        self.vocabulary = self.tokenizer.get_vocab_size()
+        if self.vocabulary > 1 << 16:
+            raise ValueError("ids of this tokenizer need more than 16 bits")
+        super().__init__()
+
+    def forget(self):
+        super().forget()
+        self._keep([[END_ID], self._piece("."), self._piece(",")])  # places 0, 1 and 2
+
+    def _piece(self, text):
+        return [t.id for t in self.model.tokenize(text)]
+
+    def word(self, word):
+        """Ids of one word. Letters and the marks after them are pieces of the tokenizer, so its model can be asked."""
+        m = _LETTERS.fullmatch(word)
+        if m:
+            return self._piece(m[1].decode()) + (self._piece(m[2].decode()) if m[2] else [])
+        text = word.decode("utf-8", "replace")
+        m = _OTHER_LETTERS.fullmatch(text)
+        if m and "\u0130" not in text:
+            return (self._piece("".join(map(self.letters.__getitem__, m[1].lower().encode())))
+                    + (self._piece(m[2]) if m[2] else []))
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, texts):
+        """Ids of all texts in a row, each with the end id, and each text's number of ids."""
+        if not texts:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        # Case is folded by the tokenizer itself, except in the spelling of its special tokens.
+        texts = [t if _SPECIAL in t else t.lower() for t in texts]
+        data = b"\n".join(texts) + b"\n"
+        raw = np.frombuffer(data, np.uint8)
+        starts, ends = word_bounds(raw)
+        # A full stop or comma after a letter is a piece of its own; without it fewer words differ.
+        last, before = raw[ends - 1], raw[np.maximum(ends - 2, 0)]
+        point = ((last == 46) | (last == 44)) & (ends - starts > 1) & (before >= 97) & (before <= 122)
+        at = self.places(data, raw, starts, ends - point)
         text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         n_words = np.searchsorted(starts, text_ends)
         marks = np.flatnonzero(point)
@@ -186,11 +218,10 @@ class WordEncoder:
         order = np.argsort(where, kind="stable")
         at = np.insert(at, where[order], what[order])
         pieces = np.cumsum(np.bincount(np.searchsorted(text_ends, starts[marks], side="right"), minlength=len(texts)))
-        sizes = self.size[at]
-        upto = np.cumsum(sizes)
-        ids = self.pool[np.repeat(self.first[at] - upto + sizes, sizes) + np.arange(int(upto[-1]))]
+        ids, upto = self.numbers(at)
         return ids, np.diff(upto[n_words + pieces + np.arange(len(texts))], prepend=0)
 
+
 _encoders = {}
 
 

@@ -131,6 +131,29 @@ def test_leaks_in_blocks_and_the_stage(spark, monkeypatch):
     assert kept.columns == frame.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(k) for k in [*range(12), None] if k not in (0, 3, 6, 9))
 
 
+def test_batches_follow_the_rule():
+    texts = ["Anna ran 5 km. Then Bob ran 12 Miles\nBob 7\nkm x", "", "Single", "I paid $3.50 to NASA O'Neill's! two days x.y 3.4.5 a\x85b", prose(3, 200), "5", "km 5 ... Km"]
+    texts += [t or "" for _, t in hard_texts()]
+    tool = template_leaks.TemplateWords()
+    for _ in range(2):
+        codes, hashes, slot, ends = tool.templates([t.encode() for t in texts])
+        places, h = template_leaks.window_hashes(hashes, ends)
+        starts, at = [0, *ends[:-1].tolist()], 0
+        for t, a, b in zip(texts, starts, ends.tolist()):
+            words, values = template_leaks.canonical(t)
+            assert hashes[a:b].tolist() == [xxhash.xxh3_64_intdigest(w) for w in words]
+            assert [tool.names[c] if s else None for c, s in zip(codes[a:b], slot[a:b])] == values
+            n = max(1, len(words) - 7) if words else 0
+            assert places[at:at + n].tolist() == list(range(a, a + n))
+            at += n
+        assert at == len(h)
+        windows = {}
+        for p, x in zip(places.tolist(), h.tolist()):
+            end = min(p + 8, int(ends[np.searchsorted(ends, p, side="right")]))
+            windows.setdefault(tuple(hashes[p:end].tolist()), set()).add(x)
+        assert all(len(v) == 1 for v in windows.values()) and len({x for v in windows.values() for x in v}) == len(windows)
+
+
 def test_canonical():
     words, values = template_leaks.canonical("Anna ran 5 km. Then Bob ran twelve miles, and NASA won $3.50!")
     assert words == "anna ran <num> <unit> then <name> ran <num> <unit> and nasa won <num>".split()
