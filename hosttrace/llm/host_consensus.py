@@ -20,7 +20,9 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from hosttrace.llm.common import texts
+from hosttrace.llm.common import materialize, texts
+
+BROADCAST_HOSTS = 50_000  # rows of a host and a path, some 200 bytes each
 
 # Element kinds of HTML and words by which boilerplate is named.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -246,10 +248,13 @@ def winning_paths(counted):
 def extract_main_text(pages, page_id="page_id", url="url", page="html"):
     """(page_id, url, text, n_chars, path, by_consensus) for each row.
 
-    Pages meet the winners in an equi-join on the host that Spark may broadcast or split by its own measures; the big
-    side is the left one of a left join, so a hot host's rows can be split.
+    Winners, a row for each host, are written and counted: up to ``BROADCAST_HOSTS`` they go to the pages, which then
+    stay where they are read. With more hosts pages meet them in an equi-join; the pages are the left side of a left
+    join, so Spark can split a hot host's rows.
     """
-    winners = winning_paths(votes(pages, url, page)).withColumnRenamed("host", "_host")
+    winners = materialize(winning_paths(votes(pages, url, page)).withColumnRenamed("host", "_host"), "host-paths")
+    if winners.count() <= BROADCAST_HOSTS:
+        winners = F.broadcast(winners)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("page"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = rows.join(winners, host == F.col("_host"), "left").select("page_id", "url", "page", "winner")

@@ -80,7 +80,9 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{x}</style><script>
 TEXT = "Head & tail\n\nOne bold text é<3 next\n\nTwo\n\nx\n\ny"
 
 
-def test_consensus(spark):
+@pytest.mark.parametrize("hosts", [50_000, 0])
+def test_consensus(spark, hosts, monkeypatch):
+    monkeypatch.setattr(host_consensus, "BROADCAST_HOSTS", hosts)
     odd = "<html><body><div class='wrap'><div class='story s9'><p>short</p></div><div class='box'><p>" + "long other text " * 40 + "</p></div></div></body></html>"
     rows = [(k, f"https://u@Host.example:8080/{k}?q=//x", PAGE % (k, "comment " * 50)) for k in range(6)] + [(7, "http://host.example/7", odd)]
     rows += [(8, None, odd), (9, "not a url", ""), (10, "http://other/", None), (10, "http://other/", None), (11, "http://host.example/", "<p>plain <nav>x"), (12, "http://h2/", "a < b &amp c")]
