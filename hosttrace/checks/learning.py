@@ -10,11 +10,16 @@ from hosttrace.schema import PROCESS_FEATURES
 from hosttrace.session import materialize
 
 _rows = {}
-FEW = ["n_events", "dur_s", "rate", "n_files", "n_dst_ip", "cmd_len", "pcmd_len", "ev_1", "ev_11"]
+WITHOUT_COMMANDS = [c for c in PROCESS_FEATURES if c not in ("cmd_len", "pcmd_len")]
 
 
-def _light():
-    return {"Random Forest": models.small_forest(8, 5)}
+def _forest():
+    return {"Random Forest": models.supervised()["Random Forest"]}
+
+
+def forget():
+    """Let the next query write its own process table."""
+    _rows.clear()
 
 
 def process_rows(spark, sf):
@@ -49,13 +54,13 @@ for _id, _name in (("m10_naive_bayes", "Naive Bayes"), ("m11_decision_tree", "De
 @check("m5_principal_components")
 def m5(spark, sf):
     train, test = _split(spark, sf)
-    return protocols.component_search(train, test, FEW, most=3, classifier=models.small_forest(5, 4))
+    return protocols.component_search(train, test, PROCESS_FEATURES)
 
 
 @check("m14_isolation_forest")
 def m14(spark, sf):
     train, test = _split(spark, sf)
-    forest = models.fit_isolation_forest(train.where("label = 0"), PROCESS_FEATURES, trees=50)
+    forest = models.fit_isolation_forest(train.where("label = 0"), PROCESS_FEATURES)
     return models.score_isolation_forest(forest, test).select("platform", "run_id", "ProcessGuid", "label", "score")
 
 
@@ -94,7 +99,7 @@ def m15_lof(spark, sf):
 @check("m16_attack_types")
 def m16(spark, sf):
     train, test = _split(spark, sf)
-    typer = models.fit_typer(train.where("label = 1"), FEW, trees=10)
+    typer = models.fit_typer(train.where("label = 1"), PROCESS_FEATURES)
     return models.type_of(typer, test.where("label = 1")).select("ProcessGuid", "scenario", "attack_type",
                                                                  "type_confidence")
 
@@ -102,26 +107,24 @@ def m16(spark, sf):
 @check("m24_lineage_cv")
 def m24_p1(spark, sf):
     return protocols.report(materialize(protocols.lineage_cv(
-        process_rows(spark, sf), FEW, k=2, repeats=1, classifiers=_light(), trees=10), "cv"))
+        process_rows(spark, sf), PROCESS_FEATURES, k=5, repeats=1, lof=False), "cv"))
 
 
 @check("m24_leave_one_scenario_out")
 def m24_p3(spark, sf):
-    rows = materialize(protocols.leave_one_out(process_rows(spark, sf), FEW, "scenario", classifiers=_light(),
-                                               anomaly=False), "loso")
+    rows = materialize(protocols.leave_one_out(process_rows(spark, sf), PROCESS_FEATURES, "scenario", anomaly=False), "loso")
     return protocols.report(rows, ["HeldOut", "Model"])
 
 
 @check("m24_independent_runs")
 def m24_p4(spark, sf):
     return protocols.report(materialize(protocols.independent_runs(
-        process_rows(spark, sf), FEW, ["run_29", "run_30"], classifiers=_light(), anomaly=False), "new"), ["HeldOut", "Model"])
+        process_rows(spark, sf), PROCESS_FEATURES, ["run_29", "run_30"], anomaly=False), "new"), ["HeldOut", "Model"])
 
 
 @check("m24_random_process_split")
 def m24_random(spark, sf):
-    return protocols.report(protocols.random_process_split(process_rows(spark, sf), FEW, 1, classifiers=_light(),
-                                                           anomaly=False))
+    return protocols.report(materialize(protocols.random_process_split(process_rows(spark, sf), PROCESS_FEATURES, 1, anomaly=False), "random"))
 
 
 @check("m25_rates_by_age")
@@ -131,13 +134,13 @@ def m25(spark, sf):
         ["platform", "run_id", "ProcessGuid"]), "ages")
     split = splits.group_shuffle(rows, "lineage")
     return protocols.rates_by_age(protocols.age_scores(
-        split.where("NOT is_test"), split.where("is_test"), FEW, models.small_forest(8, 5), "prefix"))
+        split.where("NOT is_test"), split.where("is_test"), PROCESS_FEATURES, variant="prefix"))
 
 
 @check("m27_cross_platform")
 def m27(spark, sf):
     pairs = [("linux", "windows"), ("windows", "linux")]
-    rows = protocols.cross_group(process_rows(spark, sf), FEW, "platform", pairs, classifiers=_light(), anomaly=False)
+    rows = protocols.cross_group(process_rows(spark, sf), PROCESS_FEATURES, "platform", pairs, anomaly=False)
     return protocols.report(materialize(rows, "cross"), ["train", "test", "Model"])
 
 
@@ -145,44 +148,44 @@ def m27(spark, sf):
 def m27_zero(spark, sf):
     rows = process_rows(spark, sf)
     hit = F.col("scenario") == "trojan"
-    found = protocols.zero_day(rows.where(~hit), rows.where(hit), FEW, k=2, classifier=models.small_forest(8, 5), trees=10)
+    found = protocols.zero_day(rows.where(~hit), rows.where(hit), PROCESS_FEATURES, k=5)
     return protocols.report(materialize(found, "zero"), ["detector"])
 
 
 @check("m28_label_flip")
 def m28(spark, sf):
     rows = process_rows(spark, sf)
-    found = protocols.label_flip(rows, FEW, rows.where("label = 0 AND n_events >= 6"), k=2, classifiers=_light())
+    found = protocols.label_flip(rows, PROCESS_FEATURES, rows.where("label = 0 AND n_events >= 6"), classifiers=_forest())
     return protocols.report(materialize(found, "flip"), ["Labels", "Model"])
 
 
 @check("m29_ablation")
 def m29(spark, sf):
-    found = protocols.ablation(process_rows(spark, sf), {"all": FEW, "no_cmd": FEW[:5] + FEW[7:]}, k=2, classifiers=_light())
+    found = protocols.ablation(process_rows(spark, sf), {"all": PROCESS_FEATURES, "no_cmd": WITHOUT_COMMANDS}, classifiers=_forest())
     return protocols.report(materialize(found, "ablation"), ["Subset", "Model"])
 
 
 @check("m30_importance")
 def m30(spark, sf):
     train, test = _split(spark, sf)
-    return protocols.importance(train, test, FEW[:4], models.small_forest(8, 5), repeats=1)
+    return protocols.importance(train, test, PROCESS_FEATURES, repeats=1)
 
 
 @check("m31_backward_elimination")
 def m31(spark, sf):
     train, test = _split(spark, sf)
-    return protocols.backward_elimination(train, test, FEW[:4], models.small_forest(5, 4))[0]
+    return protocols.backward_elimination(train, test, PROCESS_FEATURES)[0]
 
 
 @check("m32_platform_leak")
 def m32(spark, sf):
     train, test = _split(spark, sf)
-    return protocols.platform_leak(train, test, FEW, classifier=models.small_forest(5, 4), most=3)[0]
+    return protocols.platform_leak(train, test, PROCESS_FEATURES, most=8)[0]
 
 
 @check("m33_score_new_rows")
 def m33(spark, sf):
     train, test = _split(spark, sf)
-    model = models.fit_classifier(train, FEW, models.small_forest(8, 5))
-    return protocols.score_new(model, test.drop("rate"), FEW, trained_on=train).select(
+    model = models.fit_classifier(train, PROCESS_FEATURES, models.supervised()["Random Forest"])
+    return protocols.score_new(model, test.drop("rate"), PROCESS_FEATURES, trained_on=train).select(
         "platform", "ProcessGuid", "score", "pred", "seen_in_training")

@@ -6,7 +6,8 @@ session, scenario, lineage. Driver loops run over folds, models and features, ne
 
 from functools import reduce
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hosttrace.operators import alerts, encode, metrics, models, splits
@@ -201,10 +202,20 @@ def backward_elimination(train, valid, order, classifier=None, tolerance=0.01):
 
 
 def component_search(train, valid, columns, most=30, classifier=None):
-    """Validation F1 for every number of principal components."""
-    classifier = classifier or models.small_forest()
-    curve = [(n, float(_f1(models.fit_classifier(train, columns, classifier, components=n), valid)))
-             for n in range(1, min(most, len(columns)) + 1)]
+    """Validation F1 for every number of principal components.
+
+    Components are nested, so scaler and components are fitted once, on the training rows, for the largest number.
+    """
+    classifier, most = classifier or models.small_forest(), min(most, len(columns))
+    rotation = Pipeline(stages=models.preparation(columns, components=most)).fit(train)
+    names = [f"pc_{i}" for i in range(most)]
+
+    def rotated(df):
+        values = vector_to_array("features")
+        return materialize(rotation.transform(df).select("label", *[values[i].alias(n) for i, n in enumerate(names)]), "components")
+
+    train, valid = rotated(train), rotated(valid)
+    curve = [(n, float(_f1(models.fit_classifier(train, names[:n], classifier, scale=False), valid))) for n in range(1, most + 1)]
     return train.sparkSession.createDataFrame(curve, "components int, f1 double").orderBy(F.desc("f1"), "components")
 
 
