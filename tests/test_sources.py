@@ -56,7 +56,7 @@ def test_csv_and_public_subset(spark, tmp_path):
         ("r1", 1, 1, "{a}"), ("r1", 3, 0, None), ("r2", 5, 0, "{b}")]
     assert rows[0].UtcTime is not None and rows[1].UtcTime is None and rows[2].Image == "/bin/x"
     public = tables.read_public_csv(spark, paths)
-    assert public.columns == [*tables.PUBLIC_COLUMNS, "run_id"] and public.where("Device IS NOT NULL").count() == 0
+    assert public.columns == [*tables.PUBLIC_COLUMNS, "run_id", "record_id", "platform"] and public.where("Device IS NOT NULL").count() == 0
 
 
 def record(**extra):
