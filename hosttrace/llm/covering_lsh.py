@@ -218,13 +218,13 @@ def hex_digits(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs, doc_id="doc_id", text="text"):
+def one_of_each(docs, doc_id="doc_id", text="text", near=near_duplicates, classes=fingerprints):
     """``docs`` with the document of the smallest id of each component alone; of rows that repeat that id, one.
 
     Rows without an id go if their component has one; else one stays for each set of equal texts, as nothing else tells
-    them apart.
+    them apart. ``near`` gives the components, ``classes`` the same fp of a text as ``near``.
     """
-    found = near_duplicates(docs, doc_id, text)
+    found = near(docs, doc_id, text)
     copies, kept, same = (free_name(docs, name) for name in ("copies", "kept_id", "kept_text"))
     keep = (found.where("doc_id = component_id").groupBy("doc_id")
             .agg(F.count(F.lit(1)).alias(copies)).withColumnRenamed("doc_id", kept))
@@ -233,7 +233,7 @@ def one_of_each(docs, doc_id="doc_id", text="text"):
     repeated = rows.where(F.col(copies) > 1).select(*docs.columns).dropDuplicates([doc_id])
     nameless = docs.where(F.col(doc_id).isNull())
     alone = found.where("component_id IS NULL").select("fp").distinct()
-    texts = (fingerprints(nameless.select(F.coalesce(text, F.lit("")).alias("t")), "t", "t").join(alone, "fp", "left_semi")
+    texts = (classes(nameless.select(F.coalesce(text, F.lit("")).alias("t")), "t", "t").join(alone, "fp", "left_semi")
              .select(F.col("doc_id").alias(same)).distinct())
     nameless = nameless.join(texts, F.coalesce(text, F.lit("")) == F.col(same), "left_semi").dropDuplicates([text])
     return single.unionByName(repeated).unionByName(nameless)
