@@ -3,8 +3,9 @@
 Numbers, units and names become typed placeholders, so a question whose values were changed keeps its template. Every
 window of ``WINDOW`` template words of the benchmark is hashed; documents' windows are joined with them by hash. For
 each (document, item) pair the matched windows give the share of the item's template that the document holds, and
-what stands in the item's slots: values must be used consistently, that is, equal values in the item stand for equal
-values in the document and different for different.
+what stands in the item's slots. Numbers and units may coincide or part by chance and are not asked for more. Of the
+slots with names at least half must be kept: the name is the item's own, or it stands for more than half of the slots of
+that item name and the other way round.
 
 A pair is a leak if at least ``SHARE`` of the item's windows match, or an unbroken run of ``RUN`` words does, and its
 slots are consistent; it is ``copied`` if the slots have the item's own values, else ``reparameterised``.
@@ -251,6 +252,12 @@ def matches(docs, benchmark, doc_id="doc_id", item_id="item_id", text="text"):
         F.col("slots").alias("doc_slots"), "item_slots", "item_windows")
 
 
+def _kept_name(x):
+    """Whether the slot x has the item's name, or pairs two names that mostly stand for each other."""
+    times = lambda *fields: F.size(F.filter("names", lambda z: F.forall(F.array(*[z[f] == x[f] for f in fields]), lambda same: same)))
+    return (x["i"] == x["d"]) | ((times("i", "d") * 2 > times("i")) & (times("i", "d") * 2 > times("d")))
+
+
 def judge(matched, share=SHARE, run=RUN):
     """One row for each (doc_id, item_id): matched windows, coverage, longest run, slot consistency and verdict.
 
@@ -264,19 +271,20 @@ def judge(matched, share=SHARE, run=RUN):
                      F.collect_set(F.struct("item_place", "item_slots", "doc_slots")).alias("windows")))
     # (place, item's value, document's value) of each slot
     slot = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.filter(
-        F.transform(F.arrays_zip(w["item_slots"], w["doc_slots"]), lambda z: F.struct(z["item_slots"].alias("i"), z["doc_slots"].alias("d"))),
+        F.transform(F.arrays_zip(w["item_slots"], w["doc_slots"]), lambda z, k: F.struct(
+            (w["item_place"] + k).alias("p"), z["item_slots"].alias("i"), z["doc_slots"].alias("d"))),
         lambda z: z["i"].isNotNull()))))
     ordered = F.col("places")
     step = F.aggregate(ordered, F.struct(F.lit(-2).cast("long").alias("last"), F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("best")),
                        lambda acc, p: F.struct(p.alias("last"), F.when(p == acc["last"] + 1, acc["now"] + 1).otherwise(F.lit(1).cast("long")).alias("now"),
                                                F.greatest(acc["best"], F.when(p == acc["last"] + 1, acc["now"] + 1).otherwise(F.lit(1).cast("long"))).alias("best")))
     rows = diagonal.withColumn("slots", slot).withColumn("longest", step["best"])
-    distinct = lambda f: F.size(F.array_distinct(F.transform("slots", lambda z: z[f])))
-    rows = (rows.withColumn("n_slots", F.size("slots"))
-            .withColumn("consistent", (F.size("slots") == distinct("i")) & (F.size("slots") == distinct("d")))
+    rows = (rows.withColumn("n_slots", F.size(F.array_distinct(F.transform("slots", lambda z: F.struct(z["i"], z["d"])))))
+            .withColumn("names", F.filter("slots", lambda z: z["i"].rlike(r"^\p{L}") & ~z["i"].isin(*NUMBER_WORDS, *UNITS)))
+            .withColumn("consistent", F.size(F.filter("names", _kept_name)) * 2 >= F.size("names"))
             .withColumn("same_values", F.forall("slots", lambda z: z["i"] == z["d"])))
     rows = rows.withColumn("coverage", F.col("n_matched") / F.col("item_windows"))
-    rows = rows.withColumn("leak", (F.col("consistent") | F.col("same_values")) & ((F.col("coverage") >= share) | (F.col("longest") + WINDOW - 1 >= run)))
+    rows = rows.withColumn("leak", F.col("consistent") & ((F.col("coverage") >= share) | (F.col("longest") + WINDOW - 1 >= run)))
     best = F.max_by(F.struct("shift", "n_matched", "coverage", "longest", "n_slots", "consistent", "same_values", "leak"),
                     F.struct("leak", "n_matched", (-F.abs("shift")).alias("near"), "shift"))
     return (rows.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
