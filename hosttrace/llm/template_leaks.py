@@ -7,6 +7,9 @@ what stands in the item's slots. Numbers and units may coincide or part by chanc
 slots with names at least half must be kept: the name is the item's own, or it stands for more than half of the slots of
 that item name and the other way round.
 
+A capitalised word that opens a sentence may be a name or not: windows with such words are hashed twice, with the words
+written small and with <name> in their place, on both sides. A match of either is a match.
+
 A pair is a leak if at least ``SHARE`` of the item's windows match, or an unbroken run of ``RUN`` words does, and its
 slots are consistent; it is ``copied`` if the slots have the item's own values, else ``reparameterised``.
 
@@ -81,6 +84,7 @@ def tokens_of(chunk):
 
 
 _KINDS = ("word", "name", "unit", "number", "end")
+NAME = np.uint64(xxhash.xxh3_64_intdigest("<name>"))
 _LINE_END = b"\x02"  # stands for a line end, which is a blank otherwise
 
 
@@ -111,6 +115,10 @@ class TemplateWords(WordTable):
 
     def templates(self, texts):
         """(codes, hashes, placeholders, ends): all texts' template words in a row; ``ends`` is where each text's end."""
+        return self.templates_and_openings(texts)[:4]
+
+    def templates_and_openings(self, texts):
+        """``templates`` and which words are capitalised at the start of a sentence."""
         texts = [t.replace(b"\n", b" \x02 ") for t in texts]
         data = b"\n".join(texts) + b"\n"
         raw = np.frombuffer(data, np.uint8)
@@ -136,7 +144,7 @@ class TemplateWords(WordTable):
         hashes = self.hash[codes]
         for mask, label in ((number, "<num>"), (unit, "<unit>"), (name, "<name>")):
             hashes[mask] = xxhash.xxh3_64_intdigest(label)
-        return codes, hashes, number | unit | name, ends
+        return codes, hashes, number | unit | name, ends, (kinds == 1) & first
 
 
 _words = None
@@ -211,8 +219,13 @@ def windows_of(rows, row_id, text, wanted=None, window=WINDOW):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for at, part in parts(batch.column(1)):
-                codes, hashes, slot, ends = tool.templates(part)
+                codes, hashes, slot, ends, opening = tool.templates_and_openings(part)
                 places, h = window_hashes(hashes, ends, window)
+                named = window_hashes(np.where(opening, NAME, hashes), ends, window)[1]
+                other = np.flatnonzero(named != h)
+                n_plain = len(h)
+                places, h = np.concatenate([places, places[other]]), np.concatenate([h, named[other]])
+                either = slot | opening
                 if wanted is None:
                     found = np.arange(len(h))
                 elif member is None:
@@ -224,8 +237,8 @@ def windows_of(rows, row_id, text, wanted=None, window=WINDOW):
                 starts = np.concatenate([[0], ends[:-1]])
                 owner = np.searchsorted(ends, places[found], side="right")
                 counts = np.maximum(1, ends - starts - window + 1)
-                values = [[tool.names[codes[q]] if slot[q] else None for q in range(p, min(p + window, e))]
-                          for p, e in zip(places[found].tolist(), ends[owner].tolist())]
+                values = [[tool.names[codes[q]] if kept[q] else None for q in range(p, min(p + window, e))]
+                          for p, e, kept in zip(places[found].tolist(), ends[owner].tolist(), (slot if k < n_plain else either for k in found.tolist()))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[at + k] for k in owner.tolist()], batch.column(0).type), pa.array(places[found] - starts[owner]),
                      pa.array(h[found]), pa.array(values, pa.list_(pa.string())), pa.array(counts[owner])],

@@ -13,3 +13,12 @@ def test_numbers_may_coincide_or_part(spark):
             (3, FRUIT.replace("2 pears", "6 pears")), (4, QUESTION.replace("Boston", "Denver").replace("Albany", "Denver")), (5, prose(3, 200))]
     got = leaks(spark, docs, [(10, BOXES), (11, FRUIT), (12, QUESTION)])
     assert got == {(1, 10): "reparameterised", (2, 11): "reparameterised", (3, 11): "reparameterised"}
+
+
+TOM = "Tom has 3 apples in his basket. Tom gives 2 apples to a friend. Tom then buys 6 more apples. Tom eats 1 apple on the way. How many apples are left?"
+
+
+def test_names_at_the_start_of_a_sentence(spark):
+    anna = TOM.replace("Tom", "Anna")
+    docs = [(1, TOM), (2, anna), (3, prose(1, 40) + "\n" + anna.replace("3", "8")), (4, "tom " + TOM[4:]), (5, "Question: " + anna), (6, prose(3, 200))]
+    assert leaks(spark, docs, [(10, TOM)]) == {(1, 10): "copied", (2, 10): "reparameterised", (3, 10): "reparameterised", (4, 10): "copied", (5, 10): "reparameterised"}
