@@ -10,8 +10,10 @@ that item name and the other way round.
 A capitalised word that opens a sentence may be a name or not: windows with such words are hashed twice, with the words
 written small and with <name> in their place, on both sides. A match of either is a match.
 
-A pair is a leak if at least ``SHARE`` of the item's windows match, or an unbroken run of ``RUN`` words does, and its
-slots are consistent; it is ``copied`` if the slots have the item's own values, else ``reparameterised``.
+Matches of a pair lie on alignments (document place less item place); a word put in or left out moves the rest of a copy
+to the next one. So alignments that differ by less than ``BAND``, or a quarter of a longer item, are judged together.
+A pair is a leak if its windows cover at least ``SHARE`` of the item's words, or an unbroken run of ``RUN`` words, and its
+name slots are consistent; it is ``copied`` if the slots have the item's own values, else ``reparameterised``.
 
 Windows of documents are made in the tasks that read them, and only those found in the benchmark's set of hashes go on,
 so what is shuffled is bounded by true template matches. The set goes to the tasks in blocks of at most
@@ -36,6 +38,7 @@ from hosttrace.llm.tokens import WordTable, parts, word_bounds
 WINDOW = 8
 SHARE = 0.5
 RUN = 25
+BAND = 16
 BLOCK_HASHES = 2_000_000
 # Unit symbols and words that are replaced after a number.
 UNITS = frozenset("""mm cm m km mi ft in inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers mg g kg lb lbs oz ton tons gram
@@ -272,34 +275,51 @@ def _kept_name(x):
 
 
 def judge(matched, share=SHARE, run=RUN):
-    """One row for each (doc_id, item_id): matched windows, coverage, longest run, slot consistency and verdict.
+    """One row for each (doc_id, item_id): matched windows, share of words covered, longest run, slot consistency and verdict.
 
-    Aligned windows of a pair lie on diagonals (document place less item place); each is a possible copy of the item.
-    Everything is a grouped aggregate with fixed-size or distinct-bounded state: at most the item's windows a diagonal.
+    Aligned windows of a pair lie on diagonals (document place less item place). Bands are twice as wide as the reach and
+    overlap by half, so any two diagonals within the reach are in one of them; each band is a possible copy of the item,
+    and so is each diagonal alone, as a repetitive item also matches beside itself.
+    Everything is a grouped aggregate with distinct-bounded state: at most the item's windows a diagonal.
     """
-    diagonal = (matched.withColumn("shift", F.col("doc_place") - F.col("item_place"))
-                .groupBy("doc_id", "item_id", "shift")
-                .agg(F.countDistinct("item_place").alias("n_matched"), F.max("item_windows").alias("item_windows"),
-                     F.sort_array(F.collect_set("item_place")).alias("places"),
-                     F.collect_set(F.struct("item_place", "item_slots", "doc_slots")).alias("windows")))
     # (place, item's value, document's value) of each slot
     slot = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.filter(
         F.transform(F.arrays_zip(w["item_slots"], w["doc_slots"]), lambda z, k: F.struct(
             (w["item_place"] + k).alias("p"), z["item_slots"].alias("i"), z["doc_slots"].alias("d"))),
         lambda z: z["i"].isNotNull()))))
-    ordered = F.col("places")
-    step = F.aggregate(ordered, F.struct(F.lit(-2).cast("long").alias("last"), F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("best")),
-                       lambda acc, p: F.struct(p.alias("last"), F.when(p == acc["last"] + 1, acc["now"] + 1).otherwise(F.lit(1).cast("long")).alias("now"),
-                                               F.greatest(acc["best"], F.when(p == acc["last"] + 1, acc["now"] + 1).otherwise(F.lit(1).cast("long"))).alias("best")))
-    rows = diagonal.withColumn("slots", slot).withColumn("longest", step["best"])
-    rows = (rows.withColumn("n_slots", F.size(F.array_distinct(F.transform("slots", lambda z: F.struct(z["i"], z["d"])))))
+    diagonal = (matched.withColumn("shift", F.col("doc_place") - F.col("item_place"))
+                .groupBy("doc_id", "item_id", "shift")
+                .agg(F.max("item_windows").alias("item_windows"), F.collect_set("item_place").alias("places"),
+                     F.collect_set(F.struct("item_place", "item_slots", "doc_slots")).alias("windows"))
+                .withColumn("slots", slot).drop("windows"))
+    reach = F.greatest(F.lit(BAND), F.floor(F.col("item_windows") / 4))
+    band = F.floor(F.col("shift") / reach)
+    alone = lambda yes, at: F.struct(F.lit(yes).alias("alone"), at.alias("at"))
+    rows = (diagonal.withColumn("band", F.explode(F.array(alone(False, band), alone(False, band + 1), alone(True, F.col("shift")))))
+            .groupBy("doc_id", "item_id", "band")
+            .agg(F.max("item_windows").alias("item_windows"),
+                 F.max_by("shift", F.struct(F.size("places"), -F.abs("shift"), F.col("shift"))).alias("shift"),
+                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"),
+                 F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")))
+    zero = F.lit(0).cast("long")
+
+    def step(acc, p):
+        now = F.when(p == acc["last"] + 1, acc["now"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(p.alias("last"), now.alias("now"), F.greatest(acc["best"], now).alias("best"),
+                        (acc["words"] + F.least(F.lit(WINDOW).cast("long"), p - acc["last"])).alias("words"))
+
+    start = F.struct(F.lit(-WINDOW).cast("long").alias("last"), zero.alias("now"), zero.alias("best"), zero.alias("words"))
+    rows = rows.withColumn("walk", F.aggregate("places", start, step)).withColumn("longest", F.col("walk.best"))
+    rows = (rows.withColumn("n_matched", F.size("places").cast("long"))
+            .withColumn("n_slots", F.size(F.array_distinct(F.transform("slots", lambda z: F.struct(z["i"], z["d"])))))
             .withColumn("names", F.filter("slots", lambda z: z["i"].rlike(r"^\p{L}") & ~z["i"].isin(*NUMBER_WORDS, *UNITS)))
             .withColumn("consistent", F.size(F.filter("names", _kept_name)) * 2 >= F.size("names"))
             .withColumn("same_values", F.forall("slots", lambda z: z["i"] == z["d"])))
-    rows = rows.withColumn("coverage", F.col("n_matched") / F.col("item_windows"))
+    # An item of one window is matched whole or not at all.
+    rows = rows.withColumn("coverage", F.when(F.col("item_windows") == 1, F.lit(1.0)).otherwise(F.col("walk.words") / (F.col("item_windows") + WINDOW - 1)))
     rows = rows.withColumn("leak", F.col("consistent") & ((F.col("coverage") >= share) | (F.col("longest") + WINDOW - 1 >= run)))
     best = F.max_by(F.struct("shift", "n_matched", "coverage", "longest", "n_slots", "consistent", "same_values", "leak"),
-                    F.struct("leak", "n_matched", (-F.abs("shift")).alias("near"), "shift"))
+                    F.struct("leak", "n_matched", "same_values", (-F.abs("shift")).alias("near"), "shift"))
     return (rows.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
         "doc_id", "item_id", F.col("b.shift").alias("shift"), F.col("b.n_matched").alias("n_matched"), F.round("b.coverage", 6).alias("coverage"),
         (F.col("b.longest") + WINDOW - 1).alias("run_words"), F.col("b.n_slots").alias("n_slots"), F.col("b.consistent").alias("consistent"), F.col("b.leak").alias("leak"),

@@ -22,3 +22,25 @@ def test_names_at_the_start_of_a_sentence(spark):
     anna = TOM.replace("Tom", "Anna")
     docs = [(1, TOM), (2, anna), (3, prose(1, 40) + "\n" + anna.replace("3", "8")), (4, "tom " + TOM[4:]), (5, "Question: " + anna), (6, prose(3, 200))]
     assert leaks(spark, docs, [(10, TOM)]) == {(1, 10): "copied", (2, 10): "reparameterised", (3, 10): "reparameterised", (4, 10): "copied", (5, 10): "reparameterised"}
+
+
+LONG = ("the baker sells small round loaves at the corner of the old square every morning and keeps what is left for the evening "
+        "when a few late guests come in and ask whether there is any bread to take home")
+
+
+def test_words_put_in_left_out_and_replaced(spark):
+    w = LONG.split()
+    n = len(w)
+    thirds = [x if k not in (n // 3, 2 * n // 3) else "foreign" for k, x in enumerate(w)]
+    inserted = [" ".join([*w[:k], "foreign", *w[k:]]) for k in range(n + 1)]
+    dropped = [" ".join([*w[:k], *w[k + 1:]]) for k in range(n)]
+    docs = list(enumerate([*inserted, *dropped, " ".join(thirds), FRUIT.replace("24", "twenty five")]))
+    # A far part of an item, twice, is not more of it.
+    apart = [(1000, " ".join([*w[:14], *prose(5, 60).split(), *w[-4:]]))]
+    got = leaks(spark, docs + apart, [(10, LONG), (11, FRUIT)])
+    assert {d for d, i in got if i == 10} == set(range(len(docs) - 1)) and {d for d, i in got if i == 11} == {len(docs) - 1}
+
+
+def test_repetitive_item(spark):
+    item = "there " + " and ".join(f"{name} has {k} apples" for k, name in enumerate("Tom Ann Bob Eve Kim Joe Max Zoe Ben".split(), 2))
+    assert leaks(spark, [(1, item), (2, "and " + item)], [(10, item)]) == {(1, 10): "copied", (2, 10): "copied"}
