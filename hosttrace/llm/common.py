@@ -10,6 +10,12 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark, rows=1000, size=8 << 20):
+    """Let Python tasks of this session meet whole texts in batches of bounded rows and bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def utf8(column):
     """The values of an Arrow string column as bytes; null is empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]

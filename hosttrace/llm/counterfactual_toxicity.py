@@ -215,8 +215,9 @@ def fit(docs, labels, doc_id="doc_id", text="text", toxic="toxic", penalty=PENAL
                 rows.append((y, *_packed(vector(words, index, memory)), *(_packed(vector(other, index, memory)) if other else (None, None))))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["y", "c", "v", "c2", "v2"])
 
-    # The sample is a threshold on a hash of the id, chosen for the size; the limit only guards against an unlucky draw.
-    share = min(1.0, rows / (n_other + n_toxic))
+    # The sample is a threshold on a hash of the id that aims four deviations below the bound, so the limit, which would
+    # drop rows by partition order, guards against one draw in thirty thousand.
+    share = 1.0 if n_other + n_toxic <= rows else max(0.0, rows - 4 * rows ** 0.5) / (n_other + n_toxic)
     chosen = train.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else train
     sample = chosen.select("text", "toxic").mapInArrow(run, "y long, c binary, v binary, c2 binary, v2 binary").limit(rows).collect()
     x = Rows([_unpacked(r["c"], r["v"]) for r in sample], len(names))

@@ -7,11 +7,14 @@ its kind walks left and right to the boundaries and validates what it finds: no
 Base kinds (email, ip, card, phone) follow fixed grammars, leftmost and without overlap within a kind; a match that
 fails validation is dropped and not tried again. Added kinds:
 
-* ``account``: an account number after a cue (IBAN with a valid mod-97 remainder, US social security numbers with valid groups),
+* ``account``: an account number after a cue (IBAN with a valid mod-97 remainder, US social security numbers with valid groups, 6 to 17 digits
+  after a word for an account, 9 after one for a routing number),
 * ``url``: a URL that carries user information (scheme://user:secret@host),
-* ``address``: an email address spelled with (at) and (dot) in brackets.
+* ``address``: an email address spelled with (at) and (dot) in brackets,
+* ``secret``: what stands after a word for a key, token or password and a colon or equals sign; unless quoted, with letters and digits.
 
-Spans are code points, the end exclusive. Text is read whole, whatever its length.
+Cues are found without regard to case. Every parser stops where the next anchor of its kind could begin or moves past
+what it has read, so time is linear in the text. Spans are code points, the end exclusive. Text is read whole, whatever its length.
 
 Defined cases: a null or empty text has no spans; repeated rows give repeated results; other columns are not read.
 """
@@ -27,17 +30,21 @@ from pyspark.sql import functions as F
 from hosttrace.llm.common import per_batch, texts
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "account", "url", "address")
+KINDS = (*BASE, "account", "url", "address", "secret")
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 DIGITS = frozenset(digits)
 LOCAL = LETTERS | DIGITS | frozenset("._%+-")
 HOST = LETTERS | DIGITS | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 # Cues and schemes that open a search for an account number or a URL.
-IBAN_CUES = ("IBAN",)
-SSN_CUES = ("SSN", "Social Security")
+IBAN_CUES = ("iban",)
+SSN_CUES = ("ssn", "social security")
+ACCOUNT_CUES = ("account no", "account number", "account #", "acct", "a/c no", "kontonummer")
+ROUTING_CUES = ("routing no", "routing number")
+SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access_key", "private_key")
 SCHEMES = ("ftp://", "http://", "https://", "ssh://")
-AT_WORDS = ("(at)", "[at]", "(AT)", "[AT]")
+AT_WORDS = ("(at)", "[at]")
+_SMALL = {c: c + 32 for c in range(65, 91)}  # A-Z alone, so that places stay
 
 
 def automaton():
@@ -50,7 +57,8 @@ def automaton():
             a.add_word(d + "." + e, ("ip", 3))
             for gap in ("", " ", "-"):
                 a.add_word(d + gap + e, ("card", 2 + len(gap)))
-    for cues, kind in ((IBAN_CUES, "iban"), (SSN_CUES, "ssn"), (SCHEMES, "url"), (AT_WORDS, "address")):
+    for cues, kind in ((IBAN_CUES, "iban"), (SSN_CUES, "ssn"), (ACCOUNT_CUES, "number"), (ROUTING_CUES, "routing"), (SECRET_CUES, "secret"),
+                       (SCHEMES, "url"), (AT_WORDS, "address")):
         for cue in cues:
             a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
@@ -141,10 +149,10 @@ def _phone(t, a, b, after):
 
 
 def _iban(t, a, b, after):
-    m = re.compile(r"[\s:#.=]{1,4}(?:no[.:]? ?)?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])").match(t, b)
+    m = re.compile(r"[\s:#.=]{1,4}(?:no[.:]? ?)?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])", re.I | re.A).match(t, b)
     if not m:
         return None
-    return m.start(1), m.end(1), iban_valid(m[1].replace(" ", ""))
+    return m.start(1), m.end(1), iban_valid(m[1].replace(" ", "").upper())
 
 
 def _ssn(t, a, b, after):
@@ -154,13 +162,40 @@ def _ssn(t, a, b, after):
     return m.start(1), m.end(3), m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"
 
 
+_NUMBER = re.compile(r"(?: ?(?:no|number))?[.:#= ]{1,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
+_ROUTING = re.compile(r"[.:#= ]{1,4}([0-9]{9})(?![0-9])")
+_SECRET = re.compile(r"[\"']? {0,2}[:=]>? {0,2}(?:\"([^\s\"']{8,200})\"|'([^\s\"']{8,200})'|([A-Za-z0-9_+/=.~-]{12,200})(?![A-Za-z0-9_+/=.~-]))")
+
+
+def _number(t, a, b, after):
+    m = _NUMBER.match(t, b)
+    return m and (m.start(1), m.end(1), True)
+
+
+def _routing(t, a, b, after):
+    m = _ROUTING.match(t, b)
+    return m and (m.start(1), m.end(1), sum(int(c) * w for c, w in zip(m[1], (3, 7, 1) * 3)) % 10 == 0)
+
+
+def _secret(t, a, b, after):
+    m = _SECRET.match(t, b)
+    if not m:
+        return None
+    k = next(k for k in (1, 2, 3) if m[k])
+    return m.start(k), m.end(k), k < 3 or not DIGITS.isdisjoint(m[3]) and not LETTERS.isdisjoint(m[3])
+
+
 def _url(t, a, b, after):
-    e, n = b, len(t)
-    while e < n and not t[e].isspace() and t[e] not in "<>\"'":
+    """Looks as far as the next slash, which the next scheme has, and farther only once a span is certain."""
+    e, n, at = b, len(t), -1
+    while e < n and not t[e].isspace() and t[e] not in "<>\"'/?#":
+        if t[e] == "@" and at < 0:
+            at = e
         e += 1
-    user, at, host = t[b:e].partition("@")
-    if not at or "/" in user or ":" not in user.strip(":") or not host or host[0] not in HOST:
+    if at < 0 or ":" not in t[b:at].strip(":") or at + 1 == e or t[at + 1] not in HOST:
         return None
+    while e < n and not t[e].isspace() and t[e] not in "<>\"'":
+        e += 1
     return a, e, True
 
 
@@ -169,21 +204,21 @@ def _address(t, a, b, after):
     first = s
     while first > after and t[first - 1] in LOCAL:
         first -= 1
-    m = re.compile(r" ?([A-Za-z0-9-]+)(?: ?[(\[](?:dot|DOT)[)\]] ?[A-Za-z0-9-]+)+").match(t, b)
+    m = re.compile(r" ?([A-Za-z0-9-]+)(?: ?[(\[]dot[)\]] ?[A-Za-z0-9-]+)+", re.I | re.A).match(t, b)
     if first == s or not m:
         return None
     return first, m.end(), True
 
 
 _PARSERS = {"email": ("email", _email), "ip": ("ip", _ip), "card": ("card", _card), "phone": ("phone", _phone),
-            "iban": ("account", _iban), "ssn": ("account", _ssn), "url": ("url", _url), "address": ("address", _address)}
+            "iban": ("account", _iban), "ssn": ("account", _ssn), "number": ("account", _number), "routing": ("account", _routing), "secret": ("secret", _secret), "url": ("url", _url), "address": ("address", _address)}
 
 
 def find(text):
     """(kind, start, end) of every valid span, by start, then kind in the order of ``KINDS``."""
     upto = dict.fromkeys(KINDS, 0)
     out = []
-    for last, (name, size) in _AUTOMATON.iter(text):
+    for last, (name, size) in _AUTOMATON.iter(text.translate(_SMALL)):
         kind, parse = _PARSERS[name]
         a = last + 1 - size
         if a < upto[kind]:  # within the last match of its kind

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from hosttrace.llm.common import materialize, per_batch, texts
+from hosttrace.llm.common import materialize, per_batch, small_batches, texts
 
 RULES = ("symbols", "exclaimed", "capitals", "separators", "repeated", "dup_lines", "top_word", "long_word", "marks")
 GRID = 200
@@ -271,6 +271,7 @@ def kept_documents(docs, labels, doc_id="doc_id", text="text", stratum="lang", r
     The verdict depends on text and stratum alone, so it is found again in the task that reads a row: only statistics
     are shuffled, never texts.
     """
+    small_batches(docs.sparkSession)  # whole rows go through Python
     cutoffs = fit(statistics(docs, doc_id, text, stratum), labels, risk, delta)
     i_text, i_stratum = docs.columns.index(text), docs.columns.index(stratum)
 

@@ -3,17 +3,21 @@
 Numbers, units and names become typed placeholders, so a question whose values were changed keeps its template. Every
 window of ``WINDOW`` template words of the benchmark is hashed; documents' windows are joined with them by hash. For
 each (document, item) pair the matched windows give the share of the item's template that the document holds, and
-what stands in the item's slots. Numbers and units may coincide or part by chance and are not asked for more. Of the
+what stands in the item's slots. Numbers and units may coincide or part by chance, so they decide only where coverage is low. Of the
 slots with names at least half must be kept: the name is the item's own, or it stands for more than half of the slots of
 that item name and the other way round.
 
+Windows with fewer than ``LITERALS`` words of their own say nothing as templates ("1 2 3 4 ..."): they are hashed with their values, so
+copies of them count and tables of numbers do not meet.
+
 A capitalised word that opens a sentence may be a name or not: windows with such words are hashed twice, with the words
 written small and with <name> in their place, on both sides. A match of either is a match.
 
 Matches of a pair lie on alignments (document place less item place); a word put in or left out moves the rest of a copy
 to the next one. So alignments that differ by less than ``BAND``, or a quarter of a longer item, are judged together.
 A pair is a leak if its windows cover at least ``SHARE`` of the item's words, or an unbroken run of ``RUN`` words, and its
-name slots are consistent; it is ``copied`` if the slots have the item's own values, else ``reparameterised``.
+name slots are consistent; below ``CERTAIN`` and without such a run, half of its number and unit slots must be kept or stand
+one for one as well; it is ``copied`` if the slots have the item's own values, else ``reparameterised``.
 
 Windows of documents are made in the tasks that read them, and only those found in the benchmark's set of hashes go on,
 so what is shuffled is bounded by true template matches. The set goes to the tasks in blocks of at most
@@ -39,6 +43,8 @@ WINDOW = 8
 SHARE = 0.5
 RUN = 25
 BAND = 16
+LITERALS = 2
+CERTAIN = 0.8
 BLOCK_HASHES = 2_000_000
 # Unit symbols and words that are replaced after a number.
 UNITS = frozenset("""mm cm m km mi ft in inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers mg g kg lb lbs oz ton tons gram
@@ -225,6 +231,13 @@ def windows_of(rows, row_id, text, wanted=None, window=WINDOW):
                 codes, hashes, slot, ends, opening = tool.templates_and_openings(part)
                 places, h = window_hashes(hashes, ends, window)
                 named = window_hashes(np.where(opening, NAME, hashes), ends, window)[1]
+                starts = np.concatenate([[0], ends[:-1]])
+                stops = np.minimum(places + window, ends[np.searchsorted(ends, places, side="right")])
+                own = window_hashes(tool.hash[codes], ends, window)[1]
+                for hashed, kept in ((h, slot), (named, slot | opening)):
+                    literal = np.concatenate([[0], np.cumsum(~kept)])
+                    few = literal[stops] - literal[places] < LITERALS
+                    hashed[few] = own[few]
                 other = np.flatnonzero(named != h)
                 n_plain = len(h)
                 places, h = np.concatenate([places, places[other]]), np.concatenate([h, named[other]])
@@ -237,7 +250,6 @@ def windows_of(rows, row_id, text, wanted=None, window=WINDOW):
                     found = member.hits(h)
                 if not len(found):
                     continue
-                starts = np.concatenate([[0], ends[:-1]])
                 owner = np.searchsorted(ends, places[found], side="right")
                 counts = np.maximum(1, ends - starts - window + 1)
                 values = [[tool.names[codes[q]] if kept[q] else None for q in range(p, min(p + window, e))]
@@ -268,9 +280,9 @@ def matches(docs, benchmark, doc_id="doc_id", item_id="item_id", text="text"):
         F.col("slots").alias("doc_slots"), "item_slots", "item_windows")
 
 
-def _kept_name(x):
-    """Whether the slot x has the item's name, or pairs two names that mostly stand for each other."""
-    times = lambda *fields: F.size(F.filter("names", lambda z: F.forall(F.array(*[z[f] == x[f] for f in fields]), lambda same: same)))
+def _kept(x, slots):
+    """Whether the slot x has the item's value, or pairs two values that mostly stand for each other."""
+    times = lambda *fields: F.size(F.filter(slots, lambda z: F.forall(F.array(*[z[f] == x[f] for f in fields]), lambda same: same)))
     return (x["i"] == x["d"]) | ((times("i", "d") * 2 > times("i")) & (times("i", "d") * 2 > times("d")))
 
 
@@ -313,11 +325,14 @@ def judge(matched, share=SHARE, run=RUN):
     rows = (rows.withColumn("n_matched", F.size("places").cast("long"))
             .withColumn("n_slots", F.size(F.array_distinct(F.transform("slots", lambda z: F.struct(z["i"], z["d"])))))
             .withColumn("names", F.filter("slots", lambda z: z["i"].rlike(r"^\p{L}") & ~z["i"].isin(*NUMBER_WORDS, *UNITS)))
-            .withColumn("consistent", F.size(F.filter("names", _kept_name)) * 2 >= F.size("names"))
+            .withColumn("numbers", F.array_except("slots", "names"))
+            .withColumn("consistent", F.size(F.filter("names", lambda x: _kept(x, "names"))) * 2 >= F.size("names"))
+            .withColumn("steady", F.size(F.filter("numbers", lambda x: _kept(x, "numbers"))) * 2 >= F.size("numbers"))
             .withColumn("same_values", F.forall("slots", lambda z: z["i"] == z["d"])))
     # An item of one window is matched whole or not at all.
     rows = rows.withColumn("coverage", F.when(F.col("item_windows") == 1, F.lit(1.0)).otherwise(F.col("walk.words") / (F.col("item_windows") + WINDOW - 1)))
-    rows = rows.withColumn("leak", F.col("consistent") & ((F.col("coverage") >= share) | (F.col("longest") + WINDOW - 1 >= run)))
+    rows = rows.withColumn("leak", F.col("consistent") & (
+        (F.col("coverage") >= CERTAIN) | (F.col("longest") + WINDOW - 1 >= run) | (F.col("coverage") >= share) & F.col("steady")))
     best = F.max_by(F.struct("shift", "n_matched", "coverage", "longest", "n_slots", "consistent", "same_values", "leak"),
                     F.struct("leak", "n_matched", "same_values", (-F.abs("shift")).alias("near"), "shift"))
     return (rows.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
@@ -331,7 +346,9 @@ def leaks(docs, benchmark, doc_id="doc_id", item_id="item_id", text="text"):
     return judge(matches(docs, benchmark, doc_id, item_id, text)).where("leak").drop("leak")
 
 
-def clean_documents(docs, benchmark, doc_id="doc_id", text="text"):
-    """``docs`` without those that hold a leak. Rows without an id stay, as no leak can name them."""
-    bad = leaks(docs, benchmark, doc_id, text=text).select(F.col("doc_id").alias(free_name(docs, "leaking"))).distinct()
-    return docs.join(bad, F.col(doc_id) == F.col(bad.columns[0]), "left_anti")
+def clean_documents(docs, benchmark, text="text"):
+    """``docs`` without those that hold a leak. Rows are judged by their text, whatever their ids: each row on its own."""
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    rows = docs.select(key.alias("text_id"), F.col(text).alias("text"))
+    bad = leaks(rows, benchmark, "text_id").select(F.col("doc_id").alias(free_name(docs, "leaking"))).distinct()
+    return docs.join(bad, key == F.col(bad.columns[0]), "left_anti")

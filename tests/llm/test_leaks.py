@@ -1,6 +1,8 @@
 """Leaks whose values, names or single words were changed."""
 
-from .data import prose
+from hosttrace.llm import template_leaks
+
+from .data import documents, prose
 from .test_near import QUESTION, leaks
 
 BOXES = ("a shop keeper puts 3 boxes of red pens on the upper shelf and 5 boxes of blue pens on the lower shelf before the "
@@ -44,3 +46,21 @@ def test_words_put_in_left_out_and_replaced(spark):
 def test_repetitive_item(spark):
     item = "there " + " and ".join(f"{name} has {k} apples" for k, name in enumerate("Tom Ann Bob Eve Kim Joe Max Zoe Ben".split(), 2))
     assert leaks(spark, [(1, item), (2, "and " + item)], [(10, item)]) == {(1, 10): "copied", (2, 10): "copied"}
+
+
+def test_tables_of_numbers_do_not_meet(spark):
+    """Windows of placeholders alone are hashed with their values."""
+    numbers = " ".join(str(k * 7919 % 1000) for k in range(40))
+    long = " ".join(str(k * 104729 % 1000) for k in range(100_000))
+    items = [(1, numbers), (2, "compute 3 plus 4 times 5 minus 6 and tell us how many are left over when 7 people share")]
+    docs = [(1, long), (2, prose(1, 50) + " " + numbers + " " + prose(2, 50)), (3, items[1][1].replace("7 people", "9 people"))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert template_leaks.matches(documents(spark, docs[:1]), bench).count() == 0
+    assert leaks(spark, docs, items) == {(2, 1): "copied", (3, 2): "reparameterised"}
+
+
+def test_rows_are_judged_by_their_text(spark):
+    docs = [(None, QUESTION), (None, prose(1, 60)), (7, "x " + QUESTION), (7, prose(2, 60)), (8, None)]
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    kept = template_leaks.clean_documents(documents(spark, docs), bench).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept) == sorted(str(docs[k]) for k in (1, 3, 4))

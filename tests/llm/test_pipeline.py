@@ -11,7 +11,7 @@ from hosttrace.llm import pii_anchors, quality_gate, queries
 from hosttrace.llm.common import table
 
 from .data import documents
-from .test_near import partition, plain_components, plain_fingerprint
+from .test_near_copies import plain_first
 from .test_tokens import ids_of
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="given tables
 
 def test_registered():
     names = {*queries.queries(), "pipeline"}
-    assert names <= set(__spark_entry__.queries()) and len(names) == 11
+    assert names <= set(__spark_entry__.queries()) and len(names) == 14
     assert set(queries.oracle_sql()) <= set(__spark_entry__.oracle_sql())
 
 
@@ -51,11 +51,8 @@ def test_stages(spark):
     cutoffs = quality_gate.fit(quality_gate.statistics(table(spark, SF_DIR, "documents")), labels)
     assert kept == {i for i, r in source.items() if quality_gate.verdict(r["text"] or "", r["lang"] or "", cutoffs)}
 
-    order = sorted(kept)
-    groups = partition(plain_components([plain_fingerprint(source[i]["text"]) for i in order]))
-    first = {g: i for i, g in reversed(list(zip(order, groups)))}
     single = {r["doc_id"] for r in steps[1].collect()}
-    assert single == set(first.values())
+    assert sorted(map(str, single)) == plain_first([(i, source[i]["text"]) for i in sorted(kept)])
 
     bench = [re.findall(r"\w+", r["text"].lower()) for r in table(spark, SF_DIR, "benchmark").collect()]
 

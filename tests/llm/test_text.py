@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -165,6 +166,13 @@ def test_added_spans():
     assert kinds("SSN 123-45-6789, SSN 000-45-6789") == [("account", "123-45-6789")]
     assert kinds("see https://user:pw@host.example/x and http://host.example/@me:x") == [("url", "https://user:pw@host.example/x")]
     assert kinds("write to jo.doe (at) mail [dot] example (dot) org now") == [("address", "jo.doe (at) mail [dot] example (dot) org")]
+    assert kinds("my iban: de89370400440532013000, Iban: GB82 WEST 1234 5698 7654 32, ssn 123-45-6789") == [
+        ("account", "de89370400440532013000"), ("account", "GB82 WEST 1234 5698 7654 32"), ("account", "123-45-6789")]
+    assert kinds("Account number: 0012 3456 78, acct 12345, Routing No. 021000021, routing no. 021000022") == [("account", "0012 3456 78"), ("account", "021000021")]
+    assert kinds('token = "04dbebab91ab85687d33" and API_KEY: sk4aZ91bb02cc_x, password is long, secret: abcdefghijklmno') == [
+        ("secret", "04dbebab91ab85687d33"), ("secret", "sk4aZ91bb02cc_x")]
+    assert kinds("http://a.b?u=https://me:pw@host/x http://x:y@z") == [("url", "https://me:pw@host/x"), ("url", "http://x:y@z")]
+    assert kinds("İİ IBAN: DE89370400440532013000")[0][1].startswith("DE89")
     assert kinds("meet me (at) noon. The sum is 4-5-6 for account 7") == []
 
 
@@ -183,3 +191,12 @@ def test_detect_and_redact(spark):
     assert text[100]["text"].startswith("mail é <email> or <ip>, <card>; <phone>") and text[100]["text"].endswith(" x <email>")
     assert text[100]["n_chars"] == len(text[100]["text"]) and text[1]["text"] == prose(1, 60)
     assert pii_anchors.detect(empty(docs)).collect() == []
+
+
+@pytest.mark.parametrize("unit", ["http://", "http://a:b", "@", "a@", "+1", "1.1", "1.1.1.1.", "1 ", "1-", "12", "IBAN DE", "iban: ", "ssn ", "(at)", "a(at)b", "a(at)b(dot)",
+                                  "token=", "token = \"", "account no ", "acct 1-", "https://a:b@", "x", " ", "é"])
+def test_a_megabyte_of_any_anchor_is_linear(unit):
+    text = unit * (1_000_000 // len(unit))
+    start = time.perf_counter()
+    pii_anchors.find(text)
+    assert time.perf_counter() - start < 8
