@@ -214,11 +214,17 @@ _PARSERS = {"email": ("email", _email), "ip": ("ip", _ip), "card": ("card", _car
             "iban": ("account", _iban), "ssn": ("account", _ssn), "number": ("account", _number), "routing": ("account", _routing), "secret": ("secret", _secret), "url": ("url", _url), "address": ("address", _address)}
 
 
+def small(text):
+    """A-Z in small letters, every letter in its place. ``lower`` is faster than a table and keeps nearly every text's length."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_SMALL)
+
+
 def find(text):
     """(kind, start, end) of every valid span, by start, then kind in the order of ``KINDS``."""
     upto = dict.fromkeys(KINDS, 0)
     out = []
-    for last, (name, size) in _AUTOMATON.iter(text.translate(_SMALL)):
+    for last, (name, size) in _AUTOMATON.iter(small(text)):
         kind, parse = _PARSERS[name]
         a = last + 1 - size
         if a < upto[kind]:  # within the last match of its kind

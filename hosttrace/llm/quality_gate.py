@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from hosttrace.llm.common import materialize, per_batch, small_batches, texts
+from hosttrace.llm.common import materialize, per_batch, small_batches, texts, worker_tool
 
 RULES = ("symbols", "exclaimed", "capitals", "separators", "repeated", "dup_lines", "top_word", "long_word", "marks")
 GRID = 200
@@ -276,6 +276,7 @@ def kept_documents(docs, labels, doc_id="doc_id", text="text", stratum="lang", r
     i_text, i_stratum = docs.columns.index(text), docs.columns.index(stratum)
 
     def run(batches):
+        worker_tool(None)
         for batch in batches:
             strata = batch.column(i_stratum).cast(pa.string()).to_pylist()
             keep = [verdict(t, s or "", cutoffs) for t, s in zip(texts(batch.column(i_text)), strata)]

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from hosttrace.llm.common import free_name, materialize
+from hosttrace.llm.common import free_name, materialize, worker_tool
 from hosttrace.llm.tokens import WordTable, parts, word_bounds
 
 WINDOW = 8
@@ -156,14 +156,9 @@ class TemplateWords(WordTable):
         return codes, hashes, number | unit | name, ends, (kinds == 1) & first
 
 
-_words = None
-
-
 def template_words():
     """The table of this Python worker."""
-    global _words
-    _words = _words or TemplateWords()
-    return _words
+    return worker_tool("template words", TemplateWords)
 
 
 def window_hashes(hashes, ends, window=WINDOW):

@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-from hosttrace.llm.common import utf8
+from hosttrace.llm.common import utf8, worker_tool
 
 END_ID = 1
 TABLE_BITS = 21
@@ -222,14 +222,9 @@ class WordEncoder(WordTable):
         return ids, np.diff(upto[n_words + pieces + np.arange(len(texts))], prepend=0)
 
 
-_encoders = {}
-
-
 def encoder(path):
     """The encoder of this Python worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return worker_tool(("encoder", path), lambda: WordEncoder(path))
 
 
 def parts(column):
