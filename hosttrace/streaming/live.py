@@ -56,7 +56,7 @@ def usable(events):
     return events.where(has_guid(F.col("ProcessGuid")) & F.col("UtcTime").isNotNull())
 
 
-def prepared(events):
+def prepared(events, more=()):
     """Per-event indicators, computed in the JVM, and one extra row per creation addressed to the parent process."""
     target = F.coalesce("TargetFilename", F.lit(""))
     created = (F.col("EventID") == 11) & (target != "")
@@ -73,7 +73,7 @@ def prepared(events):
         F.struct(F.col("ProcessGuid").alias("guid"), F.lit(True).alias("own")),
         F.when(born, F.struct(F.col("ParentProcessGuid").alias("guid"), F.lit(False).alias("own")))))
     keep = ["platform", "run_id", "EventID", "record_id", "UtcTime", *DISTINCT.values(), *_TEXTS, "tier", "technique",
-            "evidence"]
+            "evidence", *more]
     return (named.withColumns(cols).select(*keep, *cols, F.explode(to).alias("to"))
             .select("*", F.col("to.guid").alias("ProcessGuid"), F.col("to.own").alias("own")).drop("to"))
 
