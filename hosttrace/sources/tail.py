@@ -15,7 +15,8 @@ a task holds one block of ``BLOCK`` bytes and the record at its end.
 Folders are reached through Arrow's file systems (local or mounted folders, HDFS, object stores) and must be the same for the
 driver and the executors. Defined cases: an empty folder and empty files give nothing; a file that is gone before its
 range was read fails the batch (the log would lose records silently otherwise); a file that comes back shorter under the
-same first record waits until it is longer than what was read; bytes that are not UTF-8 are replaced.
+same first record waits until it is longer than what was read, and one that was away goes on where it was (both within a
+run: a run that starts anew knows the logs that are there); bytes that are not UTF-8 are replaced.
 """
 
 import hashlib
@@ -77,10 +78,12 @@ class Split(InputPartition):
 
 class GrowingLogReader(DataSourceStreamReader):
     def __init__(self, options):
+        options = {k.lower(): v for k, v in options.items()}
         self.folder = options["path"]
-        self.separator = options.get("lineSep", "\n").encode()
-        self.records = int(options.get("identityrecords", options.get("identityRecords", 1)))
-        self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT)))
+        self.separator = options.get("linesep", "\n").encode()
+        self.records = int(options.get("identityrecords", 1))
+        self.split = int(options.get("splitbytes", SPLIT))
+        self.seen = {}
 
     def _logs(self):
         """{log: (complete bytes, path)} of what lies in the folder; of copies the longest."""
@@ -102,9 +105,16 @@ class GrowingLogReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self):
-        return {log: end for log, (end, _) in sorted(self._logs().items())}
+        self._note({log: end for log, (end, _) in self._logs().items()})
+        return dict(sorted(self.seen.items()))
+
+    def _note(self, offset):
+        """A log never goes back, also if it is away for a while."""
+        for log, end in offset.items():
+            self.seen[log] = max(int(end), self.seen.get(log, 0))
 
     def partitions(self, start, end):
+        self._note(start)
         wanted = {log: (int(start.get(log, 0)), int(to)) for log, to in end.items() if int(to) > int(start.get(log, 0))}
         there = self._logs() if wanted else {}
         out = []

@@ -73,3 +73,16 @@ def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
          .trigger(availableNow=True).start().awaitTermination())
     rows = spark.read.parquet(out).collect()
     assert sorted(r["value"] for r in rows) == ["four", "one", "three", "two"] and {r["session"] for r in rows} == {"x"}
+
+
+def test_options_reach_the_reader_and_logs_never_go_back(spark, tmp_path):
+    folder, out = tmp_path / "logs", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "x.log").write_text("<a/></Event><b>\n</b></Event><c")
+    (tail.tail(spark, str(folder), line_sep="</Event>").writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state")
+     .trigger(availableNow=True).start().awaitTermination())
+    assert sorted(r["value"] for r in spark.read.parquet(out).collect()) == ["<a/>", "<b>\n</b>"]
+    r = reader(folder)
+    first = r.latestOffset()
+    (folder / "x.log").rename(tmp_path / "away")
+    assert r.latestOffset() == first and r.partitions(first, first) == []
