@@ -408,6 +408,24 @@ def p8(spark, sf):
     return clean.runs_matching(telemetry(spark, sf), ["win"], ["miner"], "session").select("record_id", "run_id")
 
 
+_TABLES = ["events", "orders", "lineitem", "customer", "supplier", "part", "documents", "embeddings", "labels"]
+
+
+@check("p9_schema_differences", f"""WITH c AS (SELECT table_name AS name, column_name AS col FROM duckdb_columns()
+    WHERE table_name IN ({', '.join(f"'{t}'" for t in _TABLES)})), h AS (SELECT col FROM c WHERE name = 'events'),
+n AS (SELECT DISTINCT name FROM c WHERE name <> 'events'),
+missing AS (SELECT name, col FROM n CROSS JOIN h EXCEPT SELECT name, col FROM c),
+extra AS (SELECT name, col FROM c WHERE name <> 'events' AND col NOT IN (SELECT col FROM h))
+SELECT name, coalesce(m, '') AS missing, coalesce(e, '') AS extra FROM n
+LEFT JOIN (SELECT name, string_agg(col, ',' ORDER BY col) AS m FROM missing GROUP BY 1) USING (name)
+LEFT JOIN (SELECT name, string_agg(col, ',' ORDER BY col) AS e FROM extra GROUP BY 1) USING (name)
+WHERE m IS NOT NULL OR e IS NOT NULL""")
+def p9(spark, sf):
+    """What each given table lacks or adds against the first; only schemas are read."""
+    found = clean.schema_differences({t: table(spark, sf, t) for t in _TABLES})
+    return spark.createDataFrame([(n, ",".join(m), ",".join(e)) for n, m, e in found], "name string, missing string, extra string")
+
+
 _RULES = {
     "platform_unknown": "status NOT IN ('linux', 'windows')", "run_id_empty": "trim(run) = ''",
     "run_id_has_separator": "contains(run, '|')", "event_id_not_integer": "TRY_CAST(eid AS INT) IS NULL",

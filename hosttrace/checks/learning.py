@@ -1,5 +1,7 @@
 """Models and protocols on process features and on the given embeddings."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hosttrace.checks.registry import check, r6, rounded
@@ -7,7 +9,7 @@ from hosttrace.checks.telemetry import table, telemetry_table
 from hosttrace.operators import features, models, splits
 from hosttrace.plans import etl, protocols
 from hosttrace.schema import PROCESS_FEATURES
-from hosttrace.session import materialize
+from hosttrace.session import materialize, scratch_dir
 
 _rows = {}
 WITHOUT_COMMANDS = [c for c in PROCESS_FEATURES if c not in ("cmd_len", "pcmd_len")]
@@ -144,6 +146,45 @@ def m27(spark, sf):
     return protocols.report(materialize(rows, "cross"), ["train", "test", "Model"])
 
 
+@check("m27_cross_machine")
+def m27_machine(spark, sf):
+    rows = protocols.cross_group(process_rows(spark, sf), PROCESS_FEATURES, "machine", [("host0", "host1"), ("host1", "host0")])
+    return protocols.report(materialize(rows, "cross"), ["train", "test", "Model"])
+
+
+@check("m27_cross_repetition")
+def m27_repetition(spark, sf):
+    """The first recordings of every scenario against the second."""
+    rows = process_rows(spark, sf)
+    starts = telemetry_table(spark, sf).groupBy("platform", "session", "run_id").agg(F.min("UtcTime").alias("start"))
+    numbered = splits.repetition_numbers(starts).select("platform", "run_id", "rep")
+    rows = materialize(rows.join(numbered, ["platform", "run_id"]), "repetitions")
+    return protocols.report(materialize(protocols.cross_group(rows, PROCESS_FEATURES, "rep", [(1, 2), (2, 1)]), "cross"), ["train", "test", "Model"])
+
+
+@check("m24_leave_one_run_out")
+def m24_p2(spark, sf):
+    rows = protocols.leave_one_out(process_rows(spark, sf), PROCESS_FEATURES, "run_id", classifiers=_forest(), anomaly=False)
+    return protocols.report(materialize(rows, "loro"), ["HeldOut", "Model"])
+
+
+@check("m26_benign_curve")
+def m26(spark, sf):
+    events = telemetry_table(spark, sf)
+    rows = features.prefix_features(events).join(
+        process_rows(spark, sf).select("platform", "run_id", "ProcessGuid", "label", "lineage", "session", F.col("machine").alias("computer")),
+        ["platform", "run_id", "ProcessGuid"])
+    return protocols.benign_curve(materialize(rows, "ages"), events, PROCESS_FEATURES, models.small_forest())
+
+
+@check("m34_holdout_export")
+def m34(spark, sf):
+    """A model of one machine, saved, loaded and compared, on the processes of the others."""
+    rows = process_rows(spark, sf)
+    _, predictions = protocols.export_holdout(rows, PROCESS_FEATURES, f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}", "host0")
+    return predictions
+
+
 @check("m27_zero_day")
 def m27_zero(spark, sf):
     rows = process_rows(spark, sf)
@@ -168,7 +209,7 @@ def m29(spark, sf):
 @check("m30_importance")
 def m30(spark, sf):
     train, test = _split(spark, sf)
-    return protocols.importance(train, test, PROCESS_FEATURES, repeats=1)
+    return protocols.importance(train, test, PROCESS_FEATURES)
 
 
 @check("m31_backward_elimination")

@@ -6,6 +6,7 @@ from hosttrace.checks.features import EVIDENCE, RULES, _entropy_sql, quoted
 from hosttrace.checks.registry import check, r6, rounded, with_ev
 from hosttrace.checks.telemetry import payload_sql, table, telemetry, telemetry_table
 from hosttrace.functions import numeric, rules, text
+from hosttrace.schema import EVENT_NAMES
 from hosttrace.sources.logs import linux_lines, parse_events
 
 HTML = "html"
@@ -222,6 +223,25 @@ def event_lines(spark, sf):
     return table(spark, sf, "events").select(line.alias("value"), F.lit("s").alias("session"))
 
 
+_NAMED = "CASE CAST(id AS INT) " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in EVENT_NAMES.items()) + " ELSE 'Unknown_' || CAST(id AS VARCHAR) END"
+
+
+@check("s4_event_ids", f"""
+SELECT event_id AS record_id, CAST(id AS INT) AS "EventID", {_NAMED} AS event_name,
+       CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS parent_known
+FROM (SELECT *, event_id % 29 AS id FROM events) WHERE id NOT IN (27, 28)""")
+def s4(spark, sf):
+    """Every event id from 0 to 26; the sensor's own messages (255) and records without an id go."""
+    c, id_ = F.col, F.col("event_id") % 29
+    parent = F.when(c("user_id") % 3 == 0, "{p}").when(c("user_id") % 3 == 1, "{00000000-0000-0000-0000-000000000000}").otherwise("-")
+    payload = F.concat(
+        F.when(id_ == 28, F.lit("<System>")).otherwise(F.concat(F.lit("<System><EventID>"), F.when(id_ == 27, "255").otherwise(id_.cast("string")), F.lit("</EventID>"))),
+        F.lit("<EventRecordID>"), c("event_id").cast("string"), F.lit('</EventRecordID></System><EventData><Data Name="ParentProcessGuid">'),
+        parent, F.lit("</Data></EventData>"))
+    records = table(spark, sf, "events").select(F.lit("s").alias("session"), F.lit("t").alias("recv_timestamp"), F.lit("h").alias("host_ip"), payload.alias("payload"))
+    return parse_events(records, "linux").select("record_id", "EventID", "event_name", "parent_known")
+
+
 @check("j3_side_logs", """
 WITH dns AS (SELECT user_id, arg_min(props, event_id) AS q FROM events WHERE event_type = 'signup' GROUP BY 1),
      http AS (SELECT user_id, arg_min(props, event_id) FILTER (WHERE value > 20) AS h FROM events

@@ -15,27 +15,49 @@ from hosttrace.session import materialize
 def descendants(edges, seeds, child="child", parent="parent"):
     """Seeds and everything below them. ``edges`` may give a child several parents; cycles end the walk.
 
-    Each round joins only the last frontier, which adaptive execution broadcasts while it is small, and shuffles on
-    the parent key otherwise. Already reached nodes are removed before the next round.
+    "A seed is above me" doubles along children of one parent, so a chain of n takes log2(n) rounds of joins over the
+    rows still open. Children of several parents stop the walk: they are joined to the tops of their parents, and only
+    this condensed graph, which forests do not have, is walked level by level.
     """
-    edges = materialize(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p"))
-                        .where("_c IS NOT NULL AND _p IS NOT NULL").distinct(), "edges")
-    frontier = materialize(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node IS NOT NULL").distinct(),
-                           "frontier")
+    edges = materialize(edges.select(F.col(child).alias("node"), F.col(parent).alias("up"))
+                        .where("node IS NOT NULL AND up IS NOT NULL").distinct(), "edges")
+    seeds = materialize(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node IS NOT NULL").distinct(), "seeds")
+    parents = edges.join(seeds, "node", "left_anti").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("up").alias("up"))
+    start = seeds.select("node", F.lit(None).cast(edges.schema["up"].dataType).alias("up"), F.lit(True).alias("hit")).unionByName(
+        parents.select("node", F.when(F.col("n") == 1, F.col("up")).alias("up"), F.lit(False).alias("hit")))
+    # A row is closed when it is hit, ends at an unlogged parent (top NULL), or below a child of several parents (top).
+    start = materialize(start.withColumn("top", F.when(F.col("up").isNull() & ~F.col("hit"), F.col("node"))), "below")
+    done, live = [start.where("up IS NULL")], start.where("up IS NOT NULL")
+    reach, n = 1, live.count()
+    most = n
+    while n and reach <= most:  # beyond, what is open lies on a cycle or leads into one, without a seed
+        every = reduce(lambda x, y: x.unionByName(y), [*done, live])
+        above = every.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("hit").alias("_hit"), F.col("top").alias("_top"))
+        step = materialize(live.drop("hit", "top").join(above, "up", "left").select(
+            "node", F.col("_up").alias("up"), F.coalesce("_hit", F.lit(False)).alias("hit"), F.col("_top").alias("top")), "below")
+        done = _folded([*done, step.where("up IS NULL")])
+        live, reach, n = step.where("up IS NOT NULL"), reach * 2, step.where("up IS NOT NULL").count()
+    closed = reduce(lambda x, y: x.unionByName(y), done)
+    several = parents.where("n > 1").select("node")
+    if several.isEmpty():
+        return closed.where("hit").select("node")
+    above = edges.join(several, "node", "left_semi").join(
+        closed.select(F.col("node").alias("up"), "hit", "top"), "up").where("hit OR top IS NOT NULL")
+    links = materialize(above.select("node", "hit", "top").distinct(), "condensed")
+    frontier = materialize(links.where("hit").select("node").distinct(), "frontier")
     reached = [frontier]
-    while True:  # ends, as every round adds nodes or is the last
-        step = edges.join(frontier.withColumnRenamed("node", "_p"), "_p", "left_semi").select(
-            F.col("_c").alias("node")).distinct()
+    while not frontier.isEmpty():  # every round adds nodes or is the last
+        step = links.join(frontier.withColumnRenamed("node", "top"), "top", "left_semi").select("node").distinct()
         for known in reached:
             step = step.join(known, "node", "left_anti")
         frontier = materialize(step, "frontier")
-        if frontier.isEmpty():
-            return reduce(lambda a, b: a.unionAll(b), reached)
-        reached = _folded(reached + [frontier])
+        reached = _folded([*reached, frontier])
+    tops = reduce(lambda x, y: x.unionAll(y), reached).withColumnRenamed("node", "top")
+    return closed.where("hit").select("node").unionAll(closed.where("NOT hit").join(tops, "top", "left_semi").select("node"))
 
 
 def _folded(tables, limit=6):
-    """Keep the number of anti-joins per round bounded: many small rounds merge into one written table."""
+    """Keep the tables of a round few: many small rounds merge into one written table."""
     if len(tables) < limit:
         return tables
     return [materialize(reduce(lambda a, b: a.unionAll(b), tables), "reached")]

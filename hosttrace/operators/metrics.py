@@ -1,11 +1,10 @@
 """Confusion metrics, ROC, thresholds and summaries over prediction tables."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from hosttrace.functions.numeric import ratio, wilson
-from hosttrace.operators.ordered import quantiles, running
+from hosttrace.operators.ordered import lookup_prefix, quantiles, running
+from hosttrace.session import materialize
 
 TARGET_FPR = 0.05
 METRICS = ["Accuracy", "Precision", "Recall", "F1", "FPR", "AUC"]
@@ -99,15 +98,36 @@ def benign_threshold(scores, by=(), fpr=TARGET_FPR, label="label", score="score"
 
 
 def other_group_threshold(scores, group, fpr=TARGET_FPR, label="label", score="score"):
-    """Per group, the threshold from the benign scores of all other groups.
+    """Per group, the threshold from the benign scores of all other groups, for all groups at once.
 
-    Groups are few (hosts or files), so each is one filter over a table that was collapsed to distinct scores.
+    Leaving a group out shifts ranks: with C scores up to a value in all and c of them the group's own, the value of
+    rank r among the others is the one of rank r + c in all, where c is what the group has up to its last own score
+    with C - c <= r. So one ranked table of distinct scores serves every group. Groups without others have no row.
     """
-    benign = scores.where(F.col(label) == 0).select(group, score)
-    names = [r[0] for r in scores.select(group).distinct().collect()]
-    parts = [quantiles(benign.where(F.col(group) != n), [], score, 1 - fpr, "threshold").select(
-        F.lit(n).alias(group), "threshold") for n in names]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    p = 1 - fpr
+    benign = scores.where((F.col(label) == 0) & F.col(group).isNotNull() & F.col(score).isNotNull())
+    counts = materialize(benign.groupBy(group, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n")), "score-counts")
+    ranked = materialize(running(counts.groupBy("_s").agg(F.sum("_n").alias("_n")), [], ["_s"], sums={"_all": "_n"}).drop("_n"), "ranked")
+    own = running(counts, [group], ["_s"], sums={"_own": "_n"})
+    sizes = counts.groupBy(group).agg(F.sum("_n").alias("_size"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))  # one row
+    named = scores.where(F.col(group).isNotNull()).select(group).distinct().join(sizes, group, "left")
+    at = (F.col("_total") - F.coalesce("_size", F.lit(0)) - 1) * F.lit(float(p))
+    ranks = named.join(F.broadcast(total)).where(F.col("_total") > F.coalesce("_size", F.lit(0))).select(
+        group, F.floor(at).alias("_low"), F.ceil(at).alias("_high"), (at - F.floor(at)).alias("_part"))
+
+    def shift(rank):
+        return F.max(F.when(F.col("_all") - F.col("_own") <= F.col(rank), F.col("_own"))).alias(rank + "_shift")
+
+    moved = own.join(ranked, "_s").join(ranks.select(group, "_low", "_high"), group).groupBy(group).agg(shift("_low"), shift("_high"))
+    asked = ranks.join(moved, group, "left").select(group, "_part", F.explode(F.array(*[
+        F.struct(F.lit(end).alias("end"), (F.col(end) + F.coalesce(end + "_shift", F.lit(0))).alias("rank")) for end in ("_low", "_high")])).alias("_r"))
+    # The smallest score with more than `rank` scores up to it: from the top, the last one met before the rank.
+    points = ranked.select((-F.col("_all")).alias("_at"), (-F.col("_s").cast("double")).alias("_less"))
+    queries = materialize(asked.select(group, "_part", "_r.end", (-F.col("_r.rank") - 1).alias("_at")), "ranks")
+    found = lookup_prefix(points, queries, [], "_at", maxes={"_less_": "_less"})
+    low, high = (F.max(F.when(F.col("end") == end, -F.col("_less_"))) for end in ("_low", "_high"))
+    return found.groupBy(group).agg((low + (high - low) * F.max("_part")).alias("threshold"))
 
 
 def halves_by_start(processes, group, start="start"):

@@ -1,6 +1,7 @@
 """Detectors: Spark ML classifiers, and isolation forest and local outlier factor as distributed jobs."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -105,16 +106,22 @@ def impurity_importance(model, columns):
     return sorted(zip(columns, forest.featureImportances.toArray().tolist()), key=lambda p: -p[1])
 
 
-def permuted(df, column, seed=SEED):
-    """The column's values dealt to other rows: equal ranks in two random orders meet.
+def permuted_copies(df, columns, keys, repeats, seed=SEED):
+    """The columns of ``df``, repeat and feature: each row once for each column and repeat, with that column from another row.
 
-    Both orders are range-partitioned, so the shuffle of values is distributed.
+    In a repeat equal ranks in the order of ``keys`` and in a salted order of them meet, which is a permutation of the
+    rows. Both orders are range-partitioned. The copies are a narrow fan-out for the scoring that follows. Rows without
+    a key take no part.
     """
-    rows = materialize(df.withColumn("_a", F.rand(seed)).withColumn("_b", F.rand(seed + 1))
-                       .withColumn("_id", F.monotonically_increasing_id()), "permute")
-    left = row_numbers(rows.drop("_b", column), [], ["_a", "_id"])
-    right = row_numbers(rows.select("_b", "_id", column), [], ["_b", "_id"]).drop("_b", "_id")
-    return left.join(right, "rn").drop("_a", "_id", "rn").select(*df.columns)
+    salt = F.md5(F.concat_ws("|", F.col("repeat").cast("string"), F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    plain = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    rows = materialize(row_numbers(plain, [], list(keys), "_rn"), "permute")
+    each = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    other = row_numbers(each.select("repeat", salt.alias("_salt"), "_rn", F.struct(*columns).alias("_other")).withColumnRenamed("_rn", "_tie"),
+                        ["repeat"], ["_salt", "_tie"], "_rn").select("repeat", "_rn", "_other")
+    met = each.join(other, ["repeat", "_rn"]).drop("_rn")
+    spread = met.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns])))
+    return spread.withColumns({c: F.when(F.col("feature") == c, F.col("_other")[c]).otherwise(F.col(c)) for c in columns}).drop("_other")
 
 
 # --- isolation forest ---------------------------------------------------------------------------------------------

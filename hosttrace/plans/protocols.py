@@ -179,13 +179,17 @@ def _f1(model, test):
     return metrics.confusion_metrics(models.score_classifier(model, test)).first()["F1"]
 
 
-def importance(train, test, columns, classifier=None, repeats=5):
-    """Impurity importance and the F1 drop when a feature is shuffled among the test rows: (feature, impurity, drop)."""
+def importance(train, test, columns, classifier=None, repeats=5, keys=("platform", "run_id", "ProcessGuid")):
+    """Impurity importance and the mean F1 drop when a feature is shuffled among the test rows: (feature, impurity, drop).
+
+    All features and repeats are scored in one pass over the copies, of which only counts are shuffled.
+    """
     model = models.fit_classifier(train, columns, classifier or models.supervised()["Random Forest"])
-    test = materialize(test.select("label", *columns), "held")
+    test = materialize(test.select(*keys, "label", *columns), "held")
     base, impurity = _f1(model, test), dict(models.impurity_importance(model, columns))
-    drops = {c: sum(base - _f1(model, models.permuted(test, c, seed)) for seed in range(repeats)) / repeats
-             for c in columns}
+    copies = models.permuted_copies(test, columns, keys, repeats)
+    found = metrics.confusion_metrics(models.score_classifier(model, copies), ["feature", "repeat"])
+    drops = dict(found.groupBy("feature").agg(F.avg(F.lit(base) - F.col("F1"))).collect())  # one row a feature
     rows = sorted(((c, float(impurity[c]), float(drops[c])) for c in columns), key=lambda r: -r[2])
     return train.sparkSession.createDataFrame(rows, "feature string, impurity double, f1_drop double")
 

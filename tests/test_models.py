@@ -37,10 +37,22 @@ def test_report_and_baseline(rows):
     assert got["All-positive", "all"].Accuracy == pytest.approx(0.2)
 
 
-def test_permutation_keeps_values(rows):
-    shuffled = models.permuted(rows.select("a", "b"), "a")
-    assert shuffled.count() == 600
-    assert shuffled.select("a").exceptAll(rows.select("a")).isEmpty()
+def test_permuted_copies(rows):
+    """In every copy one column is a permutation of itself; the others stay."""
+    some = rows.select("platform", "run_id", "ProcessGuid", "label", "a", "b")
+    copies = models.permuted_copies(some, ["a", "b"], ["platform", "run_id", "ProcessGuid"], 2).persist()
+    assert copies.count() == 600 * 2 * 2
+    for r in range(2):
+        one = copies.where((F.col("repeat") == r) & (F.col("feature") == "a"))
+        assert one.select("a").exceptAll(some.select("a")).isEmpty()
+        assert one.select("ProcessGuid", "label", "b").exceptAll(some.select("ProcessGuid", "label", "b")).isEmpty()
+        assert one.join(some.withColumnRenamed("a", "was"), "ProcessGuid").where("a <> was").count() > 500
+
+
+def test_importance_finds_the_signal(rows):
+    found = protocols.importance(rows.where("machine = 1"), rows.where("machine = 2"), COLUMNS, models.small_forest(5, 4), repeats=3)
+    got = {r.feature: r.f1_drop for r in found.collect()}
+    assert found.first().feature == "a" and got["a"] > 0.4 and abs(got["noise"]) < 0.1 and abs(got["b"]) < 0.1
 
 
 def test_benign_detectors_hold_the_rate(rows):

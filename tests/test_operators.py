@@ -305,3 +305,48 @@ def test_merge_verdict_and_severity(spark):
                                   "host string, technique string")
     got = {r["host"]: (r["severity"], r["n_flagged"]) for r in alerts.alert_severity(flags, ["host"]).collect()}
     assert got == {"h1": ("low", 2), "h2": ("medium", 1), "h3": ("high", 1), "h4": ("high", 3)}
+
+
+def _walk(edges, seeds):
+    below, new = set(seeds), set(seeds)
+    while new:
+        new = {c for c, p in edges if p in new} - below
+        below |= new
+    return below
+
+
+def test_descendants_of_random_graphs(spark):
+    rng = random.Random(3)
+    for size, parents in ((40, 1), (60, 3), (200, 1), (200, 2)):
+        edges = [(f"n{rng.randrange(size)}", f"n{rng.randrange(size + 10)}") for _ in range(int(size * (0.8 + 0.3 * parents)))]
+        if parents == 1:  # a forest and some cycles
+            edges = list(dict(edges).items())
+        edges += [(None, "n1"), ("n1", None)]
+        seeds = ["n1", "n7", "alone", None]
+        got = graph.descendants(spark.createDataFrame(edges, "child string, parent string"), spark.createDataFrame([(s,) for s in seeds], "s string"))
+        names = [r.node for r in got.collect()]
+        assert sorted(names) == sorted(_walk([e for e in edges if None not in e], seeds[:3]))
+    none = graph.descendants(spark.createDataFrame([], "child string, parent string"), spark.createDataFrame([("x",)], "s string"))
+    assert [r.node for r in none.collect()] == ["x"]
+
+
+def test_descendants_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    plain = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: rounds.append(name) or plain(df, name))
+    edges = spark.range(1, 10_001).select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent"))
+    got = graph.descendants(edges, spark.createDataFrame([(0,)], "s long"))
+    assert got.count() == 10_001 and rounds.count("below") <= 16
+
+
+def test_other_group_thresholds(spark):
+    rng = random.Random(8)
+    rows = [(g, rng.randrange(30) / 10, int(rng.random() < 0.2)) for g, n in (("a", 200), ("b", 3), ("c", 50), ("d", 1)) for _ in range(n)]
+    rows += [("only attacks", 9.0, 1), (None, 8.0, 0), ("a", None, 0)]
+    scores = spark.createDataFrame(rows, "g string, score double, label int")
+    for fpr in (0.05, 0.5, 0.0, 1.0):
+        got = {r.g: r.threshold for r in metrics.other_group_threshold(scores, "g", fpr).collect()}
+        expected = {g: np.quantile([s for h, s, y in rows if y == 0 and h not in (g, None) and s is not None], 1 - fpr) for g in {r[0] for r in rows} - {None}}
+        assert got == pytest.approx(expected)
+    assert metrics.other_group_threshold(scores.limit(0), "g").collect() == []
+    assert metrics.other_group_threshold(scores.where("g = 'a'"), "g").collect() == []
