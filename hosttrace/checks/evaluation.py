@@ -61,9 +61,25 @@ def j5_match(spark, sf):
     return rounded(network.match_flows(ev, fl, offsets).select("record_id", "session", "uid", "dt"))
 
 
-@check("j5_contested_match")
+# Events of a key are served one after another, each with the flows that the ones before have left.
+_SERVED = """evk AS MATERIALIZED (SELECT session_ AS session, fkey, record_id, ts, row_number() OVER (PARTITION BY session_, fkey
+    ORDER BY ts, CAST(record_id AS VARCHAR)) AS k FROM e3),
+flk AS MATERIALIZED (SELECT session, fkey, list({'ts': ts, 'uid': uid} ORDER BY ts, uid) AS flows FROM fk GROUP BY ALL),
+served AS (SELECT session, fkey, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS record_id,
+    CAST(NULL AS VARCHAR) AS uid, CAST(NULL AS DOUBLE) AS dt FROM flk
+    UNION ALL
+    SELECT session, fkey, k, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.uid) END, record_id, best.uid, best.d
+    FROM (SELECT e.session, e.fkey, e.k, s.used, e.record_id, list_sort(list_transform(
+              list_filter(f.flows, lambda x: NOT list_contains(s.used, x.uid) AND abs(x.ts - e.ts) <= 21600),
+              lambda x: {'d': abs(x.ts - e.ts), 't': x.ts, 'uid': x.uid}))[1] AS best
+          FROM served s JOIN evk e ON e.session = s.session AND e.fkey = s.fkey AND e.k = s.k + 1
+          JOIN flk f ON f.session = s.session AND f.fkey = s.fkey))"""
+
+
+@check("j5_contested_match", with_ev(f"SELECT session, record_id, uid, {r6('dt', 'dt')} FROM served WHERE uid IS NOT NULL",
+                                     FLOWS, _KEYED, _SERVED))
 def j5_wide(spark, sf):
-    return network.match_flows(*_sides(spark, sf), window=6 * 3600.0)
+    return rounded(network.match_flows(*_sides(spark, sf), window=6 * 3600.0))
 
 
 @check("j6_match_summary", with_ev("""

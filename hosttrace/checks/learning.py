@@ -174,6 +174,8 @@ def m26(spark, sf):
     rows = features.prefix_features(events).join(
         process_rows(spark, sf).select("platform", "run_id", "ProcessGuid", "label", "lineage", "session", F.col("machine").alias("computer")),
         ["platform", "run_id", "ProcessGuid"])
+    span = events.groupBy("platform", "run_id", "ProcessGuid").agg(F.min("UtcTime").alias("start"), F.max("UtcTime").alias("end"))
+    rows = rows.join(span, ["platform", "run_id", "ProcessGuid"])
     return protocols.benign_curve(materialize(rows, "ages"), events, PROCESS_FEATURES, models.small_forest())
 
 

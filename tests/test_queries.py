@@ -15,7 +15,7 @@ CHECKED = [
     "a1_process_features", "a2_guid_only_features", "a4_prefix_features", "a5_behaviour_at_age", "a6_sibling_context",
     "a8_process_network", "a9_beacon_regularity", "a13_sensor_gap", "a21_label_audit", "f1_entropy", "f8_evidence",
     "g1_depth_and_root_image", "g2_label_by_lineage", "g5_lineage_root", "g9_lineage_status",
-    "j2_enrich_with_pid_fallback", "j4_clock_offset", "j5_one_to_one_match", "m15_local_outlier_factor",
+    "j2_enrich_with_pid_fallback", "j4_clock_offset", "j5_one_to_one_match", "j5_contested_match", "m15_local_outlier_factor",
     "m18_benign_threshold", "m18_other_group_threshold", "m21_roc_auc", "p9_schema_differences", "s4_event_ids", "p10_input_violations", "s3_parse_event_lines", "s12_tail_log", "t3_timed_scans",
     "t6_alert_payload", "w5_window_alerts",
 ]
