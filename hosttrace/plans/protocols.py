@@ -286,20 +286,25 @@ def early_detection(scores, events, threshold=0.5, k=1):
 
 
 def benign_curve(rows, events, columns, classifier=None, threshold=0.9, window_s=60, least=2):
-    """False alarms on one held-out benign run against the number of other benign runs in training."""
+    """False alarms on one held-out benign run against the number of other benign runs in training.
+
+    Only fits are a loop, over runs; the scores of all of them are measured together. Without benign runs in training
+    one model serves every held-out run.
+    """
     benign = splits.held_out_values(rows, "run_id", BENIGN_RUN)
-    out = []
-    for held in benign:
-        others = [r for r in benign if r != held]
-        for n in range(len(others) + 1):
-            train = rows.where(F.expr(ATTACK_RUN) | F.col("run_id").isin(others[:n]))
-            scores = age_scores(train, rows.where(F.col("run_id") == held), columns, classifier, "prefix")
-            found = alerts.first_detection(materialize(scores, "scores"), AGES, threshold)
-            summary = alerts.host_alert_summary(found, window_s, least).join(
-                alerts.run_hours(events), ["platform", "run_id"])
-            out.append(_tagged(summary, held_out=held, benign_runs_in_train=n).withColumn(
-                "fa_per_hour", F.try_divide(F.col("false_alarms").cast("double"), F.col("hours"))))
-    return _union(out)
+    attack, run, out = F.expr(ATTACK_RUN), F.col("run_id"), []
+    for n in range(len(benign)):
+        for held in benign if n else [None]:
+            others = [r for r in benign if r != held][:n]
+            test = rows.where(run == held if n else run.isin(benign))
+            scores = age_scores(rows.where(attack | run.isin(others)), test, columns, classifier, "prefix")
+            out.append(scores.select(*ID, "age_ix", "score", "start", "end", run.alias("held_out"), F.lit(n).alias("benign_runs_in_train")))
+    point = ["held_out", "benign_runs_in_train"]
+    scores = materialize(_union(out), "scores")
+    found = materialize(alerts.first_detection(scores, AGES, threshold, [*point, *ID[:3]]), "detections")
+    summary = alerts.host_alert_summary(found, window_s, least, [*point, "platform", "run_id"])
+    return summary.join(alerts.run_hours(events), ["platform", "run_id"]).withColumn(
+        "fa_per_hour", F.try_divide(F.col("false_alarms").cast("double"), F.col("hours")))
 
 
 # --- scoring new data ---------------------------------------------------------------------------------------------

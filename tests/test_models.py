@@ -66,3 +66,15 @@ def test_elimination_finds_the_signal(rows):
     curve, kept = protocols.backward_elimination(rows.where("machine = 1"), rows.where("machine = 2"), ["a", "noise", "b"],
                                                  models.small_forest(5, 4))
     assert kept == ["a"] and curve.count() == 3
+
+
+def test_benign_curve(rows):
+    """Without benign rows in training everything is flagged; with them no false alarm is left."""
+    at = F.timestamp_seconds(F.lit(1_767_225_600) + F.substring("ProcessGuid", 2, 9).cast("int"))
+    runs = rows.withColumns({"session": F.when(F.col("run_id").isin("run0", "run2", "run4"), "benign").otherwise("trojan"), "start": at, "end": at, "age_ix": F.lit(0)})
+    runs = runs.withColumn("label", F.when(F.col("session") == "benign", 0).otherwise(1)).withColumn("a", F.when(F.col("label") == 1, 4.0).otherwise(F.col("noise") / 4))
+    events = runs.select("platform", "run_id", F.col("start").alias("UtcTime"))
+    got = protocols.benign_curve(runs, events, ["a"], models.small_forest(5, 4)).collect()
+    assert sorted((r.held_out, r.benign_runs_in_train) for r in got) == [(f"run{k}", n) for k in (0, 2, 4) for n in range(3)]
+    assert all(r.held_out == r.run_id and r.attack_run == 0 for r in got)
+    assert all((r.false_alarms > 0) == (r.benign_runs_in_train == 0) for r in got)
