@@ -166,11 +166,18 @@ def _expected_depth(n):
 def fit_isolation_forest(benign, columns, trees=200, seed=SEED):
     """One task per tree over its own 256-row random sample; the forest is at most trees x 511 nodes.
 
-    Rows draw a random key; the ``trees * 256`` smallest keys, a top-N without a full sort, are dealt to the trees.
+    Rows draw a random key; the ``trees * 256`` smallest keys, a top-N without a full sort, are dealt to the trees. Where
+    rows are fewer, trees share them: each row goes to each tree at the rate that gives a tree its 256, or all rows.
     """
     n = trees * SAMPLE
-    drawn = benign.select(*columns).withColumn("_r", F.rand(seed)).orderBy("_r").limit(n)
-    dealt = drawn.withColumn("tree", F.pmod(F.xxhash64("_r"), F.lit(trees)).cast("int"))
+    drawn = materialize(benign.select(*columns).withColumn("_r", F.rand(seed)).orderBy("_r").limit(n), "drawn")
+    have = drawn.count()
+    if have == n:
+        dealt = drawn.withColumn("tree", F.pmod(F.xxhash64("_r"), F.lit(trees)).cast("int"))
+    else:
+        rate = int(min(1.0, SAMPLE / max(have, 1)) * 1_000_000)
+        joins = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("_r", t), F.lit(1_000_000)) < rate)
+        dealt = drawn.withColumn("tree", F.explode(joins))
     grown = dealt.groupBy("tree").applyInPandas(_grow(columns, seed), _TREE)
     return {"columns": list(columns), "trees": grown.toPandas().to_dict("records")}
 

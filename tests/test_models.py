@@ -78,3 +78,12 @@ def test_benign_curve(rows):
     assert sorted((r.held_out, r.benign_runs_in_train) for r in got) == [(f"run{k}", n) for k in (0, 2, 4) for n in range(3)]
     assert all(r.held_out == r.run_id and r.attack_run == 0 for r in got)
     assert all((r.false_alarms > 0) == (r.benign_runs_in_train == 0) for r in got)
+
+
+def test_isolation_trees_share_few_rows(rows):
+    few = rows.where("label = 0").limit(100)
+    forest = models.fit_isolation_forest(few, COLUMNS, trees=10)
+    assert [t["size"][0] for t in forest["trees"]] == [100] * 10
+    far = rows.limit(1).withColumns({"a": F.lit(50.0), "b": F.lit(50.0), "noise": F.lit(50.0)})
+    high = models.score_isolation_forest(forest, far).first()["score"]
+    assert high > models.score_isolation_forest(forest, few).agg(F.avg("score")).first()[0] + 0.1
