@@ -61,9 +61,9 @@ def j5_match(spark, sf):
     return rounded(network.match_flows(ev, fl, offsets).select("record_id", "session", "uid", "dt"))
 
 
-# Events of a key are served one after another, each with the flows that the ones before have left.
+# Events of a key are served one after another in log order, each with the flows that the ones before have left.
 _SERVED = """evk AS MATERIALIZED (SELECT session_ AS session, fkey, record_id, ts, row_number() OVER (PARTITION BY session_, fkey
-    ORDER BY ts, CAST(record_id AS VARCHAR)) AS k FROM e3),
+    ORDER BY record_id) AS k FROM e3),
 flk AS MATERIALIZED (SELECT session, fkey, list({'ts': ts, 'uid': uid} ORDER BY ts, uid) AS flows FROM fk GROUP BY ALL),
 served AS (SELECT session, fkey, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS record_id,
     CAST(NULL AS VARCHAR) AS uid, CAST(NULL AS DOUBLE) AS dt FROM flk

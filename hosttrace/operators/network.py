@@ -1,18 +1,16 @@
 """Network flows joined to host events, and what each process did on the network."""
 
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hosttrace.functions.numeric import number_or
 from hosttrace.functions.text import entropy, first_label, outside_lab_ip
-from hosttrace.operators.ordered import lag_of, quantiles, row_numbers, running
+from hosttrace.operators.flow_match import CLUSTER, contested
+from hosttrace.operators.ordered import lag_of, quantiles, running
 from hosttrace.session import materialize
 
 WINDOW_S = 3.0
+_LAST = 2**63 - 1  # log order of events without a record number
 MIN_HITS = 4          # per destination
 MIN_HITS_OVERALL = 3  # all destinations of the process together
 SET_CHARS = 200       # of the joined user agents and server names (fixed value)
@@ -78,141 +76,63 @@ def clock_offset(events, flows):
     return sessions.join(found, "session", "left").fillna({"offset": 0.0, "offset_n": 0})
 
 
-_CLUSTER = ["session", "fkey", "cluster"]
-_SERVED = ("session string, fkey string, cluster long, matched boolean, kind int, id string, t double, flow string, "
-           "dt double")
-
-
-def _serve_one(kind, ids, t, last, window):
-    """Matches and leftovers of one time-ordered slice: each event takes the nearest free flow within the window.
-
-    Unless the slice is the last of its cluster, events within one window of its end wait for the next slice, as do
-    the flows that they could still reach.
-    """
-    end = float("inf") if last else t[-1] - window
-    flow_at = np.flatnonzero(kind == 0)
-    times, free = t[flow_at], np.ones(len(flow_at), bool)
-    matched, waiting = [], []
-    for e in np.flatnonzero(kind == 1):
-        if t[e] > end:
-            waiting.append(e)
-            continue
-        lo, hi = np.searchsorted(times, [t[e] - window - 1e-9, t[e] + window + 1e-9])
-        d = np.where(free[lo:hi], np.abs(times[lo:hi] - t[e]), np.inf)
-        if len(d) and d.min() <= window:
-            best = lo + int(d.argmin())
-            free[best] = False
-            matched.append((e, flow_at[best], abs(times[best] - t[e])))
-    if not last:
-        waiting += flow_at[free & (times >= end - window)].tolist()
-    return ([(True, 1, ids[e], 0.0, ids[f], d) for e, f, d in matched]
-            + [(False, int(kind[w]), ids[w], t[w], None, None) for w in waiting])
-
-
-def _serve(window):
-    """Partition-wise matching: rows arrive sorted by cluster and time, one bounded slice per cluster at a time."""
-    columns = [f.split()[0] for f in _SERVED.split(", ")]
-
-    def frame(parts):
-        out = []
-        pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-        for key, at in pdf.groupby(_CLUSTER, sort=False).indices.items():
-            rows = _serve_one(pdf["kind"].to_numpy()[at], pdf["id"].to_numpy()[at], pdf["t"].to_numpy()[at],
-                              bool(pdf["last"].iloc[at[0]]), window)
-            out += [(*key, *r) for r in rows]
-        return pd.DataFrame(out, columns=columns).astype(
-            {"cluster": "int64", "matched": "bool", "kind": "int32", "t": "float64", "dt": "float64"})
-
-    def serve(batches):
-        held = []  # rows of the last, possibly unfinished, cluster
-        for pdf in batches:
-            held.append(pdf)
-            ends = tuple(pdf[_CLUSTER].iloc[-1])
-            whole = pd.concat(held, ignore_index=True)
-            open_rows = (whole[_CLUSTER] == ends).all(axis=1)
-            if not open_rows.all():
-                yield frame([whole[~open_rows].reset_index(drop=True)])
-            held = [whole[open_rows]]
-        if held:
-            yield frame([held[0].reset_index(drop=True)])
-    return serve
-
-
 def _single_sided(live, window):
-    """Clusters with one event or one flow need no order of service and stay in the JVM."""
+    """Clusters with one event or one flow need no rounds and stay in the JVM."""
     gap = F.abs(F.col("t") - F.col("ev.t"))
-    one_event = live.where("kind = 0 AND n_ev = 1").groupBy(*_CLUSTER).agg(
-        F.min(F.struct(gap.alias("d"), "t", "id")).alias("b"), F.max("ev.id").alias("id")).select(
-        *_CLUSTER, "id", F.col("b.id").alias("flow"), F.col("b.d").alias("dt"))
+    one_event = live.where("kind = 0 AND n_ev = 1").groupBy(*CLUSTER).agg(
+        F.min(F.struct(gap.alias("d"), "t", "uid")).alias("b"), F.max("ev.id").alias("id")).select(
+        *CLUSTER, "id", F.col("b.uid").alias("flow"), F.col("b.d").alias("dt"))
     gap = F.abs(F.col("t") - F.col("fl.t"))
-    one_flow = live.where("kind = 1 AND n_fl = 1 AND n_ev > 1").where(gap <= window).groupBy(*_CLUSTER).agg(
-        F.min(F.struct("t", "id", gap.alias("d"))).alias("b"), F.max("fl.id").alias("flow")).select(
-        *_CLUSTER, F.col("b.id").alias("id"), "flow", F.col("b.d").alias("dt"))
+    one_flow = live.where("kind = 1 AND n_fl = 1 AND n_ev > 1").where(gap <= window).groupBy(*CLUSTER).agg(
+        F.min(F.struct("id", "t", gap.alias("d"))).alias("b"), F.max("fl.uid").alias("flow")).select(
+        *CLUSTER, F.col("b.id").alias("id"), "flow", F.col("b.d").alias("dt"))
     return one_event.unionByName(one_flow).where(F.col("dt") <= window)
 
 
-def match_flows(events, flows, offsets=None, window=WINDOW_S, slice_rows=200_000):
-    """One-to-one matches (session, record_id, uid, dt): each event, in time order, takes the nearest free flow.
+def match_flows(events, flows, offsets=None, window=WINDOW_S, slice_rows=50_000):
+    """One-to-one matches (session, record_id, uid, dt): each event, in log order, takes the nearest free flow.
 
     Only points less than ``window`` apart can compete, so every key splits into clusters at larger gaps and the
-    clusters match independently; those with one event or one flow are a plain aggregate. A cluster longer than
-    ``slice_rows`` is served slice after slice, handing on only what lies within reach of the cut, so no task ever
-    holds a whole hot key. Events without a time take the flows left over on their key, in flow order.
+    clusters match independently; those with one event or one flow are a plain aggregate. The others go through
+    ``flow_match``, in slices of about ``slice_rows`` flows side by side. An event without a time takes the first free
+    flow of its key whatever the window (dt NULL), so keys with such events stay whole. Of equally near flows the
+    earlier one goes first, then the smaller uid. Events without a record_id come last; flows without a time stand at 0.
     """
     if offsets is not None:
         events = events.join(offsets.select("session", "offset"), "session", "left")
     shift = F.coalesce("offset", F.lit(0.0)) if offsets is not None else F.lit(0.0)
-    ev = events.select("session", "fkey", F.lit(1).alias("kind"), F.col("record_id").cast("string").alias("id"),
-                       (F.col("ts") + shift).alias("t"))
-    fl = flows.select("session", "fkey", F.lit(0).alias("kind"), F.col("uid").alias("id"), F.col("ts").alias("t"))
-    order = ["t", "kind", "id"]
-    spaced = lag_of(ev.where("t IS NOT NULL").unionByName(fl), ["session", "fkey"], order, "t", "prev")
-    cut = spaced.withColumn("_cut", F.when(F.col("t") - F.col("prev") <= window, 0).otherwise(1).cast("long"))
-    clustered = running(cut, ["session", "fkey"], order, sums={"cluster": "_cut"})
-    point = F.struct("t", "id")
-    kinds = clustered.groupBy(*_CLUSTER).agg(
+    ev = events.select("session", "fkey", F.lit(1).alias("kind"),
+                       F.coalesce(F.col("record_id").cast("long"), F.lit(_LAST)).alias("id"), (F.col("ts") + shift).alias("t"))
+    fl = flows.select("session", "fkey", F.lit(0).alias("kind"), "uid", F.coalesce("ts", F.lit(0.0)).alias("t"))
+    order = ["t", "kind", "id", "uid"]
+    points = ev.where("t IS NOT NULL").withColumn("uid", F.lit("")).unionByName(fl.withColumn("id", F.lit(_LAST)))
+    spaced = lag_of(points, ["session", "fkey"], order, "t", "prev")
+    cut = F.when(F.col("t") - F.col("prev") <= window, 0).otherwise(1).cast("long")
+    untimed = ev.where("t IS NULL").select("session", "fkey", "id").where("session IS NOT NULL AND fkey IS NOT NULL")
+    late = None if untimed.isEmpty() else untimed.groupBy("session", "fkey").agg(F.count(F.lit(1)).alias("late"))
+    if late is not None:
+        spaced = spaced.join(late, ["session", "fkey"], "left")
+        cut = F.when(F.col("late").isNull(), cut).otherwise(0)
+    clustered = running(spaced.withColumn("_cut", cut.cast("long")), ["session", "fkey"], order, sums={"cluster": "_cut"})
+    kinds = clustered.groupBy(*CLUSTER).agg(
         F.count_if(F.col("kind") == 1).alias("n_ev"), F.count_if(F.col("kind") == 0).alias("n_fl"),
-        F.min(F.when(F.col("kind") == 1, point)).alias("ev"), F.min(F.when(F.col("kind") == 0, point)).alias("fl"))
-    live = clustered.join(kinds.where("n_ev > 0 AND n_fl > 0"), _CLUSTER)
-    live = materialize(live.select(*_CLUSTER, "kind", "id", "t", "n_ev", "n_fl", "ev", "fl"), "clusters")
-    found = [_single_sided(live, window)]
-    contested = live.where("n_ev > 1 AND n_fl > 1").select(*_CLUSTER, "kind", "id", "t",
-                                                           (F.col("n_ev") + F.col("n_fl")).alias("size"))
-    if not contested.isEmpty():
-        found += _contested(contested, window, slice_rows)
-    timed = reduce(lambda a, b: a.unionByName(b), found).select(
-        "session", "fkey", "id", F.col("flow").alias("uid"), "dt")
-    untimed = ev.where("t IS NULL").select("session", "fkey", "id")
-    if not untimed.isEmpty():
-        timed = materialize(timed, "pairs")
-        free = fl.withColumnRenamed("id", "uid").join(timed.select("session", "uid"), ["session", "uid"], "left_anti")
-        left = row_numbers(free, ["session", "fkey"], ["t", "uid"])
-        waiting = row_numbers(untimed, ["session", "fkey"], ["id"])
-        late = waiting.join(left, ["session", "fkey", "rn"]).select(
-            "session", "fkey", "id", "uid", F.lit(None).cast("double").alias("dt"))
-        timed = timed.unionByName(late)
-    return timed.select("session", F.col("id").cast("long").alias("record_id"), "uid", "dt")
-
-
-def _contested(points, window, slice_rows):
-    """Serve clusters with several events and several flows, slice after slice."""
-    order = ["t", "kind", "id"]
-    numbered = row_numbers(points, _CLUSTER, order).withColumn("slice", F.floor((F.col("rn") - 1) / slice_rows))
-    numbered = materialize(numbered.withColumn(
-        "last", F.floor((F.col("size") - 1) / slice_rows) == F.col("slice")), "points")
-    slices = numbered.agg(F.max("slice")).first()[0]
-    matches, carry = [], None
-    for s in range(int(slices) + 1):
-        now = numbered.where(F.col("slice") == s).select(*_CLUSTER, "kind", "id", "t", "last")
-        if carry is not None:
-            ends = now.groupBy(*_CLUSTER).agg(F.bool_or("last").alias("last"))
-            now = now.unionByName(carry.join(ends, _CLUSTER).select(*_CLUSTER, "kind", "id", "t", "last"))
-        served = (now.repartition(*_CLUSTER).sortWithinPartitions(*_CLUSTER, *order)
-                  .mapInPandas(_serve(window), _SERVED))
-        served = materialize(served, "served")
-        matches.append(served.where("matched").select(*_CLUSTER, "id", "flow", "dt"))
-        carry = served.where("NOT matched").drop("matched", "flow", "dt")
-    return matches
+        F.min(F.when(F.col("kind") == 1, F.struct("id", "t"))).alias("ev"),
+        F.min(F.when(F.col("kind") == 0, F.struct("t", "uid"))).alias("fl"))
+    kinds = kinds.withColumn("late", F.lit(0)) if late is None else kinds.join(
+        late, ["session", "fkey"], "left").fillna(0, ["late"])
+    live = clustered.drop("late").join(kinds.where("n_ev + late > 0 AND n_fl > 0"), CLUSTER)
+    live = materialize(live.select(*CLUSTER, "kind", "id", "uid", "t", "n_ev", "n_fl", "late", "ev", "fl"), "clusters")
+    found = _single_sided(live.where("late = 0"), window)
+    several = live.where("late > 0 OR (n_ev > 1 AND n_fl > 1)")
+    if not several.isEmpty():
+        ev = several.where("kind = 1").select(*CLUSTER, "id", "t", F.lit(float(window)).alias("reach"))
+        if late is not None:
+            whole = several.where("late > 0").select(*CLUSTER).distinct()
+            ev = ev.unionByName(untimed.join(whole, ["session", "fkey"]).select(
+                *CLUSTER, "id", F.lit(None).cast("double").alias("t"), F.lit(float("inf")).alias("reach")))
+        fl = several.where("kind = 0").select(*CLUSTER, F.col("uid").alias("id"), "t")
+        found = found.unionByName(contested(ev, fl, slice_rows))
+    return found.select("session", F.when(F.col("id") != _LAST, F.col("id")).alias("record_id"), F.col("flow").alias("uid"), "dt")
 
 
 def nearest_flow(events, flows, window=WINDOW_S):

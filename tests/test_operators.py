@@ -137,32 +137,53 @@ def test_siblings_random(spark):
 
 
 def serve(events, flows, window):
+    """Log order; an event without a time takes the first flow that is left."""
     used, out = set(), {}
-    for e, t in sorted(events.items(), key=lambda x: (x[1], x[0])):
-        near = [(abs(f - t), f, u) for u, f in flows.items() if u not in used and abs(f - t) <= window]
+    for e, t in sorted(events.items()):
+        near = [(f if t is None else abs(f - t), f, u) for u, f in flows.items()
+                if u not in used and (t is None or abs(f - t) <= window)]
         if near:
             d, _, u = min(near)
             used.add(u)
-            out[int(e)] = u
+            out[e] = (u, None if t is None else d)
     return out
 
 
-@pytest.mark.parametrize("slice_rows", [200_000, 7])
+def matched(spark, keys, **options):
+    ev = [("s", k, e, t) for k, (es, _) in keys.items() for e, t in es.items()]
+    fl = [("s", k, u, t) for k, (_, fs) in keys.items() for u, t in fs.items()]
+    got = network.match_flows(spark.createDataFrame(ev, "session string, fkey string, record_id long, ts double"),
+                              spark.createDataFrame(fl, "session string, fkey string, uid string, ts double"), **options).collect()
+    found = {r.record_id: (r.uid, r.dt) for r in got}
+    assert len(found) == len(got)
+    return found
+
+
+@pytest.mark.parametrize("slice_rows", [50_000, 5])
 def test_flow_matching(spark, slice_rows):
     rng = random.Random(11)
-    keys = {k: ({str(k * 1000 + i): rng.uniform(0, span) for i in range(n)},
-                {f"C{k}_{i}": rng.uniform(0, span) for i in range(m)})
-            for k, (n, m, span) in enumerate([(1, 1, 5), (30, 30, 60), (3, 1, 4), (1, 6, 4), (40, 25, 400)])}
-    ev = [("s", f"k{k}", int(e), t) for k, (es, _) in keys.items() for e, t in es.items()]
-    fl = [("s", f"k{k}", u, t) for k, (_, fs) in keys.items() for u, t in fs.items()]
-    got = network.match_flows(spark.createDataFrame(ev, "session string, fkey string, record_id long, ts double"),
-                              spark.createDataFrame(fl, "session string, fkey string, uid string, ts double"),
-                              window=3.0, slice_rows=slice_rows)
+    # Whole seconds bring ties in distance and in time; record numbers do not follow time.
+    keys = {}
+    for k, (n, m, span, late) in enumerate([(1, 1, 5, 0), (30, 30, 60, 0), (3, 1, 4, 0), (1, 6, 4, 0), (40, 25, 400, 0),
+                                            (60, 50, 25, 0), (25, 40, 30, 4), (3, 2, 50, 3), (0, 2, 5, 1), (0, 0, 5, 2)]):
+        ids = rng.sample(range(k * 1000, k * 1000 + 999), n + late)
+        draw = rng.uniform if k % 2 else rng.randint
+        times = [float(draw(0, span)) for _ in range(n)] + [None] * late
+        keys[f"k{k}"] = dict(zip(ids, times)), {f"C{k}_{i}": float(draw(0, span)) for i in range(m)}
     expected = {}
     for es, fs in keys.values():
-        # ties in distance never occur with these times; events are served in time order
         expected.update(serve(es, fs, 3.0))
-    assert {r.record_id: r.uid for r in got.collect()} == expected
+    assert matched(spark, keys, window=3.0, slice_rows=slice_rows) == expected
+
+
+def test_flow_matching_chain(spark):
+    # Every event stands on a flow, but the first of the log takes the first flow: all others move on by one.
+    n = 60
+    events = {0: 0.4} | {i + 1: float(i) for i in range(n)}
+    flows = {f"C{i:03}": float(i) for i in range(n + 1)}
+    keys = {"hot": (events, flows), "far": ({1000: 5.0, 1001: 5.0, 1002: 900.0}, {"F1": 890.0, "F2": 1.0})}
+    expected = serve(events, flows, 100.0) | serve(*keys["far"], 100.0)
+    assert matched(spark, keys, window=100.0, slice_rows=8) == expected
 
 
 def test_running_spans_chunks(spark):
