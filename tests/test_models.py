@@ -87,3 +87,16 @@ def test_isolation_trees_share_few_rows(rows):
     far = rows.limit(1).withColumns({"a": F.lit(50.0), "b": F.lit(50.0), "noise": F.lit(50.0)})
     high = models.score_isolation_forest(forest, far).first()["score"]
     assert high > models.score_isolation_forest(forest, few).agg(F.avg("score")).first()[0] + 0.1
+
+
+def test_deep_trees_keep_node_ids(rows):
+    """Every forest keeps each row's node on the executors; the trees are those that come without."""
+    forests = [c for c in models.supervised().values() if c.hasParam("cacheNodeIds")] + [models.small_forest()]
+    assert len(forests) == 3 and all(c.getCacheNodeIds() for c in forests)
+    typer = models.fit_typer(rows.where("label = 1"), COLUMNS, target="platform", trees=3)
+    assert typer.stages[-2].getCacheNodeIds()
+    forest = models.supervised()["Random Forest"]
+    forest.setNumTrees(5)
+    kept, sent = models.fit_classifier(rows, COLUMNS, forest), models.fit_classifier(rows, COLUMNS, forest.copy({forest.cacheNodeIds: False}))
+    trees = [m.stages[-1].toDebugString.split("\n", 1)[1] for m in (kept, sent)]
+    assert trees[0] == trees[1]
