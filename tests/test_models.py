@@ -1,5 +1,7 @@
 """Models and protocols: invariants on separable data."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,22 @@ def test_deep_trees_keep_node_ids(rows):
     kept, sent = models.fit_classifier(rows, COLUMNS, forest), models.fit_classifier(rows, COLUMNS, forest.copy({forest.cacheNodeIds: False}))
     trees = [m.stages[-1].toDebugString.split("\n", 1)[1] for m in (kept, sent)]
     assert trees[0] == trees[1]
+
+
+def test_fits_run_side_by_side(rows, monkeypatch):
+    """Fits of different folds overlap; new runs share one fit, and each part holds its own rows."""
+    fit, fits, both = models.fit_classifier, [], threading.Barrier(2)
+
+    def meeting(*job, **options):
+        fits.append(job)
+        both.wait(60)  # passes once two fits are under way
+        return fit(*job, **options)
+
+    monkeypatch.setattr(models, "fit_classifier", meeting)
+    forest = {"Random Forest": models.small_forest(3, 3)}
+    found = protocols.lineage_cv(rows, COLUMNS, k=2, repeats=1, classifiers=forest, anomaly=False)
+    assert len(fits) == 2 and found.where("Model = 'Random Forest'").count() == 600
+    monkeypatch.setattr(models, "fit_classifier", lambda *job, **options: fits.append(job) or fit(*job, **options))
+    new = protocols.independent_runs(rows, COLUMNS, ["run1", "run2"], classifiers=forest, anomaly=False)
+    counts = {(r.HeldOut, r.Model): r["count"] for r in new.groupBy("HeldOut", "Model").count().collect()}
+    assert len(fits) == 3 and all(counts[h, "Random Forest"] == n for h, n in (("all new runs", 200), ("run1", 100), ("run2", 100)))
