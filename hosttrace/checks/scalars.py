@@ -53,7 +53,7 @@ def p17(spark, sf):
 
 @check("f1_entropy", f"SELECT doc_id, {r6(_entropy_sql('text'), 'entropy')} FROM documents")
 def f1(spark, sf):
-    return rounded(table(spark, sf, "documents").select("doc_id", text.entropy(F.col("text")).alias("entropy")))
+    return rounded(table(spark, sf, "documents").select("doc_id", text.entropy(F.col("text"), long=True).alias("entropy")))
 
 
 @check("f2_path_parts", """

@@ -85,3 +85,13 @@ def test_times_and_wilson(spark):
     low, high = wilson(F.lit(8), F.lit(10))
     r = values(spark, [(1,)], "x int", lo=low, hi=high)[0]
     assert (round(r.lo, 3), round(r.hi, 3)) == (0.490, 0.943)
+
+
+def test_entropy_of_long_texts(spark):
+    """Counted in one walk, the entropy of whole documents is that of short texts; characters are code points."""
+    import math
+    texts = [None, "", "a", "aab", "\U0001F600é \n\u0000a" * 3, "word " * 20_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, found, short in df.select("t", text.entropy(F.col("t"), long=True), text.entropy(F.col("t"))).collect():
+        shares = [t.count(c) / len(t) for c in set(t or "")]
+        assert found == pytest.approx(-sum(p * math.log2(p) for p in shares), abs=1e-9) == pytest.approx(short, abs=1e-9)
