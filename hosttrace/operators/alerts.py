@@ -1,12 +1,12 @@
 """Alert rules over flagged processes."""
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import functions as F
 
 from hosttrace.functions.rules import severity, severity_rank
 from hosttrace.operators.ordered import lag_of, lookup_prefix, row_numbers, running
-from hosttrace.session import materialize
+from hosttrace.session import materialize, side_by_side
 
 
 def _candidates(flags, keys, window_us, least):
@@ -131,7 +131,7 @@ def run_hours(events, keys=("platform", "run_id")):
 
 
 def alert_grid(processes, windows=(60, 300), least=(1, 2, 3)):
-    """Host alert summaries over the rule grid."""
-    rows = [host_alert_summary(processes, w, n).withColumns({"W": F.lit(w), "N": F.lit(n)})
-            for w in windows for n in least]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    """Host alert summaries over the rule grid; its points are independent, so their rounds run side by side."""
+    points = [(w, n) for w in windows for n in least]
+    rows = side_by_side(processes.sparkSession, [partial(host_alert_summary, processes, w, n) for w, n in points])
+    return reduce(lambda a, b: a.unionByName(b), [r.withColumns({"W": F.lit(w), "N": F.lit(n)}) for r, (w, n) in zip(rows, points)])

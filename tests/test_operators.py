@@ -371,3 +371,18 @@ def test_other_group_thresholds(spark):
         assert got == pytest.approx(expected)
     assert metrics.other_group_threshold(scores.limit(0), "g").collect() == []
     assert metrics.other_group_threshold(scores.where("g = 'a'"), "g").collect() == []
+
+
+def test_alert_grid_runs_side_by_side(spark, monkeypatch):
+    """Two points of the grid are under way at once, and each row carries its own point."""
+    import threading
+    from hosttrace.operators import alerts
+    both = threading.Barrier(2)
+
+    def summary(processes, window_s, least):
+        both.wait(60)
+        return processes.select(F.lit(window_s * 10 + least).alias("mark"))
+
+    monkeypatch.setattr(alerts, "host_alert_summary", summary)
+    found = alerts.alert_grid(spark.range(1), (60, 300), (1, 2)).collect()
+    assert sorted((r.W, r.N) for r in found) == [(60, 1), (60, 2), (300, 1), (300, 2)] and all(r.mark == r.W * 10 + r.N for r in found)
