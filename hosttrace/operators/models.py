@@ -234,8 +234,20 @@ def _pivots(points, cells, seed):
 
 
 def _distances(a, b):
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    return np.sqrt(np.maximum(sq, 0.0))
+    """Distances of all rows of ``a`` to all of ``b``, worked out in the one matrix that is returned."""
+    sq = a @ b.T
+    sq *= -2
+    sq += (a * a).sum(1)[:, None]
+    sq += (b * b).sum(1)[None, :]
+    return np.sqrt(np.maximum(sq, 0.0, out=sq), out=sq)
+
+
+def _matrix(vectors):
+    """A column of vectors as rows of numbers, without a Python object for each number."""
+    return np.stack([np.asarray(v, float) for v in vectors]) if len(vectors) else np.zeros((0, 0))
+
+
+PART = 2_000  # rows whose distances to the pivots are worked out at once
 
 
 def _exact(a, b):
@@ -245,24 +257,31 @@ def _exact(a, b):
 def _assign(shared):
     @F.pandas_udf("struct<cell int, d double>")
     def assign(v: pd.Series) -> pd.DataFrame:
-        d = _distances(np.array(v.tolist(), float), shared.value)
-        near = d.argmin(1)
-        return pd.DataFrame({"cell": near.astype("int32"), "d": d[np.arange(len(d)), near]})
+        cells, own = [], []
+        for at in range(0, len(v), PART):
+            d = _distances(_matrix(v.iloc[at:at + PART]), shared.value)
+            cells.append(d.argmin(1).astype("int32"))
+            own.append(d[np.arange(len(d)), cells[-1]])
+        return pd.DataFrame({"cell": np.concatenate(cells), "d": np.concatenate(own)} if cells else {"cell": [], "d": []})
     return assign
 
 
+BLOCK_CELLS = 1_000_000  # distances between queries and points at hand at once: 8 MB
+
+
 def _block_top(k):
     """k nearest points of one (cell, block) for the queries sent to it; queries come in bounded batches."""
     def top(key, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         out = {"qid": [], "pid": [], "d": [], "weight": []}
         if len(queries) and len(points):
-            p = np.array(points["v"].tolist(), float)
+            p = _matrix(points["v"])
             names, weight = points["pid"].to_numpy(), points["weight"].to_numpy()
             keep = min(k + 8, len(p))  # a few spare, so rounding in the fast distances cannot drop a neighbour
-            for at in range(0, len(queries), 256):
-                part = queries.iloc[at:at + 256]
-                q = np.array(part["v"].tolist(), float)
-                near = np.argpartition(_distances(q, p), keep - 1, axis=1)[:, :keep]
+            step = max(1, min(256, BLOCK_CELLS // len(p)))
+            for at in range(0, len(queries), step):
+                part = queries.iloc[at:at + step]
+                q = _matrix(part["v"])
+                near = np.argpartition(_distances(q, p), keep - 1, axis=1)[:, :keep].copy()
                 out["d"].append(_exact(p[near], q[:, None, :]).ravel())
                 out["qid"].append(np.repeat(part["qid"].to_numpy(), keep))
                 out["pid"].append(names[near].ravel())
@@ -326,11 +345,14 @@ def nearest_points(queries, points, k, cells=None, block_rows=20_000, seed=SEED,
 
     @F.pandas_udf("array<int>")
     def reachable(v: pd.Series, own_cell: pd.Series, own: pd.Series, r: pd.Series) -> pd.Series:
-        d = _distances(np.array(v.tolist(), float), shared.value)
-        limit = own.to_numpy()[:, None] + 2 * r.to_numpy()[:, None] * (1 + 1e-9) + 1e-9
-        near = d <= limit
-        near[np.arange(len(d)), own_cell.to_numpy()] = False
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in near])
+        out = []
+        for at in range(0, len(v), PART):
+            part = slice(at, at + PART)
+            near = _distances(_matrix(v.iloc[part]), shared.value)
+            near = near <= own.to_numpy()[part, None] + 2 * r.to_numpy()[part, None] * (1 + 1e-9) + 1e-9
+            near[np.arange(len(near)), own_cell.to_numpy()[part]] = False
+            out += [np.flatnonzero(row).astype("int32") for row in near]
+        return pd.Series(out)
 
     limited = asked.join(bound, "qid", "left").withColumn(
         "r", F.when(F.coalesce("have", F.lit(0)) >= k, F.col("r")).otherwise(F.lit(float("inf"))))

@@ -1,7 +1,10 @@
 """Models and protocols: invariants on separable data."""
 
 import threading
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +124,20 @@ def test_fits_run_side_by_side(rows, monkeypatch):
     new = protocols.independent_runs(rows, COLUMNS, ["run1", "run2"], classifiers=forest, anomaly=False)
     counts = {(r.HeldOut, r.Model): r["count"] for r in new.groupBy("HeldOut", "Model").count().collect()}
     assert len(fits) == 3 and all(counts[h, "Random Forest"] == n for h, n in (("all new runs", 200), ("run1", 100), ("run2", 100)))
+
+
+def test_block_search_in_little_memory():
+    """Nearest points of a full block, worked out a few queries at a time; the same rows as all distances at once."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(20_000, 64))
+    points = pd.DataFrame({"pid": np.arange(len(v)), "v": list(v), "weight": 1})
+    queries = pd.DataFrame({"qid": np.arange(300), "v": list(v[:300])})
+    tracemalloc.start()
+    found = models._block_top(20)(None, queries, points)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    nearest = found.sort_values(["qid", "d"]).groupby("qid").head(20)
+    for q, rows in list(nearest.groupby("qid"))[::50]:
+        want = np.sort(np.sqrt(((v - v[q]) ** 2).sum(1)))[:20]
+        assert np.allclose(rows["d"], want) and rows["pid"].iloc[0] == q
