@@ -19,6 +19,7 @@ WHOLE = len(AGES) - 1
 _UNDATED = len(AGES)  # bin of events without a readable time: counted at no age
 _LONGEST_S = 10_000_000  # how far "infinite" age looks back for siblings (fixed value): 116 days
 SHARES = 64  # into which the events of one process are dealt
+PER_TASK = 100_000  # events whose processes are brought to their ages in one task
 
 
 def _ordering(order):
@@ -199,6 +200,10 @@ def _children(events, starts, key):
     return aged.groupBy(*key, "bin").agg(F.count(F.lit(1)).alias("b_children"))
 
 
+def age_tasks(events):
+    return max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // PER_TASK))
+
+
 def prefix_features(events, key=PROCESS_KEY, order=ORDER, behaviour=True):
     """Features of every process at every age limit, one row per (process, age_ix).
 
@@ -206,9 +211,9 @@ def prefix_features(events, key=PROCESS_KEY, order=ORDER, behaviour=True):
     small table fans out to the ages that include the bin.
     """
     source = drop_unkeyed(events)
-    e, starts = _aged(source, key)
-    e = e.withColumns({"_cmd": F.length(unwrap_command(F.col("CommandLine"))),
-                       "_pcmd": F.length(unwrap_command(F.col("ParentCommandLine")))})
+    # Commands are long and only their length counts: it is taken before the rows are shuffled and sorted.
+    e, starts = _aged(source.withColumns({"_cmd": F.length(unwrap_command(F.col("CommandLine"))),
+                                          "_pcmd": F.length(unwrap_command(F.col("ParentCommandLine")))}), key)
     dated = F.col("bin") < _UNDATED
     micros, ordering = F.unix_micros("UtcTime"), _ordering(order)
     target = F.col("TargetFilename")
@@ -238,6 +243,9 @@ def prefix_features(events, key=PROCESS_KEY, order=ORDER, behaviour=True):
     if behaviour:
         parts.append(_children(source, starts, key))
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # Nine rows a process are the widest step. Tasks grow in number with the events, not in size; a process has a row for
+    # each bin and part at most, so none is hot.
+    merged = merged.repartition(age_tasks(source), *key)
 
     spread = F.when(F.col("bin") == _UNDATED, F.sequence(F.lit(0), F.lit(WHOLE))).otherwise(
         F.sequence("bin", F.lit(WHOLE)))
