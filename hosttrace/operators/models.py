@@ -5,7 +5,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -77,11 +77,44 @@ def _checkpointed(spark):
         spark.sparkContext.setCheckpointDir(scratch_dir(spark))
 
 
-def fit_classifier(train, columns, classifier, scale=True, components=0):
-    """A PipelineModel from feature columns to prediction. Scaler and components see training rows only."""
+FIT_ROWS = 250_000  # rows of a fit's task; a task is sent on with the counts of all nodes in work, so few large ones
+
+
+def merge_equal(rows, least, weight="weight"):
+    """Equal rows as fewer copies of them that share their weight, for forests that use every row in every tree.
+
+    Such a forest meets rows in sums of weights and in the least number of rows of a leaf. Of ``n`` equal rows ``least``
+    stay, or all there are, so the same leaves are large enough; more stay until no copy stands for more rows than a
+    distinct row does on average, so the sample from which Spark takes its candidate split points is not led by a few.
+    """
+    spark = rows.sparkSession
+    counted = materialize(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")), "distinct")
+    n, distinct = counted.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    if not distinct:
+        return rows
+    copies = F.greatest(F.least("_n", F.lit(least)), F.ceil(F.col("_n") * F.lit(distinct / n)))
+    shared = counted.withColumn("_copies", F.least("_n", copies).cast("int")).withColumn(
+        weight, F.col(weight) * F.col("_n") / F.col("_copies"))
+    dealt = shared.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*rows.columns)
+    return materialize(dealt.repartition(max(spark.sparkContext.defaultParallelism, -(-distinct // FIT_ROWS))), "merged")
+
+
+def _uses_every_row(classifier):
+    return classifier.hasParam("bootstrap") and not classifier.getBootstrap() and classifier.getSubsamplingRate() == 1
+
+
+def fit_classifier(train, columns, classifier, scale=True, components=0, merge=False):
+    """A PipelineModel from feature columns to prediction. Scaler and components see training rows only.
+
+    With ``merge`` a forest that uses every row in every tree is grown on ``merge_equal`` rows: worth its shuffle where
+    many rows are equal. Scaler and components see all of them still.
+    """
     _checkpointed(train.sparkSession)
     data = with_balanced_weight(train.select(*columns, "label").withColumn("label", F.col("label").cast("double")))
-    return Pipeline(stages=[*preparation(columns, scale, components), classifier.copy()]).fit(data)
+    prepared = Pipeline(stages=preparation(columns, scale, components)).fit(data)
+    if merge and _uses_every_row(classifier):
+        data = merge_equal(data, classifier.getMinInstancesPerNode())
+    return PipelineModel([*prepared.stages, classifier.copy().fit(prepared.transform(data))])
 
 
 def score_classifier(model, df):

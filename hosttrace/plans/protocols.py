@@ -280,11 +280,13 @@ def top_overlap(train, columns, classifier=None, k=15):
 def age_scores(train, test, columns, classifier=None, variant="full"):
     """Scores of the test processes at every age. ``full`` trains on finished processes, ``prefix`` on all ages.
 
-    Both inputs have one row per (process, age_ix).
+    Both inputs have one row per (process, age_ix). A process is the same at every age until its next event, so with all
+    ages most training rows are equal to others and are merged for the fit.
     """
     whole = len(AGES) - 1
     fit = train if variant == "prefix" else train.where(F.col("age_ix") == whole)
-    model = models.fit_classifier(fit, columns, classifier or models.supervised()["Random Forest"], scale=False)
+    model = models.fit_classifier(fit, columns, classifier or models.supervised()["Random Forest"], scale=False,
+                                  merge=variant == "prefix")
     return models.score_classifier(model, test)
 
 

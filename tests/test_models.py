@@ -107,6 +107,35 @@ def test_deep_trees_keep_node_ids(rows):
     assert trees[0] == trees[1]
 
 
+def test_equal_rows_are_merged(spark, monkeypatch):
+    """Rows equal over the ages reach the forest as few copies, and the trees are those grown on all of them."""
+    k, sizes = F.col("id"), F.array(*map(F.lit, (1, 4, 9, 18, 36, 72)))
+    each = spark.range(240).select((k * 7 % 13).cast("double").alias("a"), (k * 5 % 11).cast("double").alias("b"),
+                                   (k * 37 % 101).cast("double").alias("noise"), (k % 2).cast("int").alias("label"),
+                                   F.element_at(sizes, (F.floor(k / 2) % 6 + 1).cast("int")).alias("n"))
+    rows = each.withColumn("age_ix", F.explode(F.sequence(F.lit(1), "n"))).persist()
+    forest = models.supervised()["Random Forest"]
+    forest.setNumTrees(5)
+    fit, seen = type(forest).fit, []
+    monkeypatch.setattr(type(forest), "fit", lambda self, data: seen.append(data.count()) or fit(self, data))
+    trees = lambda model: model.stages[-1].toDebugString.split("\n", 1)[1]
+    for scale in (False, True):
+        alone, merged = (models.fit_classifier(rows, COLUMNS, forest, scale=scale, merge=m) for m in (False, True))
+        assert trees(merged) == trees(alone) and merged.stages[-1].totalNumNodes > 50
+    assert seen == [5600, 1640] * 2
+    scores = protocols.age_scores(rows, rows, COLUMNS, forest, variant="prefix")
+    assert seen[4:] == [1640] and scores.count() == 5600
+    # Trees on drawn rows would be others, and rows that are all different stay as they are.
+    models.fit_classifier(rows, COLUMNS, models.small_forest(2, 3), merge=True)
+    models.fit_classifier(each, COLUMNS, forest, merge=True)
+    assert seen[5:] == [5600, 240]
+    # However many rows are equal, none stands for more of them than a distinct row does on average.
+    uneven = each.select(*COLUMNS, "label", F.lit(1.0).alias("weight")).withColumn(
+        "n", F.when(F.expr("a + b + noise = 0"), 10_000).otherwise(10)).withColumn("c", F.explode(F.sequence(F.lit(1), "n"))).drop("n", "c")
+    most, total = models.merge_equal(uneven, 9).agg(F.max("weight"), F.sum("weight")).first()
+    assert 10 < most <= 12_390 / 240 and abs(total - 12_390) < 1e-6
+
+
 def test_fits_run_side_by_side(rows, monkeypatch):
     """Fits of different folds overlap; new runs share one fit, and each part holds its own rows."""
     fit, fits, both = models.fit_classifier, [], threading.Barrier(2)
