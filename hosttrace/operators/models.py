@@ -7,8 +7,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, Bucketizer, ElementwiseProduct, IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -99,22 +100,63 @@ def merge_equal(rows, least, weight="weight"):
     return materialize(dealt.repartition(max(spark.sparkContext.defaultParallelism, -(-distinct // FIT_ROWS))), "merged")
 
 
-def _uses_every_row(classifier):
+def uses_every_row(classifier):
     return classifier.hasParam("bootstrap") and not classifier.getBootstrap() and classifier.getSubsamplingRate() == 1
 
 
-def fit_classifier(train, columns, classifier, scale=True, components=0, merge=False):
-    """A PipelineModel from feature columns to prediction. Scaler and components see training rows only.
+SPLIT_ROWS = 10_000  # rows from which candidate split points are taken, the number that Spark's trees take
 
-    With ``merge`` a forest that uses every row in every tree is grown on ``merge_equal`` rows: worth its shuffle where
-    many rows are equal. Scaler and components see all of them still.
+
+def split_points(values, weights, expected, most):
+    """At most ``most`` candidate split points of one column, chosen from a sample as Spark's trees choose them.
+
+    They lie between distinct values, at about equal shares of the expected weight; what other values leave of it is zero's.
+    """
+    at, place = np.unique(values[values != 0], return_inverse=True)
+    held = np.bincount(place, weights[values != 0], minlength=len(at))
+    rest = expected - held.sum()
+    if len(at) and rest > 1e-6:
+        zero = np.searchsorted(at, 0.0)
+        at, held = np.insert(at, zero, 0.0), np.insert(held, zero, rest)
+    between = (at[1:] + at[:-1]) / 2
+    if len(between) <= most:
+        return between
+    points, target, reached = [], expected / (most + 1), np.cumsum(held)
+    for i in range(len(between)):
+        if abs(reached[i] - target) < abs(reached[i + 1] - target):
+            points.append(between[i])
+            target += expected / (most + 1)
+    return np.array(points)
+
+
+def fit_merged(train, columns, forest):
+    """As ``fit_classifier`` without scaling, for forests that use every row in every tree and rows that are often equal.
+
+    Split points come from a sample of all rows, as in Spark's trees; rows between the same points are equal to every
+    tree and are merged. The trees see the numbers of the bins and may split between any two of them.
     """
     _checkpointed(train.sparkSession)
     data = with_balanced_weight(train.select(*columns, "label").withColumn("label", F.col("label").cast("double")))
-    prepared = Pipeline(stages=preparation(columns, scale, components)).fit(data)
-    if merge and _uses_every_row(classifier):
-        data = merge_equal(data, classifier.getMinInstancesPerNode())
-    return PipelineModel([*prepared.stages, classifier.copy().fit(prepared.transform(data))])
+    n = data.count()
+    share = min(1.0, SPLIT_ROWS / max(n, 1))
+    drawn = (data.sample(share, SEED) if share < 1 else data).select(*columns, "weight").toPandas().astype(float)
+    points = [np.unique(split_points(drawn[c].to_numpy(), drawn["weight"].to_numpy(), share * n, forest.getMaxBins() - 1)) for c in columns]
+    # A tree sends a value equal to its point to the left, a bucket starts with its own edge.
+    edges = [[-np.inf, *(np.nextafter(p, np.inf) if len(p) else [np.finfo(float).max]), np.inf] for p in points]
+    bins = [f"{c}_bin" for c in columns]
+    cut = Bucketizer(splitsArray=[[float(x) for x in e] for e in edges], inputCols=list(columns), outputCols=bins, handleInvalid="keep")
+    vector = VectorAssembler(inputCols=bins, outputCol="bins", handleInvalid="keep")
+    # Buckets are marked as categories; times one they are the plain numbers again, and stay in order.
+    plain = ElementwiseProduct(scalingVec=Vectors.dense([1.0] * len(bins)), inputCol="bins", outputCol="features")
+    rows = merge_equal(cut.transform(data).select(*bins, "label", "weight"), forest.getMinInstancesPerNode())
+    return PipelineModel([cut, vector, plain, forest.copy().fit(plain.transform(vector.transform(rows)))])
+
+
+def fit_classifier(train, columns, classifier, scale=True, components=0):
+    """A PipelineModel from feature columns to prediction. Scaler and components see training rows only."""
+    _checkpointed(train.sparkSession)
+    data = with_balanced_weight(train.select(*columns, "label").withColumn("label", F.col("label").cast("double")))
+    return Pipeline(stages=[*preparation(columns, scale, components), classifier.copy()]).fit(data)
 
 
 def score_classifier(model, df):

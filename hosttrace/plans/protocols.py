@@ -285,8 +285,11 @@ def age_scores(train, test, columns, classifier=None, variant="full"):
     """
     whole = len(AGES) - 1
     fit = train if variant == "prefix" else train.where(F.col("age_ix") == whole)
-    model = models.fit_classifier(fit, columns, classifier or models.supervised()["Random Forest"], scale=False,
-                                  merge=variant == "prefix")
+    classifier = classifier or models.supervised()["Random Forest"]
+    if variant == "prefix" and models.uses_every_row(classifier):
+        model = models.fit_merged(fit, columns, classifier)
+    else:
+        model = models.fit_classifier(fit, columns, classifier, scale=False)
     return models.score_classifier(model, test)
 
 
