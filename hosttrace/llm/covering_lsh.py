@@ -202,38 +202,49 @@ def components(edges):
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs, doc_id="doc_id", text="text", words=3):
-    """(doc_id, fp, component_id) for each row."""
+def rooted(docs, doc_id="doc_id", text="text", words=3):
+    """(doc_id, fp, root, component_id) for each row; root tells components apart, also those without an id."""
     fps = materialize(fingerprints(docs, doc_id, text, words), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(classes.select("fp")))
     labelled = classes.join(roots, classes.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     heads = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = labelled.join(heads, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = labelled.join(heads, "root").select("fp", "root", "component_id")
+    return fps.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs, doc_id="doc_id", text="text", words=3):
+    """(doc_id, fp, component_id) for each row."""
+    return rooted(docs, doc_id, text, words).drop("root")
 
 
 def hex_digits(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs, doc_id="doc_id", text="text", near=near_duplicates, classes=fingerprints):
-    """``docs`` with the document of the smallest id of each component alone; of rows that repeat that id, one.
+def one_of_each(docs, doc_id="doc_id", text="text", near=rooted, classes=fingerprints):
+    """``docs`` with one row of each component: the document of its smallest id, where it has one.
 
-    Rows without an id go if their component has one; else one stays for each set of equal texts, as nothing else tells
-    them apart. ``near`` gives the components, ``classes`` the same fp of a text as ``near``.
+    An id that no other row has tells its row. Rows that share an id, or have none, are told apart by their texts: of those
+    with the component's id a row of the least text stays. ``near`` gives the components and their roots, ``classes`` the
+    same fp of a text as ``near``.
     """
     found = near(docs, doc_id, text)
-    copies, kept, same = (free_name(docs, name) for name in ("copies", "kept_id", "kept_text"))
-    keep = (found.where("doc_id = component_id").groupBy("doc_id")
-            .agg(F.count(F.lit(1)).alias(copies)).withColumnRenamed("doc_id", kept))
-    rows = docs.join(keep, F.col(doc_id) == F.col(kept))
+    copies, head, kept, same, blank = (free_name(docs, name) for name in ("copies", "head", "kept_id", "kept_text", "plain_text"))
+    root, fp = free_name(docs, "root"), free_name(docs, "fp")
+    is_head = F.col("doc_id") == F.col("component_id")
+    named = (found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias(copies), F.max(is_head).alias(head))
+             .where(F.col(head)).select(F.col("doc_id").alias(kept), copies))
+    rows = docs.join(named, F.col(doc_id) == F.col(kept))
     single = rows.where(F.col(copies) == 1).select(*docs.columns)
-    repeated = rows.where(F.col(copies) > 1).select(*docs.columns).dropDuplicates([doc_id])
-    nameless = docs.where(F.col(doc_id).isNull())
-    alone = found.where("component_id IS NULL").select("fp").distinct()
-    texts = (classes(nameless.select(F.coalesce(text, F.lit("")).alias("t")), "t", "t").join(alone, "fp", "left_semi")
-             .select(F.col("doc_id").alias(same)).distinct())
-    nameless = nameless.join(texts, F.coalesce(text, F.lit("")) == F.col(same), "left_semi").dropDuplicates([text])
-    return single.unionByName(repeated).unionByName(nameless)
+    unclear = rows.where(F.col(copies) > 1).select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+    unclear = materialize(unclear.withColumn(blank, F.coalesce(text, F.lit(""))).dropDuplicates([doc_id, blank]), "unclear-rows")
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(kept)).distinct()
+    texts = classes(unclear.select(F.col(blank).alias("t")).distinct(), "t", "t").select(F.col("doc_id").alias(same), F.col("fp").alias(fp))
+    meets = (F.col(blank) == F.col(same)) & F.col(doc_id).eqNullSafe(F.col(kept))
+    there = unclear.select(F.col(doc_id).alias("id"), F.col(blank).alias("t"))
+    chosen = (texts.join(heads, fp).join(there, (F.col("t") == F.col(same)) & F.col("id").eqNullSafe(F.col(kept)), "left_semi")
+              .groupBy(root, kept).agg(F.min(same).alias(same)))
+    return single.unionByName(unclear.join(chosen, meets, "left_semi").select(*docs.columns))

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from hosttrace.llm import covering_lsh, template_leaks
+from hosttrace.llm import covering_lsh, near_copies, template_leaks
 
 from .data import documents, empty, hard_texts, prose
 
@@ -101,6 +101,20 @@ def test_near_duplicates_and_one_of_each(spark):
     assert covering_lsh.near_duplicates(empty(docs)).collect() == []
 
 
+def test_one_of_each_component_without_clear_ids(spark):
+    """Near copies without an id are one component like any other; texts that share an id are each their component's."""
+    base, other = prose(11, 400), prose(12, 400)
+    rows = [(None, base), (None, base.upper()), (None, base + " ")] + [(None, None), (None, ""), (None, " "), (None, other), (3, other), (5, other), (5, prose(13, 90)), (6, prose(14, 90)), (6, prose(15, 90))]
+    for given, more in (({}, []), ({"near": near_copies.rooted, "classes": near_copies.classes}, [(None, base + " .")])):
+        docs = documents(spark, rows + more)
+        kept = covering_lsh.one_of_each(docs, **given)
+        assert kept.columns == docs.columns
+        got = sorted((str(r["doc_id"]), (r["text"] or "").strip().lower()[:30]) for r in kept.collect())
+        assert got == sorted([("None", base.lower()[:30]), ("None", ""), ("3", other.lower()[:30]), ("5", prose(13, 90).lower()[:30]),
+                              ("6", prose(14, 90).lower()[:30]), ("6", prose(15, 90).lower()[:30])])
+    assert covering_lsh.one_of_each(empty(docs)).collect() == []
+
+
 QUESTION = "A train travels 120 miles in 3 hours from Boston towards Albany at a steady speed. How many miles does the train travel in 5 hours at the same speed?"
 
 
