@@ -223,7 +223,7 @@ def m31(spark, sf):
 @check("m32_platform_leak")
 def m32(spark, sf):
     train, test = _split(spark, sf)
-    return protocols.platform_leak(train, test, PROCESS_FEATURES, most=8)[0]
+    return protocols.platform_leak(train, test, PROCESS_FEATURES)[0]
 
 
 @check("m33_score_new_rows")
